@@ -74,7 +74,7 @@ def parse_timestamp(text: Column, ref_year: Column) -> Column:
     Digits only are an epoch; then ISO 8601; then ``Mon d H:M:S [Y]`` (year-less text takes
     ``ref_year``), ``Y/m/d H:M:S`` and ``d/Mon/Y:H:M:S zone``.
     """
-    shaped = F.regexp_replace(strip(text), f"[{SPACE}]+", " ")
+    shaped = F.regexp_replace(strip(text), f"{SPACE}+", " ")
     return let(
         shaped,
         lambda v: F.when(v.rlike(r"^-?\d{1,19}(?:\.\d+)?$"), _epoch(v))

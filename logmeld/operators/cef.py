@@ -4,11 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmeld.functions.entries import entries, entry, last_wins
-from logmeld.functions.text import SPACE, after, let, strip
+from logmeld.functions.text import SPACE, after, has_any, occurrences, strip
 
-_PAIR_START = rf"[{SPACE}]+(?=[a-zA-Z0-9_.]+=)"
+# White space before a key; the whole run counts, so it is only tried where a run starts.
+_GAP = rf"{SPACE}(?<!{SPACE}{SPACE}){SPACE}*+(?=[a-zA-Z0-9_.]+=)"
+_KEY = r"([a-zA-Z0-9_.]+)="
 # Possessive throughout: a match runs in a loop, whatever the length of the value.
 _PAIR = r"(?s)([a-zA-Z0-9_.]+)=([^=\\]*+(?:\\=?[^=\\]*+)*+)$"
+_CUT = "\ue000"  # a private-use character
 
 
 def header_parts(line: Column) -> Column:
@@ -33,15 +36,29 @@ def prefix(line: Column) -> Column:
     return F.when(at > 1, strip(F.substr(line, F.lit(1), at - 1))).otherwise(F.lit(""))
 
 
+def _pieces(extension: Column) -> Column:
+    """Split before every ``key=``. The gaps are cut by a compiled pattern, then by one character;
+    splitting by the pattern itself would compile it for every row."""
+    cut = F.split(F.regexp_replace(extension, _GAP, _CUT), _CUT)
+    return F.when(extension.contains(_CUT), F.split(extension, _GAP)).otherwise(cut)
+
+
 def pair_entries(extension: Column) -> Column:
-    """Split before every ``key=``, then take each piece apart; blank values are dropped."""
+    """Every ``key=value`` of the extension; blank values are dropped."""
 
     def take(piece):
+        plain = (occurrences(piece, "=") == 1) & ~piece.contains("\\")
         value = strip(F.regexp_extract(piece, _PAIR, 2))
         value = F.replace(F.replace(value, F.lit("\\="), F.lit("=")), F.lit("\\\\"), F.lit("\\"))
-        return entry(F.lower(F.regexp_extract(piece, _PAIR, 1)), value)
-
-    pieces = F.transform(F.split(extension, _PAIR_START), take)
+        return F.when(
+            plain,
+            entry(
+                F.lower(F.regexp_extract(piece, _KEY, 1)),
+                strip(F.substr(piece, F.instr(piece, "=") + 1)),
+            ),
+        ).otherwise(entry(F.lower(F.regexp_extract(piece, _PAIR, 1)), value))
+
+    pieces = F.transform(F.filter(_pieces(extension), lambda p: p.contains("=")), take)
     return F.filter(pieces, lambda e: (e["key"] != "") & (e["value"] != ""))
 
 
@@ -68,10 +85,10 @@ def fields(line: Column, parts: Column) -> Column:
 def device_type(product: Column, name: Column) -> Column:
     p, n = F.lower(F.coalesce(product, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
     return (
-        F.when(p.rlike("firewall|asa|palo|forti") | n.contains("firewall"), "firewall")
-        .when(p.rlike("ids|ips|snort|suricata"), "ids")
+        F.when(has_any(p, "firewall", "asa", "palo", "forti") | n.contains("firewall"), "firewall")
+        .when(has_any(p, "ids", "ips", "snort", "suricata"), "ids")
         .when(p.contains("vpn") | n.contains("vpn"), "vpn")
-        .when(p.rlike("proxy|bluecoat"), "proxy")
+        .when(has_any(p, "proxy", "bluecoat"), "proxy")
         .otherwise("network_device")
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from logmeld import vocab
 from logmeld.functions.entries import entry, last_wins, no_entries
-from logmeld.functions.text import let, occurrences, strip
+from logmeld.functions.text import has_any, occurrences, strip
 from logmeld.session import written
 
 BLOCK_LINES = 65_536
@@ -95,7 +95,7 @@ def named_entries(row: Column, header: Column) -> Column:
 # ---- layouts and vendor rules -----------------------------------------------------------
 
 def is_paloalto(row: Column, lower: Column) -> Column:
-    return (F.size(row) > 20) & lower.rlike("allow|deny|drop")
+    return (F.size(row) > 20) & has_any(lower, "allow", "deny", "drop")
 
 
 def paloalto_entries(row: Column) -> Column:
@@ -110,20 +110,20 @@ def paloalto_entries(row: Column) -> Column:
 
 def vendor(row: Column, lower: Column) -> Column:
     vpn = F.when(lower.contains("pulse"), "PulseSecure").when(
-        lower.rlike("anyconnect|cisco"), "Cisco"
+        has_any(lower, "anyconnect", "cisco"), "Cisco"
     )
     return (
         F.when(is_paloalto(row, lower), "PaloAlto-CSV")
-        .when(lower.rlike("checkpoint|smartlog"), "CheckPoint")
-        .when(lower.rlike("vpn|tunnel|pulse"), vpn)
+        .when(has_any(lower, "checkpoint", "smartlog"), "CheckPoint")
+        .when(has_any(lower, "vpn", "tunnel", "pulse"), vpn)
     )
 
 
 def device_type(row: Column, lower: Column) -> Column:
     return (
-        F.when(is_paloalto(row, lower) | lower.rlike("checkpoint|smartlog"), "firewall")
-        .when(lower.rlike("vpn|tunnel|pulse"), "vpn")
-        .when(lower.rlike("proxy|bluecoat|squid"), "proxy")
+        F.when(is_paloalto(row, lower) | has_any(lower, "checkpoint", "smartlog"), "firewall")
+        .when(has_any(lower, "vpn", "tunnel", "pulse"), "vpn")
+        .when(has_any(lower, "proxy", "bluecoat", "squid"), "proxy")
     )
 
 

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmeld import vocab
-from logmeld.functions.text import SPACE, occurrences
+from logmeld.functions.text import SPACE, occurrences, text_class
 
 # The shapes the detectors and parsers share.
-_KEY = r"(?<![a-zA-Z0-9_.\-])[a-zA-Z0-9_.\-]++"
-PAIR = rf'({_KEY})=(?:"[^"]*"|[^{SPACE},]+)'
-RFC5424 = rf"^<\d{{1,3}}>\d++(?:[{SPACE}]++[^{SPACE}]++){{5}}"
+KEY = r"(?<![a-zA-Z0-9_.\-])[a-zA-Z0-9_.\-]+"
+PAIR = rf'({KEY})=(?:"[^"]*"|{text_class(",")}+)'
+RFC5424 = rf"^<\d{{1,3}}>\d+(?:{SPACE}+{text_class()}+){{5}}"
 RFC3164 = (
-    rf"^(?:<(\d{{1,3}})>)?([A-Z][a-z]{{2}}[{SPACE}]+\d+[{SPACE}]+\d{{2}}:\d{{2}}:\d{{2}}(?:[{SPACE}]+\d{{4}})?)"
-    rf"[{SPACE}]+([^{SPACE}:]+)[{SPACE}]+"
+    rf"^(?:<(\d{{1,3}})>)?([A-Z][a-z]{{2}}{SPACE}+\d+{SPACE}+\d{{2}}:\d{{2}}:\d{{2}}(?:{SPACE}+\d{{4}})?)"
+    rf"{SPACE}+({text_class(':')}+){SPACE}+"
 )
 CISCO_CODES = ["%ASA-", "%PIX-"]
 
@@ -146,6 +146,7 @@ def detect_csv(df: DataFrame, col: str = "line") -> DataFrame:
 # ---- the best format --------------------------------------------------------------------
 
 # (format, confidence) by rung, in the order the rungs are tried; 0 is "none".
+RFC5424_RUNG, RFC3164_RUNG = 5, 7
 _RUNGS = [
     (None, 0.0),
     ("CEF", 0.99), ("LEEF", 0.99), ("JSON", 0.99), ("KEY_VALUE", 0.98), ("SYSLOG", 0.98),
@@ -176,11 +177,12 @@ def _forced_format(parser: Column) -> Column:
 def detect_format(
     df: DataFrame, forced_parser: str | Column | None = None, col: str = "line"
 ) -> DataFrame:
-    """L -> L + (format, parser, confidence, document).
+    """L -> L + (format, parser, confidence, shape, document).
 
     ``forced_parser`` names a parser for every line, or is a column naming one per line (null:
     detect). A forced line has confidence 1.0; an unknown name leaves ``format`` null.
-    ``document`` holds the parsed members of JSON lines, so that nothing parses them again.
+    ``document`` holds the parsed members of JSON lines and ``shape`` the rung that held (null for
+    forced lines), so that extraction need not test a line again.
     """
     line = F.col(col)
     forced = F.lit(None).cast("string") if forced_parser is None else (
@@ -226,7 +228,12 @@ def detect_format(
         fmt = F.when(given, _forced_format(F.col("_forced"))).otherwise(fmt)
         parser = F.when(given, F.col("_forced")).otherwise(parser)
         conf = F.when(given, F.lit(1.0)).otherwise(conf)
-    return rated.withColumns({"format": fmt, "parser": parser, "confidence": conf}).drop(
+    shape = F.col("_rung")
+    if forced_parser is not None:
+        shape = F.when(F.col("_forced").isNull(), shape)
+    return rated.withColumns(
+        {"format": fmt, "parser": parser, "confidence": conf, "shape": shape}
+    ).drop(
         "_first", "_keys", "_rung", "_forced"
     )
 

@@ -4,19 +4,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmeld.functions.entries import entries, entry, last_wins
-from logmeld.functions.text import SPACE
+from logmeld.functions.text import SPACE, has_any
 from logmeld.operators.detect import PAIR
 
 # The ASA connection message.
 # Groups: 1 facility, 2 severity, 3 code, 4 action, 5 protocol, 6 source interface, 7 source ip,
 # 8 source port, 9 destination interface, 10 destination ip, 11 destination port.
 CISCO_ASA = (
-    rf"(?i)%(ASA|PIX|FWSM)-(\d)-(\d+):[{SPACE}]+"
-    rf"(Deny|Built|Teardown|Permit|Drop)[{SPACE}]+"
-    rf"(?:(\w+)[{SPACE}]+)?"
-    rf"src[{SPACE}]+(?:([\w\-]+):)?([\d.]+)(?:/(\d+))?[{SPACE}]+"
-    rf"dst[{SPACE}]+(?:([\w\-]+):)?([\d.]+)(?:/(\d+))?"
+    rf"(?i)%(ASA|PIX|FWSM)-(\d)-(\d+):{SPACE}+"
+    rf"(Deny|Built|Teardown|Permit|Drop){SPACE}+"
+    rf"(?:(\w+){SPACE}+)?"
+    rf"src{SPACE}+(?:([\w\-]+):)?([\d.]+)(?:/(\d+))?{SPACE}+"
+    rf"dst{SPACE}+(?:([\w\-]+):)?([\d.]+)(?:/(\d+))?"
 )
+_FORTINET = ["fortigate", "devname=fg", "fortinet"]
+_PALOALTO = ["pan-os", "paloalto"]
 
 
 def pair_entries(line: Column) -> Column:
@@ -65,15 +67,15 @@ def fields(line: Column) -> Column:
 def vendor(lower: Column, asa: Column) -> Column:
     return (
         F.when(asa, "Cisco")
-        .when(lower.rlike("fortigate|devname=fg|fortinet"), "Fortinet")
-        .when(lower.rlike("pan-os|paloalto"), "PaloAlto")
+        .when(has_any(lower, *_FORTINET), "Fortinet")
+        .when(has_any(lower, *_PALOALTO), "PaloAlto")
         .when(lower.contains("checkpoint"), "CheckPoint")
     )
 
 
 def device_type(lower: Column, asa: Column) -> Column:
     return (
-        F.when(asa | lower.rlike("fortigate|devname=fg|fortinet|pan-os|paloalto|checkpoint"), "firewall")
+        F.when(asa | has_any(lower, *_FORTINET, *_PALOALTO, "checkpoint"), "firewall")
         .when(lower.contains("router"), "router")
         .when(lower.contains("vpn"), "vpn")
     )

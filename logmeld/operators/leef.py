@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmeld.functions.entries import entries, entry, last_wins
-from logmeld.functions.text import after, let, strip
+from logmeld.functions.text import after, has_any, let, strip
 
 _HEX_DELIMITER = r"^(?:0?[xX])([0-9a-fA-F]{2})$"
 
@@ -90,7 +90,7 @@ def device_type(product: Column) -> Column:
     return (
         F.when(p.contains("firewall"), "firewall")
         .when(p.contains("vpn"), "vpn")
-        .when(p.rlike("ids|ips"), "ids")
+        .when(has_any(p, "ids", "ips"), "ids")
         .otherwise("network_device")
     )
 

@@ -19,32 +19,53 @@ from logmeld.operators import threat
 FIELDS = "fields"
 
 
-def _values(names: list[str], fields: str = FIELDS) -> list[Column]:
-    f = F.col(fields)
-    return [f[n] for n in names]
+# ---- looking fields up ------------------------------------------------------------------
 
+def by_name(name: str) -> Column:
+    """A field by name, from the map."""
+    return F.col(FIELDS)[name]
 
-def _filled(names: list[str]) -> Column:
+
+def indexed(df: DataFrame) -> DataFrame:
+    """F -> F + hashed keys and values as parallel arrays.
+
+    A map lookup compares the name with every key of the row as text. Normalisation makes about a
+    hundred of them, nearly all in vain; comparing 64-bit hashes makes a miss almost free.
+    """
+    f = F.col(FIELDS)
+    return df.withColumns({
+        "_keys": F.transform(F.map_keys(f), lambda k: F.xxhash64(k)),
+        "_values": F.map_values(f),
+    })
+
+
+def by_index(name: str) -> Column:
+    """A field by name, from the parallel arrays."""
+    at = F.array_position(F.col("_keys"), F.xxhash64(F.lit(name)))
+    return F.when(at > 0, F.element_at(F.col("_values"), at.cast("int")))
+
+
+def _filled(names: list[str], get=by_name) -> Column:
     """First value that is not the empty text, untrimmed."""
-    return F.coalesce(*[F.nullif(v, F.lit("")) for v in _values(names)])
+    return F.coalesce(*[F.when(get(n) != "", get(n)) for n in names])
 
 
 # ---- one value out of many aliases ------------------------------------------------------
 
-def alias_value(names: list[str]) -> Column:
-    return F.coalesce(*[non_blank(v) for v in _values(names)])
+def alias_value(names: list[str], get=by_name) -> Column:
+    return strip(F.coalesce(*[F.when(strip(get(n)) != "", get(n)) for n in names]))
 
 
-def ip_value(names: list[str]) -> Column:
-    return F.coalesce(*[F.when(is_ip(strip(v)), strip(v)) for v in _values(names)])
+def ip_value(names: list[str], get=by_name) -> Column:
+    return strip(F.coalesce(*[F.when(is_ip(strip(get(n))), get(n)) for n in names]))
 
 
-def port_value(names: list[str]) -> Column:
-    return F.coalesce(*[as_port(v) for v in _values(names)])
+def port_value(names: list[str], get=by_name) -> Column:
+    return F.coalesce(*[as_port(get(n)) for n in names])
 
 
-def long_value(names: list[str]) -> Column:
-    return _filled(names).try_cast("bigint")
+def long_value(names: list[str], get=by_name) -> Column:
+    return _filled(names, get).try_cast("bigint")
 
 
 def first_alias(df: DataFrame, aliases: list[str], out: str) -> DataFrame:
@@ -124,11 +145,11 @@ def category_label(raw: Column, action: Column, message: Column) -> Column:
     explicit = F.lower(raw)
     chain = F.when(F.lit(False), F.lit(""))
     for label, words in vocab.CATEGORY_WORDS.items():
-        chain = chain.when(has_any(explicit, words), label)
+        chain = chain.when(has_any(explicit, *words), label)
     for label, words in vocab.CATEGORY_ACTIONS.items():
         chain = chain.when(action.isin(words), label)
     return chain.when(
-        has_any(F.lower(message), vocab.CATEGORY_MESSAGE_WORDS), "authentication"
+        has_any(F.lower(message), *vocab.CATEGORY_MESSAGE_WORDS), "authentication"
     ).otherwise("network")
 
 
@@ -205,27 +226,27 @@ def _with_default(given: Column, key: str, default: str) -> Column:
     )
 
 
-def _identity(df: DataFrame, aliases: dict[str, list[str]]) -> dict[str, Column]:
+def _identity(df: DataFrame, aliases: dict[str, list[str]], get=by_name) -> dict[str, Column]:
     rule = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     return {
         "_vendor": _with_default(rule("vendor"), "vendor", "Generic"),
         "_device": _with_default(rule("device_type"), "device_type", "network_device"),
-        "_hostname": alias_value(aliases["hostname"]),
-        "_device_ip": _filled(aliases["device_ip"]),
+        "_hostname": alias_value(aliases["hostname"], get),
+        "_device_ip": _filled(aliases["device_ip"], get),
     }
 
 
-def _user_parts(aliases: dict[str, list[str]]) -> tuple[Column, Column, Column]:
+def _user_parts(aliases: dict[str, list[str]], get=by_name) -> tuple[Column, Column, Column]:
     return (
-        alias_value(aliases["user"]),
-        strip(_filled(aliases["source_user"])),
-        strip(_filled(aliases["destination_user"])),
+        alias_value(aliases["user"], get),
+        strip(_filled(aliases["source_user"], get)),
+        strip(_filled(aliases["destination_user"], get)),
     )
 
 
-def _process_parts(aliases: dict[str, list[str]]) -> tuple[Column, Column]:
-    pid = F.nullif(non_blank(_filled(aliases["pid"])), F.lit("-"))
-    return strip(_filled(aliases["process"])), pid
+def _process_parts(aliases: dict[str, list[str]], get=by_name) -> tuple[Column, Column]:
+    pid = F.nullif(non_blank(_filled(aliases["pid"], get)), F.lit("-"))
+    return strip(_filled(aliases["process"], get)), pid
 
 
 def source_identity(df: DataFrame) -> DataFrame:
@@ -363,31 +384,31 @@ def normalize(
     """F -> E: the input's columns plus the event's ten and ``timestamp_source``."""
     a = _merged(extra_aliases)
     ingest = _ingest(ingest_ts)
-    f = F.col(FIELDS)
-    user, source_user, destination_user = _user_parts(a)
-    process, pid = _process_parts(a)
-    picked = df.withColumns({
-        **_identity(df, a),
-        "_src_ip": ip_value(a["source_ip"]),
-        "_dst_ip": ip_value(a["destination_ip"]),
-        "_src_port": port_value(a["source_port"]),
-        "_dst_port": port_value(a["destination_port"]),
-        "_protocol": alias_value(a["protocol"]),
-        "_action": alias_value(a["action"]),
-        "_severity": F.coalesce(*[f[n] for n in a["severity"]]),
-        "_time": alias_value(a["timestamp"]),
+    get = by_index
+    user, source_user, destination_user = _user_parts(a, get)
+    process, pid = _process_parts(a, get)
+    picked = indexed(df).withColumns({
+        **_identity(df, a, get),
+        "_src_ip": ip_value(a["source_ip"], get),
+        "_dst_ip": ip_value(a["destination_ip"], get),
+        "_src_port": port_value(a["source_port"], get),
+        "_dst_port": port_value(a["destination_port"], get),
+        "_protocol": alias_value(a["protocol"], get),
+        "_action": alias_value(a["action"], get),
+        "_severity": F.coalesce(*[get(n) for n in a["severity"]]),
+        "_time": alias_value(a["timestamp"], get),
         "_user": user,
         "_source_user": source_user,
         "_destination_user": destination_user,
         "_process": process,
         "_pid": pid,
-        "_sent": long_value(a["bytes_sent"]),
-        "_received": long_value(a["bytes_received"]),
-        "_packets": f["packets"].try_cast("bigint") if a["packets"] == ["packets"] else long_value(a["packets"]),
-        "_type": F.coalesce(_filled(a["event_type"]), F.lit("connection")),
-        "_raw_category": _filled(a["category"]),
-        "_message": _filled(a["message"]),
-        "_threat_text": F.lower(_filled(a["threat_text"])),
+        "_sent": long_value(a["bytes_sent"], get),
+        "_received": long_value(a["bytes_received"], get),
+        "_packets": F.coalesce(*[get(n) for n in a["packets"]]).try_cast("bigint"),
+        "_type": F.coalesce(_filled(a["event_type"], get), F.lit("connection")),
+        "_raw_category": _filled(a["category"], get),
+        "_message": _filled(a["message"], get),
+        "_threat_text": F.lower(_filled(a["threat_text"], get)),
     })
     c = F.col
     cef_rows = (c("format") == "CEF") if cef_severity_scale else None
@@ -396,12 +417,13 @@ def normalize(
         "_action": action_label(c("_action")),
         "_severity": severity_label(c("_severity"), cef_rows),
         "_read": parse_timestamp(c("_time"), _year(ref_year, ingest)),
-    }).withColumn("_category", category_label(c("_raw_category"), c("_action"), c("_message")))
-    scored = labelled.withColumn("threat_intel", threat.intel_value(
-        action=c("_action"), severity=c("_severity"), source_ip=c("_src_ip"),
-        destination_ip=c("_dst_ip"), destination_port=c("_dst_port"), bytes_sent=c("_sent"),
-        text=c("_threat_text"),
-    ))
+        **threat.text_and_address_findings(c("_threat_text"), c("_src_ip"), c("_dst_ip")),
+    }).withColumns({
+        "_category": category_label(c("_raw_category"), c("_action"), c("_message")),
+        "_port_kind": threat.port_type(c("_dst_port"), c("_action")),
+    })
+    scored = labelled.withColumn("threat_intel", threat.intel_of_findings(
+        c("_action"), c("_severity"), c("_dst_port"), c("_sent")))
     intel = c("threat_intel")
     record = scored.withColumns({
         "event_id": id_value("evt_", c("file_path"), c("line_no"), c("line")),

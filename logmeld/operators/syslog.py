@@ -4,21 +4,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmeld.functions.entries import entries, entry, last_wins, no_entries
-from logmeld.functions.text import SPACE, let, strip
-from logmeld.operators.detect import RFC3164, has_priority_mark, is_rfc3164, is_rfc5424
+from logmeld.functions.text import SPACE, WHITESPACE, has_any, let, strip, text_class
+from logmeld.operators.detect import (
+    KEY,
+    RFC3164,
+    RFC3164_RUNG,
+    RFC5424_RUNG,
+    has_priority_mark,
+    is_rfc3164,
+    is_rfc5424,
+)
 
 # Message pairs, structured data and vendor marks.
-_MESSAGE_PAIR = (
-    rf'(?<![a-zA-Z0-9_.\-])[a-zA-Z0-9_.\-]++=(?:[^{SPACE}",]+|"[^"]*")'
-)
-_SD_ELEMENT = rf"\[([^{SPACE}\]]+)[{SPACE}]+([^\]]*)\]"
+_MESSAGE_PAIR = rf'{KEY}=(?:{text_class(chr(34) + ",")}+|"[^"]*")'
+_SD_ELEMENT = rf"\[({text_class(']')}+){SPACE}+([^\]]*)\]"
 _SD_PARAM = r'(\w+)="([^"]*)"'
 _CISCO_MARK = r"(?i)%(?:ASA|PIX|FWSM|FTD)-(\d)-(\d+)"
-_FORTI_MARK = r"""(?:devname|devid)=["']?(?:fg|fw)|fortigate|fortinet"""
-_PALO_MARK = r"(?:traffic|threat|system),\d{4}/\d{2}/\d{2}|paloalto|pan-os"
-_CHECKPOINT_MARK = rf"(?:product|fw)=.*(?:smartdefense|check[{SPACE}]*point|vpn-1)|checkpoint"
-_JUNIPER_MARK = r"rt_flow|rt_utm|kern|ui_|juniper|srx"
-_RFC3164_FULL = rf"(?s){RFC3164}(?:([a-zA-Z0-9_\-./]+)(?:\[(\d+)\])?:[{SPACE}]*)?(.*)$"
+_FORTI_MARK = r"""(?:devname|devid)=["']?(?:fg|fw)"""
+_PALO_MARK = r"(?:traffic|threat|system),\d{4}/\d{2}/\d{2}"
+_CHECKPOINT_MARK = rf"(?:product|fw)=.*(?:smartdefense|check{SPACE}*point|vpn-1)"
+_JUNIPER_MARKS = ["rt_flow", "rt_utm", "kern", "ui_", "juniper", "srx"]
+_RFC3164_FULL = rf"(?s){RFC3164}(?:([a-zA-Z0-9_\-./]+)(?:\[(\d+)\])?:{SPACE}*)?(.*)$"
+_SINGLE_SPACED = rf"^<\d{{1,3}}>\d+(?: {text_class()}+){{5}}(?: {text_class()}|$)"
 
 
 def _priority(pri: Column) -> dict[str, Column]:
@@ -28,8 +35,13 @@ def _priority(pri: Column) -> dict[str, Column]:
 # ---- RFC 5424 ---------------------------------------------------------------------------
 
 def rfc5424_parts(line: Column) -> Column:
-    """``<pri>version``, timestamp, host, application, process id, message id and the rest."""
-    return F.split(line, rf"[{SPACE}]+", 7)
+    """``<pri>version``, timestamp, host, application, process id, message id and the rest.
+
+    A single space is split by without a regular expression; other spacing is rare.
+    """
+    return F.when(line.rlike(_SINGLE_SPACED), F.split(line, " ", 7)).otherwise(
+        F.split(line, rf"{SPACE}+", 7)
+    )
 
 
 def _rest(parts: Column) -> Column:
@@ -46,9 +58,7 @@ def structured_part(rest: Column) -> Column:
 
 
 def _message(rest: Column) -> Column:
-    return F.regexp_replace(
-        F.substr(rest, F.length(structured_part(rest)) + 1), rf"^[{SPACE}]+", ""
-    )
+    return F.ltrim(F.substr(rest, F.length(structured_part(rest)) + 1), F.lit(WHITESPACE))
 
 
 def sd_entries(sd: Column) -> Column:
@@ -135,11 +145,16 @@ def _message_of(named: Column) -> Column:
     return F.filter(named, lambda e: e["key"] == "message")[0]["value"]
 
 
-def line_entries(line: Column) -> Column:
-    """Header fields by the first shape that fits, without the message's own pairs."""
+def line_entries(line: Column, shape: Column) -> Column:
+    """Header fields by the first shape that fits, without the message's own pairs.
+
+    ``shape`` is the rung detection stopped at; where it is null the line is tested here.
+    """
+    untested = shape.isNull()
     return (
-        F.when(is_rfc5424(line), rfc5424_entries(rfc5424_parts(line)))
-        .when(is_rfc3164(line), rfc3164_entries(line))
+        F.when((shape == RFC5424_RUNG) | (untested & is_rfc5424(line)),
+               let(rfc5424_parts(line), rfc5424_entries))
+        .when((shape == RFC3164_RUNG) | (untested & is_rfc3164(line)), rfc3164_entries(line))
         .otherwise(pri_only_entries(line))
     )
 
@@ -149,9 +164,9 @@ def with_message_pairs(named: Column, message: Column) -> Column:
     return last_wins(F.concat(named, message_entries(message)))
 
 
-def fields(line: Column) -> Column:
+def fields(line: Column, shape: Column) -> Column:
     return let(
-        line_entries(line),
+        line_entries(line, shape),
         lambda named: let(_message_of(named), lambda m: with_message_pairs(named, m)),
     )
 
@@ -163,24 +178,27 @@ def _cisco(line: Column) -> Column:
 
 
 def vendor(line: Column, lower: Column) -> Column:
+    forti = has_any(lower, "devname=", "devid=") & lower.rlike(_FORTI_MARK)
+    palo = lower.contains(",") & lower.rlike(_PALO_MARK)
+    checkpoint = has_any(lower, "product=", "fw=") & lower.rlike(_CHECKPOINT_MARK)
     return (
         F.when(_cisco(line) | lower.contains("cisco"), "Cisco")
-        .when(lower.rlike(_FORTI_MARK), "Fortinet")
-        .when(lower.rlike(_PALO_MARK), "PaloAlto")
-        .when(lower.rlike(_CHECKPOINT_MARK), "CheckPoint")
-        .when(lower.rlike(_JUNIPER_MARK), "Juniper")
-        .when(lower.rlike("suricata|snort"), "OpenSource")
-        .when(lower.rlike("f5|big-ip|bigip"), "F5")
-        .when(lower.rlike("sophos|xg firewall"), "Sophos")
+        .when(forti | has_any(lower, "fortigate", "fortinet"), "Fortinet")
+        .when(has_any(lower, "paloalto", "pan-os") | palo, "PaloAlto")
+        .when(checkpoint | lower.contains("checkpoint"), "CheckPoint")
+        .when(has_any(lower, *_JUNIPER_MARKS), "Juniper")
+        .when(has_any(lower, "suricata", "snort"), "OpenSource")
+        .when(has_any(lower, "f5", "big-ip", "bigip"), "F5")
+        .when(has_any(lower, "sophos", "xg firewall"), "Sophos")
     )
 
 
 def device_type(line: Column, lower: Column, found: Column) -> Column:
     """``found`` is the vendor rule's result for the same line."""
     cisco = (
-        F.when(_cisco(line) | lower.rlike("asa|ftd"), "firewall")
-        .when(lower.rlike("ios|router"), "router")
-        .when(lower.rlike("switch|catalyst"), "switch")
+        F.when(_cisco(line) | has_any(lower, "asa", "ftd"), "firewall")
+        .when(has_any(lower, "ios", "router"), "router")
+        .when(has_any(lower, "switch", "catalyst"), "switch")
     )
     return (
         F.when(found == "Cisco", cisco)

@@ -44,35 +44,35 @@ def egress_points(sent: Column) -> Column:
     return F.when(large_egress(sent), vocab.LARGE_EGRESS_SCORE).otherwise(0)
 
 
-def _hits(text: Column) -> dict[str, tuple[Column, int]]:
-    return {
-        kind: (F.coalesce(has_any(text, words), F.lit(False)), points)
-        for kind, (words, points) in vocab.THREAT_WORDS.items()
-    }
+def _hit(text: Column, kind: str) -> Column:
+    return F.coalesce(has_any(text, *vocab.THREAT_WORDS[kind][0]), F.lit(False))
+
 
+def keyword_hits(text: Column) -> dict[str, Column]:
+    return {kind: _hit(text, kind) for kind in vocab.THREAT_WORDS}
 
-def keyword_type(text: Column) -> Column:
+
+def keyword_type(hits: dict[str, Column]) -> Column:
     """Brute-force words name the type whatever else was found; the others in order."""
-    hits = _hits(text)
-    chain = F.when(hits["BruteForce"][0], "BruteForce")
+    chain = F.when(hits["BruteForce"], "BruteForce")
     for kind in ("PortScan", "LateralMovement", "PrivilegeEsc"):
-        chain = chain.when(hits[kind][0], kind)
+        chain = chain.when(hits[kind], kind)
     return chain
 
 
-def keyword_points(text: Column) -> Column:
+def keyword_points(hits: dict[str, Column]) -> Column:
     return reduce(
         lambda a, b: a + b,
-        [F.when(hit, F.lit(points)).otherwise(F.lit(0)) for hit, points in _hits(text).values()],
+        [F.when(hits[k], F.lit(p)).otherwise(F.lit(0)) for k, (_, p) in vocab.THREAT_WORDS.items()],
     )
 
 
-def geo_label(ip: Column) -> Column:
-    return F.when(is_private(ip), "Internal LAN").otherwise("External")
+def _geo(private: Column) -> Column:
+    return F.when(private, "Internal LAN").otherwise("External")
 
 
-def inbound_denied_points(source_ip: Column, destination_ip: Column, action: Column) -> Column:
-    inbound = ~is_private(source_ip) & is_private(destination_ip) & (action == "deny")
+def _inbound_denied(source_private: Column, destination_private: Column, action: Column) -> Column:
+    inbound = ~source_private & destination_private & (action == "deny")
     return F.when(inbound, vocab.INBOUND_DENIED_SCORE).otherwise(0)
 
 
@@ -100,14 +100,31 @@ def indicator_list(action, port, port_kind, sent, inbound) -> Column:
     ))
 
 
-def intel_value(action, severity, source_ip, destination_ip, destination_port, bytes_sent, text) -> Column:
-    """All rules in one struct. ``text`` is lower-cased message text."""
-    port_kind = port_type(destination_port, action)
-    inbound = inbound_denied_points(source_ip, destination_ip, action)
-    kind = threat_kind(port_kind, large_egress(bytes_sent), keyword_type(text))
+_HIT = {kind: f"_hit_{kind}" for kind in vocab.THREAT_WORDS}
+
+
+def text_and_address_findings(text: Column, source_ip: Column, destination_ip: Column) -> dict[str, Column]:
+    """The findings several rules share, to be columns of a projection of their own.
+
+    ``text`` is lower-cased message text.
+    """
+    return {
+        **{_HIT[kind]: hit for kind, hit in keyword_hits(text).items()},
+        "_source_private": is_private(source_ip),
+        "_destination_private": is_private(destination_ip),
+    }
+
+
+def intel_of_findings(action: Column, severity: Column, port: Column, sent: Column) -> Column:
+    """All rules in one struct, over the finding columns and ``_port_kind``."""
+    hits = {kind: F.col(name) for kind, name in _HIT.items()}
+    port_kind = F.col("_port_kind")
+    source, destination = F.col("_source_private"), F.col("_destination_private")
+    inbound = _inbound_denied(source, destination, action)
+    kind = threat_kind(port_kind, large_egress(sent), keyword_type(hits))
     total = (
-        action_points(action) + severity_points(severity) + port_points(destination_port, action)
-        + egress_points(bytes_sent) + keyword_points(text) + inbound
+        action_points(action) + severity_points(severity) + _score(port_kind, vocab.PORT_SCORES)
+        + egress_points(sent) + keyword_points(hits) + inbound
     )
     risk = F.greatest(F.lit(0), F.least(F.lit(100), total))
     return F.struct(
@@ -115,9 +132,9 @@ def intel_value(action, severity, source_ip, destination_ip, destination_port, b
         kind.alias("threat_type"),
         technique(kind).alias("mitre_technique_id"),
         risk.alias("risk_score"),
-        geo_label(source_ip).alias("geo_source"),
-        geo_label(destination_ip).alias("geo_destination"),
-        indicator_list(action, destination_port, port_kind, bytes_sent, inbound).alias("indicators"),
+        _geo(source).alias("geo_source"),
+        _geo(destination).alias("geo_destination"),
+        indicator_list(action, port, port_kind, sent, inbound).alias("indicators"),
     )
 
 
@@ -145,8 +162,8 @@ def egress_score(df: DataFrame, sent: str = "bytes_sent") -> DataFrame:
 
 
 def keyword_score(df: DataFrame, text: str = "message") -> DataFrame:
-    t = F.lower(F.col(text))
-    return df.withColumns({"keyword_type": keyword_type(t), "keyword_score": keyword_points(t)})
+    hits = keyword_hits(F.lower(F.col(text)))
+    return df.withColumns({"keyword_type": keyword_type(hits), "keyword_score": keyword_points(hits)})
 
 
 def is_private_ip(df: DataFrame, col: str, out: str = "is_private") -> DataFrame:
@@ -157,8 +174,8 @@ def geo_labels(
     df: DataFrame, source_ip: str = "source_ip", destination_ip: str = "destination_ip"
 ) -> DataFrame:
     return df.withColumns({
-        "geo_source": geo_label(F.col(source_ip)),
-        "geo_destination": geo_label(F.col(destination_ip)),
+        "geo_source": _geo(is_private(F.col(source_ip))),
+        "geo_destination": _geo(is_private(F.col(destination_ip))),
     })
 
 
@@ -168,7 +185,9 @@ def inbound_denied_score(
 ) -> DataFrame:
     return df.withColumn(
         "inbound_denied_score",
-        inbound_denied_points(F.col(source_ip), F.col(destination_ip), F.col(action)),
+        _inbound_denied(
+            is_private(F.col(source_ip)), is_private(F.col(destination_ip)), F.col(action)
+        ),
     )
 
 
@@ -180,9 +199,13 @@ def score_threats(
 ) -> DataFrame:
     """E -> E + threat_intel."""
     c = F.col
-    return df.withColumn("threat_intel", intel_value(
-        c(action), c(severity), c(source_ip), c(destination_ip), c(destination_port),
-        c(bytes_sent), F.lower(c(text))))
+    found = df.withColumns({
+        **text_and_address_findings(F.lower(c(text)), c(source_ip), c(destination_ip)),
+        "_port_kind": port_type(c(destination_port), c(action)),
+    })
+    scored = found.withColumn("threat_intel", intel_of_findings(
+        c(action), c(severity), c(destination_port), c(bytes_sent)))
+    return scored.drop("_port_kind", "_source_private", "_destination_private", *_HIT.values())
 
 
 def technique_id(df: DataFrame, type_col: str = "threat_type") -> DataFrame:

@@ -107,7 +107,7 @@ def extract_fields(df: DataFrame) -> DataFrame:
         .when(fmt == "LEEF", leef.fields(parts))
         .when(fmt == "JSON", json_object.fields(doc))
         .when(fmt == "KEY_VALUE", key_value.fields(line))
-        .when(fmt == "SYSLOG", syslog.fields(line))
+        .when(fmt == "SYSLOG", syslog.fields(line, F.col("shape")))
         .when(fmt == "CSV", delimited.fields(parts, header, lower)),
         "vendor": F.when(fmt == "JSON", json_object.vendor(doc, lower))
         .when(fmt == "KEY_VALUE", key_value.vendor(lower, asa))
