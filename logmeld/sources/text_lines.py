@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from logmeld.functions.text import strip
 
 # Everything a line break may be in pasted text.
-_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
+_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 BROADCAST_SPLITS = 200_000
 
 
