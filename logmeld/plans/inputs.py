@@ -81,10 +81,10 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make():
         clean = prepared(lines(spark, sf_dir))
         headed = attach_headers(with_parts(detect_format(clean)), clean, None, "auto")
-        rows = extract_fields(headed).filter(F.col("fields").isNotNull() & (F.col("line_no") >= 0))
-        return written(rows.select(
+        rows = written(extract_fields(headed).select(
             "line", "raw_line", "file_path", "line_no", "format", "parser", "confidence",
             "fields", "vendor", "device_type"), "fields")
+        return rows.filter(F.col("fields").isNotNull() & (F.col("line_no") >= 0))
 
     return once(spark, sf_dir, "fields", make)
 

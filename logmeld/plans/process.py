@@ -182,6 +182,36 @@ def _with_outcome(df: DataFrame, ingest: Column) -> DataFrame:
     )
 
 
+ONBOARDED_SOURCES = 1_000
+
+
+def onboard_source(
+    lines: DataFrame, config: DataFrame, ingest_ts=None, ref_year: int | None = None, source: str | None = None
+) -> DataFrame:
+    """Lines of a new source -> processed rows, by configuration alone.
+
+    ``config``: (name, vendor, device_type, parser, field_mapping), one row per source; ``source``
+    names the row where there are several. The table is small, and checked to be.
+    """
+    rows = config.limit(ONBOARDED_SOURCES + 1).collect()
+    if len(rows) > ONBOARDED_SOURCES:
+        raise ValueError(f"more than {ONBOARDED_SOURCES} configured sources")
+    chosen = [r for r in rows if source in (None, r["name"])]
+    if len(chosen) != 1:
+        raise ValueError("name one configured source")
+    row = chosen[0]
+    mapping = lines.sparkSession.createDataFrame(
+        [(k, v, i) for i, (k, v) in enumerate((row["field_mapping"] or {}).items())],
+        "vendor_field string, universal_field string, priority int",
+    )
+    done = process(lines, forced_parser=row["parser"], ingest_ts=ingest_ts, ref_year=ref_year, mapping=mapping)
+    labels = {"vendor": row["vendor"], "device_type": row["device_type"]}
+    for key, value in labels.items():
+        if value is not None:
+            done = done.withColumn("source", F.col("source").withField(key, F.lit(value)))
+    return done
+
+
 def quarantine_reason(processed: DataFrame) -> DataFrame:
     """Processed lines -> Q: one row per failed line, with the reason."""
     c = F.col
