@@ -30,9 +30,3 @@ def is_private(ip: Column) -> Column:
     return F.when(F.coalesce(ip, F.lit("")) == "", F.lit(True)).otherwise(
         F.coalesce((F.size(parts) == 4) & b.isNotNull() & ranges, F.lit(False))
     )
-
-
-def as_port(text: Column) -> Column:
-    """The text as a port number, or null where it is not an integer in 0..65535."""
-    number = text.try_cast("int")
-    return F.when(number.between(0, 65535), number)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from logmeld import vocab
 from logmeld.functions.entries import entry, last_wins
-from logmeld.functions.network import as_port, is_ip
-from logmeld.functions.text import has_any, let, non_blank, strip
+from logmeld.functions.network import IP_PATTERN, is_ip
+from logmeld.functions.text import WHITESPACE, has_any, let, non_blank, strip
 from logmeld.functions.timestamps import parse_timestamp
 from logmeld.operators import threat
 
@@ -21,9 +21,16 @@ FIELDS = "fields"
 
 # ---- looking fields up ------------------------------------------------------------------
 
-def by_name(name: str) -> Column:
+# Lookups are written as SQL text: a hundred of them are then a few parsed expressions instead of
+# thousands of calls from Python to the JVM.
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def by_name(name: str) -> str:
     """A field by name, from the map."""
-    return F.col(FIELDS)[name]
+    return f"{FIELDS}[{_quoted(name)}]"
 
 
 def indexed(df: DataFrame) -> DataFrame:
@@ -39,29 +46,43 @@ def indexed(df: DataFrame) -> DataFrame:
     })
 
 
-def by_index(name: str) -> Column:
+def by_index(name: str) -> str:
     """A field by name, from the parallel arrays."""
-    at = F.array_position(F.col("_keys"), F.xxhash64(F.lit(name)))
-    return F.when(at > 0, F.element_at(F.col("_values"), at.cast("int")))
+    at = f"array_position(_keys, xxhash64({_quoted(name)}))"
+    return f"element_at(_values, cast(nullif({at}, 0L) as int))"
+
+
+_STRIPPED = "btrim({}, '" + "".join(rf"\u{ord(ch):04x}" for ch in WHITESPACE) + "')"
+
+
+def _first(test: str, names: list[str], get) -> Column:
+    """The first value that passes the test; ``{v}`` stands for it, ``{s}`` for it stripped."""
+    arms = []
+    for n in names:
+        v = get(n)
+        arms.append(f"case when {test.format(v=v, s=_STRIPPED.format(v))} then {v} end")
+    return F.expr(f"coalesce({', '.join(arms)})")
 
 
 def _filled(names: list[str], get=by_name) -> Column:
     """First value that is not the empty text, untrimmed."""
-    return F.coalesce(*[F.when(get(n) != "", get(n)) for n in names])
+    return _first("{v} != ''", names, get)
 
 
 # ---- one value out of many aliases ------------------------------------------------------
 
 def alias_value(names: list[str], get=by_name) -> Column:
-    return strip(F.coalesce(*[F.when(strip(get(n)) != "", get(n)) for n in names]))
+    return strip(_first("{s} != ''", names, get))
 
 
 def ip_value(names: list[str], get=by_name) -> Column:
-    return strip(F.coalesce(*[F.when(is_ip(strip(get(n))), get(n)) for n in names]))
+    pattern = IP_PATTERN.replace("{", "{{").replace("}", "}}")
+    return strip(_first(f"{{s}} rlike r'{pattern}'", names, get))
 
 
 def port_value(names: list[str], get=by_name) -> Column:
-    return F.coalesce(*[as_port(get(n)) for n in names])
+    arms = [f"case when try_cast({get(n)} as int) between 0 and 65535 then try_cast({get(n)} as int) end" for n in names]
+    return F.expr(f"coalesce({', '.join(arms)})")
 
 
 def long_value(names: list[str], get=by_name) -> Column:
@@ -354,7 +375,12 @@ def map_fields(df: DataFrame, mapping: DataFrame) -> DataFrame:
         ordered = F.reverse(F.array_sort(usable))
         return last_wins(F.transform(ordered, lambda e: entry(e["key"], e["value"])))
 
-    return df.withColumn(FIELDS, let(table, translate))
+    # The subquery gets a column of its own: it may not stand inside the lambdas.
+    return (
+        df.withColumn("_mapping", table)
+        .withColumn(FIELDS, let(F.col("_mapping"), translate))
+        .drop("_mapping")
+    )
 
 
 # ---- the whole record -------------------------------------------------------------------
@@ -395,7 +421,9 @@ def normalize(
         "_dst_port": port_value(a["destination_port"], get),
         "_protocol": alias_value(a["protocol"], get),
         "_action": alias_value(a["action"], get),
-        "_severity": F.coalesce(*[get(n) for n in a["severity"]]),
+        # First present, even if blank. A higher-order function also keeps this projection, far
+        # too wide for one generated method, out of whole-stage code generation.
+        "_severity": F.expr(f"get(array_compact(array({', '.join(map(get, a['severity']))})), 0)"),
         "_time": alias_value(a["timestamp"], get),
         "_user": user,
         "_source_user": source_user,
@@ -404,7 +432,7 @@ def normalize(
         "_pid": pid,
         "_sent": long_value(a["bytes_sent"], get),
         "_received": long_value(a["bytes_received"], get),
-        "_packets": F.coalesce(*[get(n) for n in a["packets"]]).try_cast("bigint"),
+        "_packets": F.expr(f"coalesce({', '.join(map(get, a['packets']))})").try_cast("bigint"),
         "_type": F.coalesce(_filled(a["event_type"], get), F.lit("connection")),
         "_raw_category": _filled(a["category"], get),
         "_message": _filled(a["message"], get),

@@ -89,6 +89,17 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "fields", make)
 
 
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered lines with the format detection found."""
+
+    def make():
+        rows = detect_format(rendered(spark, sf_dir))
+        return written(rows.select(
+            F.col("event_id").alias("line_no"), "line", "file_path", "tpl", "format"), "detected")
+
+    return once(spark, sf_dir, "detected", make)
+
+
 def text_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder of text files holding the rendered lines."""
 

@@ -267,8 +267,7 @@ def _(spark, sf):
 
 def _of(spark, sf, fmt: str) -> DataFrame:
     """Rendered lines of one detected format."""
-    rows = detect.detect_format(src.rendered(spark, sf)).drop("document", "parser", "shape")
-    return rows.filter(c("format") == fmt).withColumn("line_no", c("event_id"))
+    return src.detected(spark, sf).filter(c("format") == fmt)
 
 
 @query("p1_cef_header", over("""select line_no, case when ok then '0' end as cef_version, case when ok then 'Acme' end as vendor,
@@ -593,7 +592,8 @@ def _(spark, sf):
         iso=fmt("yyyy-MM-dd'T'HH:mm:ss'Z'"), bsd=fmt("MMM  d HH:mm:ss"), sec="cast(unix_seconds(ts) as string)",
         ms="cast(unix_millis(ts) as string)", slash=fmt("yyyy/MM/dd HH:mm:ss"), clf=fmt("dd/MMM/yyyy:HH:mm:ss '+0200'"),
         space=fmt("yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    rows = src.table(spark, sf, "events").select("event_id", F.expr(text).alias("t"))
+    rows = src.table(spark, sf, "events").withColumn("ts", c("ts").cast("timestamp"))
+    rows = rows.select("event_id", F.expr(text).alias("t"))
     return normalize.normalize_timestamp(rows, "t", fx.REF_YEAR, fx.INGEST_TS).select("event_id", "timestamp", "timestamp_source")
 
 
@@ -1058,7 +1058,7 @@ def _(spark, sf):
 def _ground_stream(spark, sf) -> DataFrame:
     schema = src.table(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return rows.select(c("ts").alias("timestamp"), c("event_id").cast("string").alias("event_id"), c("event_type").alias("kind"),
+    return rows.select(c("ts").cast("timestamp").alias("timestamp"), c("event_id").cast("string").alias("event_id"), c("event_type").alias("kind"),
                        F.struct(F.concat(F.lit("u"), "user_id").alias("source_ip")).alias("network"))
 
 

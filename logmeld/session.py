@@ -31,6 +31,8 @@ def build_session(app: str = "logmeld", master: str | None = None, **conf) -> Sp
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Recording a Python call site for every column expression doubles the time to build a plan.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **TUNING,
         **conf,
     }
