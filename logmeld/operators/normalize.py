@@ -20,73 +20,51 @@ FIELDS = "fields"
 
 
 # ---- looking fields up ------------------------------------------------------------------
-
+#
 # Lookups are written as SQL text: a hundred of them are then a few parsed expressions instead of
-# thousands of calls from Python to the JVM.
+# thousands of calls from Python to the JVM. In a test ``{v}`` stands for the value and ``{s}`` for
+# the value stripped.
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def by_name(name: str) -> str:
-    """A field by name, from the map."""
-    return f"{FIELDS}[{_quoted(name)}]"
-
-
-def indexed(df: DataFrame) -> DataFrame:
-    """F -> F + hashed keys and values as parallel arrays.
-
-    A map lookup compares the name with every key of the row as text. Normalisation makes about a
-    hundred of them, nearly all in vain; comparing 64-bit hashes makes a miss almost free.
-    """
-    f = F.col(FIELDS)
-    return df.withColumns({
-        "_keys": F.transform(F.map_keys(f), lambda k: F.xxhash64(k)),
-        "_values": F.map_values(f),
-    })
-
-
-def by_index(name: str) -> str:
-    """A field by name, from the parallel arrays."""
-    at = f"array_position(_keys, xxhash64({_quoted(name)}))"
-    return f"element_at(_values, cast(nullif({at}, 0L) as int))"
+_STRIPPED = "btrim({}, '" + "".join(rf"\u{ord(ch):04x}" for ch in WHITESPACE) + "')"
 
 
-_STRIPPED = "btrim({}, '" + "".join(rf"\u{ord(ch):04x}" for ch in WHITESPACE) + "')"
+def _test(test: str, value: str) -> str:
+    return test.format(v=value, s=_STRIPPED.format(value))
 
 
-def _first(test: str, names: list[str], get) -> Column:
-    """The first value that passes the test; ``{v}`` stands for it, ``{s}`` for it stripped."""
-    arms = []
-    for n in names:
-        v = get(n)
-        arms.append(f"case when {test.format(v=v, s=_STRIPPED.format(v))} then {v} end")
+def from_map(test: str, names: list[str]) -> Column:
+    """The first value that passes the test, straight from the fields map."""
+    values = [f"{FIELDS}[{_quoted(n)}]" for n in names]
+    arms = [f"case when {_test(test, v)} then {v} end" for v in values]
     return F.expr(f"coalesce({', '.join(arms)})")
 
 
-def _filled(names: list[str], get=by_name) -> Column:
-    """First value that is not the empty text, untrimmed."""
-    return _first("{v} != ''", names, get)
+# ---- one value out of many aliases ------------------------------------------------------
 
+def _filled(names: list[str]) -> Column:
+    """First value that is not the empty text, untrimmed."""
+    return from_map("{v} != ''", names)
 
-# ---- one value out of many aliases ------------------------------------------------------
 
-def alias_value(names: list[str], get=by_name) -> Column:
-    return strip(_first("{s} != ''", names, get))
+def alias_value(names: list[str]) -> Column:
+    return strip(from_map("{s} != ''", names))
 
 
-def ip_value(names: list[str], get=by_name) -> Column:
+def ip_value(names: list[str]) -> Column:
     pattern = IP_PATTERN.replace("{", "{{").replace("}", "}}")
-    return strip(_first(f"{{s}} rlike r'{pattern}'", names, get))
+    return strip(from_map(f"{{s}} rlike r'{pattern}'", names))
 
 
-def port_value(names: list[str], get=by_name) -> Column:
-    arms = [f"case when try_cast({get(n)} as int) between 0 and 65535 then try_cast({get(n)} as int) end" for n in names]
-    return F.expr(f"coalesce({', '.join(arms)})")
+def port_value(names: list[str]) -> Column:
+    return from_map("try_cast({v} as int) between 0 and 65535", names).try_cast("int")
 
 
-def long_value(names: list[str], get=by_name) -> Column:
-    return _filled(names, get).try_cast("bigint")
+def long_value(names: list[str]) -> Column:
+    return _filled(names).try_cast("bigint")
 
 
 def first_alias(df: DataFrame, aliases: list[str], out: str) -> DataFrame:
@@ -247,27 +225,27 @@ def _with_default(given: Column, key: str, default: str) -> Column:
     )
 
 
-def _identity(df: DataFrame, aliases: dict[str, list[str]], get=by_name) -> dict[str, Column]:
+def _identity(df: DataFrame, aliases: dict[str, list[str]]) -> dict[str, Column]:
     rule = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     return {
         "_vendor": _with_default(rule("vendor"), "vendor", "Generic"),
         "_device": _with_default(rule("device_type"), "device_type", "network_device"),
-        "_hostname": alias_value(aliases["hostname"], get),
-        "_device_ip": _filled(aliases["device_ip"], get),
+        "_hostname": alias_value(aliases["hostname"]),
+        "_device_ip": _filled(aliases["device_ip"]),
     }
 
 
-def _user_parts(aliases: dict[str, list[str]], get=by_name) -> tuple[Column, Column, Column]:
+def _user_parts(aliases: dict[str, list[str]]) -> tuple[Column, Column, Column]:
     return (
-        alias_value(aliases["user"], get),
-        strip(_filled(aliases["source_user"], get)),
-        strip(_filled(aliases["destination_user"], get)),
+        alias_value(aliases["user"]),
+        strip(_filled(aliases["source_user"])),
+        strip(_filled(aliases["destination_user"])),
     )
 
 
-def _process_parts(aliases: dict[str, list[str]], get=by_name) -> tuple[Column, Column]:
-    pid = F.nullif(non_blank(_filled(aliases["pid"], get)), F.lit("-"))
-    return strip(_filled(aliases["process"], get)), pid
+def _process_parts(aliases: dict[str, list[str]]) -> tuple[Column, Column]:
+    pid = F.nullif(non_blank(_filled(aliases["pid"])), F.lit("-"))
+    return strip(_filled(aliases["process"])), pid
 
 
 def source_identity(df: DataFrame) -> DataFrame:
@@ -410,33 +388,32 @@ def normalize(
     """F -> E: the input's columns plus the event's ten and ``timestamp_source``."""
     a = _merged(extra_aliases)
     ingest = _ingest(ingest_ts)
-    get = by_index
-    user, source_user, destination_user = _user_parts(a, get)
-    process, pid = _process_parts(a, get)
-    picked = indexed(df).withColumns({
-        **_identity(df, a, get),
-        "_src_ip": ip_value(a["source_ip"], get),
-        "_dst_ip": ip_value(a["destination_ip"], get),
-        "_src_port": port_value(a["source_port"], get),
-        "_dst_port": port_value(a["destination_port"], get),
-        "_protocol": alias_value(a["protocol"], get),
-        "_action": alias_value(a["action"], get),
+    user, source_user, destination_user = _user_parts(a)
+    process, pid = _process_parts(a)
+    picked = df.withColumns({
+        **_identity(df, a),
+        "_src_ip": ip_value(a["source_ip"]),
+        "_dst_ip": ip_value(a["destination_ip"]),
+        "_src_port": port_value(a["source_port"]),
+        "_dst_port": port_value(a["destination_port"]),
+        "_protocol": alias_value(a["protocol"]),
+        "_action": alias_value(a["action"]),
         # First present, even if blank. A higher-order function also keeps this projection, far
         # too wide for one generated method, out of whole-stage code generation.
-        "_severity": F.expr(f"get(array_compact(array({', '.join(map(get, a['severity']))})), 0)"),
-        "_time": alias_value(a["timestamp"], get),
+        "_severity": F.get(F.array_compact(F.array(*[F.col(FIELDS)[n] for n in a["severity"]])), F.lit(0)),
+        "_time": alias_value(a["timestamp"]),
         "_user": user,
         "_source_user": source_user,
         "_destination_user": destination_user,
         "_process": process,
         "_pid": pid,
-        "_sent": long_value(a["bytes_sent"], get),
-        "_received": long_value(a["bytes_received"], get),
-        "_packets": F.expr(f"coalesce({', '.join(map(get, a['packets']))})").try_cast("bigint"),
-        "_type": F.coalesce(_filled(a["event_type"], get), F.lit("connection")),
-        "_raw_category": _filled(a["category"], get),
-        "_message": _filled(a["message"], get),
-        "_threat_text": F.lower(_filled(a["threat_text"], get)),
+        "_sent": long_value(a["bytes_sent"]),
+        "_received": long_value(a["bytes_received"]),
+        "_packets": from_map("{v} is not null", a["packets"]).try_cast("bigint"),
+        "_type": F.coalesce(_filled(a["event_type"]), F.lit("connection")),
+        "_raw_category": _filled(a["category"]),
+        "_message": _filled(a["message"]),
+        "_threat_text": F.lower(_filled(a["threat_text"])),
     })
     c = F.col
     cef_rows = (c("format") == "CEF") if cef_severity_scale else None
