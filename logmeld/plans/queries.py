@@ -1069,7 +1069,13 @@ def _(spark, sf):
     return _finished(spark, stream_counts(_ground_stream(spark, sf), key="kind"), "counts")
 
 
-@query("x10b_stream_sessions")
+_SESSIONS = """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as starts from events),
+ n as (select *, sum(starts) over (partition by user_id order by ts rows between unbounded preceding and current row) as session from g)
+select min(ts) as session_start, max(ts) + interval 30 minute as session_end, 'u' || cast(user_id as string) as source_ip, count(*) as n from n group by user_id, session
+having max(ts) + interval 30 minute <= (select max(ts) - interval 10 minute from events)"""
+
+
+@query("x10b_stream_sessions", _SESSIONS)
 def _(spark, sf):
     from logmeld.streaming.streams import stream_sessions
 
