@@ -161,13 +161,6 @@ def analytics(t: DataFrame, q: DataFrame) -> DataFrame:
 
 # ---- batch summaries --------------------------------------------------------------------
 
-def _counts_map(e: DataFrame, key: Column, name: str) -> DataFrame:
-    counts = e.groupBy(key.alias("k")).agg(F.count("*").alias("n"))
-    return counts.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name)
-    )
-
-
 def batch_breakdowns(e: DataFrame) -> DataFrame:
     """One row of three maps: events by device type, by format and by action.
 
