@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logmeld.llm import decontaminate as decontamination, line_quality, sharding, url_rules
+from logmeld.llm import chunk_dedup, decontaminate as decontamination, line_quality, near_dup, piece_lattice, sharding, url_rules
 
 SHARDS = 16
 #: Fixed values of the task: (host, path, verdict).
@@ -29,6 +29,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"select * from values {_RULES} as rules(host, path, verdict)")
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -39,16 +43,28 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(docs, items).drop("text")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_quality.quality(docs).drop("text", "clean_text")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_lattice.encode_documents(docs, drop_text=True)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_decontamination": op5_decontamination,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES = {
