@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from logmeld.llm import chunk_dedup, decontaminate as decontamination, line_quality, near_dup, page_text, piece_lattice, sharding, token_scan, url_rules
 
 SHARDS = 16
@@ -75,6 +76,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extraction": op8_html_extraction,
     "op10_sentencepiece": op10_sentencepiece,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
