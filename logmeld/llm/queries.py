@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from logmeld.llm import chunk_dedup, decontaminate as decontamination, line_quality, near_dup, page_text, piece_lattice, sharding, token_scan, url_rules
+from logmeld.llm import chunk_dedup, decontaminate as decontamination, line_quality, mix_lm, near_dup, page_text, piece_lattice, sharding, token_scan, url_rules
 
 SHARDS = 16
 #: Fixed values of the task: (host, path, verdict).
@@ -61,6 +61,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_lattice.encode_documents(docs, drop_text=True)
@@ -75,6 +79,7 @@ QUERIES = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extraction": op8_html_extraction,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_sentencepiece": op10_sentencepiece,
     "pipeline": corpus_pipeline.run,
 }
