@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logmeld.operators.search import top_k
+from logmeld.operators.search import latest_batches, top_k
 
 
 def totals(t: DataFrame, q: DataFrame) -> DataFrame:
@@ -159,6 +159,24 @@ def analytics(t: DataFrame, q: DataFrame) -> DataFrame:
     return ranked.select("metric", "key", "count").unionByName(failed)
 
 
+def dashboard(t: DataFrame, q: DataFrame, batches: DataFrame | None = None, recent: int = 5) -> DataFrame:
+    """The whole answer as (metric, key, value): ``analytics``, active sources, mean threat risk, and the latest batches."""
+    none = F.lit(None).cast("string")
+    rows = analytics(t, q).select("metric", "key", F.col("count").cast("double").alias("value"))
+    counts = rows.filter(F.col("metric").isin("threats", "risk_total", "device_type"))
+    of = lambda m: F.sum(F.when(F.col("metric") == m, F.col("value")))
+    risk = F.coalesce(F.try_divide(of("risk_total"), of("threats")), F.lit(0.0))
+    figures = counts.agg(
+        F.count_if(F.col("metric") == "device_type").cast("double").alias("active_sources"), F.round(risk, 1).alias("average_risk_score"),
+    ).select(F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), none.alias("key"), F.col(m).alias("value")) for m in ("active_sources", "average_risk_score")])))
+    out = rows.unionByName(figures)
+    if batches is not None:
+        out = out.unionByName(latest_batches(batches, recent).select(
+            F.lit("recent_batch").alias("metric"), F.col("batch_id").alias("key"), F.col("total_events").cast("double").alias("value")))
+    return out
+
+
 # ---- batch summaries --------------------------------------------------------------------
 
 def batch_breakdowns(e: DataFrame) -> DataFrame:

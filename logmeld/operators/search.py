@@ -6,6 +6,11 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logmeld import vocab
+
+# Labels whose stored form is not the folded one.
+STORED_LABELS = {("protocol", v.upper()): v for v in vocab.PROTOCOL_NUMBERS.values() if v != v.upper()}
+
 SEARCH_COLUMNS = [
     "event_id", "source_ip", "destination_ip", "protocol", "action", "source_vendor",
     "raw_event", "threat_type",
@@ -63,8 +68,11 @@ def filter_events(
     ]
     for name, value, fold, fold_value, stored_folded in folds:
         if value:
-            column = F.col(name) if canonical and stored_folded else fold(F.col(name))
-            conditions.append(column == fold_value(value.strip()))
+            if canonical and stored_folded:
+                folded = fold_value(value.strip())
+                conditions.append(F.col(name) == STORED_LABELS.get((name, folded), folded))
+            else:
+                conditions.append(fold(F.col(name)) == fold_value(value.strip()))
     if since is not None:
         conditions.append(F.col("timestamp") >= F.lit(since).cast("timestamp"))
     if until is not None:
@@ -120,8 +128,8 @@ def top_k(t: DataFrame, col: str, k: int) -> DataFrame:
     )
 
 
-def latest_failed(q: DataFrame, limit: int = 100) -> DataFrame:
-    return q.orderBy(F.desc("timestamp"), "event_id").limit(limit)
+def latest_failed(q: DataFrame, limit: int | None = 100) -> DataFrame:
+    return q if limit is None else q.orderBy(F.desc("timestamp"), "event_id").limit(limit)
 
 
 def latest_batches(b: DataFrame, limit: int = 5) -> DataFrame:
@@ -132,5 +140,6 @@ def latest_batches(b: DataFrame, limit: int = 5) -> DataFrame:
     )
 
 
-def latest_events(t: DataFrame, limit: int = 50_000) -> DataFrame:
-    return t.orderBy(F.desc("timestamp"), "event_id").limit(limit)
+def latest_events(t: DataFrame, limit: int | None = None) -> DataFrame:
+    """The newest ``limit`` events in order; without a limit all of them, unsorted."""
+    return t if limit is None else t.orderBy(F.desc("timestamp"), "event_id").limit(limit)

@@ -105,14 +105,26 @@ def _(spark, sf):
 
 # ---- sinks ------------------------------------------------------------------------------
 
-@query("k1_write_events", over(
-    "select 'evt_' || cast(line_no as string) as event_id, timestamp, vendor as source_vendor, device_type as source_device_type, hostname, source_ip, destination_ip, source_port, destination_port, protocol, action, severity, category, threat_detected, threat_type, risk_score, timestamp '2024-03-01 00:00:00' as created_at from ok"))
+_WRITTEN = over(
+    "select 'evt_' || cast(line_no as string) as event_id, timestamp, vendor as source_vendor, device_type as source_device_type, hostname, source_ip, destination_ip, source_port, destination_port, protocol, action, severity, category, threat_detected, threat_type, risk_score, timestamp '2024-03-01 00:00:00' as created_at from ok")
+
+
+@query("k1_write_events", _WRITTEN)
 def _(spark, sf):
     path = scratch_path(spark, "events")
     writers.write_events(src.events(spark, sf), path, compact=True)
     return tables.read_events(spark, path).drop("normalized_json", "raw_event", "event_date")
 
 
+@query("k1b_upsert_events", _WRITTEN)
+def _(spark, sf):
+    path = scratch_path(spark, "events")
+    e = src.events(spark, sf)
+    for part in (e.limit(1000), e, e):
+        writers.upsert_events(part, path, fx.INGEST_TS)
+    return tables.read_events(spark, path).drop("normalized_json", "raw_event", "event_date")
+
+
 @query("k2_latest_by_key", "select event_id, ts, user_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) as rn from events) where rn = 1")
 def _(spark, sf):
     rows = src.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
@@ -129,6 +141,14 @@ def _(spark, sf):
     return spark.read.parquet(path).drop("event_id", "timestamp")
 
 
+@query("k3b_upsert_quarantine", _QUARANTINE)
+def _(spark, sf):
+    path = scratch_path(spark, "quarantine")
+    for _ in range(2):
+        writers.upsert_quarantine(src.quarantine(spark, sf), path)
+    return spark.read.parquet(path).drop("event_id", "timestamp", "failed_date")
+
+
 @query("k4_record_batch", over("select count(*) as total_events, count(*) filter (outcome = 'event') as normalized_count, count(*) filter (outcome = 'failed') as failed_count, count(*) / 2.0 as events_per_second, cast(count(*) as string) as json_total from exp"))
 def _(spark, sf):
     path = scratch_path(spark, "batches")
@@ -139,8 +159,17 @@ def _(spark, sf):
         F.get_json_object("summary_json", "$.total_events").alias("json_total"))
 
 
+@query("k4b_upsert_batch", over("select count(*) as total_events, count(*) filter (outcome = 'event') as normalized_count from exp"))
+def _(spark, sf):
+    path = scratch_path(spark, "batches")
+    summary = an.batch_summary(src.events(spark, sf), src.quarantine(spark, sf), 2.0).withColumn("batch_id", F.lit("batch_1"))
+    for at in ("2024-03-01 00:00:00", "2024-03-01 00:00:01"):
+        writers.upsert_batch(summary, path, at)
+    return spark.read.parquet(path).select("total_events", "normalized_count")
+
+
 _ISO = "strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
-_EXPORTED = f"select 'evt_' || cast(line_no as string) as event_id, {_ISO} as timestamp, source_ip, action, type, threat_type from ok order by ok.timestamp desc, event_id limit 50000"
+_EXPORTED = f"select 'evt_' || cast(line_no as string) as event_id, {_ISO} as timestamp, source_ip, action, type, threat_type from ok"
 
 
 @query("k5_export_jsonl", over(_EXPORTED))
@@ -177,7 +206,7 @@ def _(spark, sf):
 
 
 @query("k7b_export_csv", over(
-    f"select 'evt_' || cast(line_no as string) as event_id, {_ISO} as timestamp, vendor, action, cast(risk_score as string) as risk_score, parser from ok order by ok.timestamp desc, event_id limit 50000"))
+    f"select 'evt_' || cast(line_no as string) as event_id, {_ISO} as timestamp, vendor, action, cast(risk_score as string) as risk_score, parser from ok"))
 def _(spark, sf):
     path = scratch_path(spark, "csv")
     writers.export_csv(src.events(spark, sf), path)
@@ -185,10 +214,10 @@ def _(spark, sf):
         "event_id", "timestamp", "vendor", "action", "risk_score", "parser")
 
 
-@query("k8_export_failed_csv", over("select 'fail_' || cast(line_no as string) as event_id, reason, detected_format, parser_attempted, raw_event from bad order by event_id limit 500"))
+@query("k8_export_failed_csv", over("select 'fail_' || cast(line_no as string) as event_id, reason, detected_format, parser_attempted, raw_event from bad"))
 def _(spark, sf):
     path = scratch_path(spark, "failed")
-    writers.export_failed_csv(src.quarantine(spark, sf), path, limit=500)
+    writers.export_failed_csv(src.quarantine(spark, sf), path)
     return spark.read.option("escape", '"').csv(path, header=True).drop("timestamp")
 
 
@@ -827,6 +856,13 @@ def _(spark, sf):
     return pr.quarantine_reason(src.processed(spark, sf)).drop("event_id", "timestamp")
 
 
+@query("s3b_explode_process", f"{_PIECES} select count(*) as n, count(*) as n_ids, count(distinct doc_id) as n_texts from p where trim(piece, {_WS}) <> ''")
+def _(spark, sf):
+    lines = text_lines.explode_lines(src.table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id")
+    rows = pr.process(lines, ingest_ts=fx.INGEST_TS, ref_year=fx.REF_YEAR)
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"), F.count_distinct("file_path").alias("n_texts"))
+
+
 def _hostile(spark, sf) -> DataFrame:
     texts = [("documents", "text"), ("conversations", "text"), ("pages", "html")]
     rows = [src.table(spark, sf, t).select(F.lit(t).alias("file_path"), c(col).alias("text")) for t, col in texts]
@@ -890,7 +926,7 @@ query("o4_latest_failed", over("select 'fail_' || cast(line_no as string) as eve
     lambda spark, sf: search.latest_failed(src.quarantine(spark, sf), 100).select("event_id", "reason"))
 query("o5_latest_batches", over("select 'batch_' || cast(user_id as string) as batch_id, count(*) as total_events, max(ts) as created_at from exp group by user_id order by created_at desc, batch_id limit 5"))(
     lambda spark, sf: search.latest_batches(src.batches(spark, sf)).select("batch_id", "total_events", "created_at"))
-query("o6_latest_events", over(f"{_T} order by timestamp desc, event_id limit 50000"))(_t(search.latest_events))
+query("o6_latest_events", over(f"{_T}"))(_t(search.latest_events))
 
 
 # ---- aggregates -------------------------------------------------------------------------
@@ -938,6 +974,22 @@ query("a14_analytics", over(" union all ".join([
 ])))(lambda spark, sf: an.analytics(src.flat(spark, sf), src.quarantine(spark, sf)))
 
 
+query("a14b_dashboard", over(" union all ".join([
+    "select 'total_events' as metric, cast(null as string) as key, cast(count(*) as double) as value from ok",
+    "select 'failed_events', null, count(*) from bad",
+    "select 'threats', null, count(*) from ok where threat_detected",
+    "select 'risk_total', null, sum(risk_score) from ok where threat_detected",
+    "select 'active_sources', null, count(distinct device_type) from ok",
+    "select 'average_risk_score', null, round(avg(risk_score), 1) from ok where threat_detected",
+    "select * from (select 'recent_batch', 'batch_' || cast(user_id as string) as batch_id, count(*) from exp group by user_id order by max(ts) desc, batch_id limit 5)",
+    _metric_sql("source_ip", "source_ip", 7, "where source_ip is not null"),
+    _metric_sql("destination_ip", "destination_ip", 7, "where destination_ip is not null"),
+    _metric_sql("protocol", "upper(coalesce(protocol, 'OTHER'))", 6), _metric_sql("action", "action"),
+    _metric_sql("severity", "severity"), _metric_sql("device_type", "device_type"), _metric_sql("category", "category"),
+    _metric_sql("vendor", "vendor", 10), _metric_sql("threat_type", "threat_type", 10, "where threat_type is not null"),
+])))(lambda spark, sf: an.dashboard(src.flat(spark, sf), src.quarantine(spark, sf), src.batches(spark, sf)))
+
+
 @query("a15_batch_summary", over("select count(*) as total_events, count(*) filter (outcome = 'event') as normalized_count, count(*) filter (outcome = 'failed') as failed_count from exp"))
 def _(spark, sf):
     return an.batch_summary(src.events(spark, sf), src.quarantine(spark, sf), 1.0).select(
@@ -1044,6 +1096,16 @@ def _(spark, sf):
     return rows.agg(F.count("*").alias("n"), F.count_distinct(note).alias("n_notes"))
 
 
+@query("s7b_stream_lines_process", over_truth("select count(*) as n, count(*) as n_ids from base"))
+def _(spark, sf):
+    from logmeld.streaming.streams import stream_process
+
+    out, log = scratch_path(spark, "stream"), scratch_path(spark, "stream-log")
+    lines = text_lines.stream_log_lines(tune(spark), src.text_files(spark, sf))
+    stream_process(lines, out, log, fx.INGEST_TS, ref_year=fx.REF_YEAR).awaitTermination()
+    return spark.read.parquet(out).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_ids"))
+
+
 @query("x9_stream_process", over(_EVENT))
 def _(spark, sf):
     from logmeld.streaming.streams import stream_process

@@ -19,15 +19,13 @@ def _raw(reader, paths) -> DataFrame:
     )
 
 
-def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files, directories or globs -> (line, raw_line, file_path, line_no), in UTF-8.
+def number_lines(lines: DataFrame) -> DataFrame:
+    """(raw_line, file_path, _start) of whole files -> + line_no, from 1 in each file; _start is dropped.
 
-    Splittable files are read in parallel, so a line's number is its place in its split plus the
-    lines of the splits before it. Those counts take one more pass over the text, without parsing,
-    and come to one row per split. Unreadable files are skipped.
+    A line's number is its place in its split plus the lines of the splits before it: one more pass over the text, without
+    parsing, which comes to one row per split.
     """
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    lines = _raw(reader, paths).withColumn("_id", F.monotonically_increasing_id())
+    lines = lines.withColumn("_id", F.monotonically_increasing_id())
     splits = lines.groupBy("file_path", "_start").agg(
         F.min("_id").alias("_first"), F.count("*").alias("_n")
     )
@@ -43,19 +41,42 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     numbered = lines.join(
         F.broadcast(starts) if bound <= BROADCAST_SPLITS else starts, ["file_path", "_start"]
     )
-    return numbered.select(
-        strip(F.col("raw_line")).alias("line"), "raw_line", "file_path",
-        (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_no"),
+    return numbered.withColumn(
+        "line_no", F.col("_id") - F.col("_first") + F.col("_before") + 1
+    ).drop("_id", "_first", "_before", "_start")
+
+
+def read_log_lines(
+    spark: SparkSession, paths: str | list[str], skip_unreadable: bool = False
+) -> DataFrame:
+    """Files, directories or globs -> (line, raw_line, file_path, line_no), in UTF-8.
+
+    Splittable files are read in parallel and numbered afterwards. An unreadable file fails the
+    read; with ``skip_unreadable`` the rest of it is left out, which no row tells.
+    """
+    skip = str(skip_unreadable).lower()
+    reader = spark.read.option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip)
+    return number_lines(_raw(reader, paths)).select(
+        strip(F.col("raw_line")).alias("line"), "raw_line", "file_path", "line_no"
     )
 
 
-def explode_lines(df: DataFrame, text_col: str) -> DataFrame:
+def explode_lines(df: DataFrame, text_col: str, key: str | list[str] | None = None) -> DataFrame:
     """A multi-line text column -> one row per trimmed, non-blank line, with its place.
 
-    The other columns are kept. Rows without any line give no rows.
+    ``key`` names the column(s) that tell texts apart; their values become ``file_path``, so that
+    ids differ and in-band headers stay within their text. Without it a text is told by its
+    own hash, which equal texts share. The other columns are kept. Rows without any line give
+    no rows.
     """
+    columns = [key] if isinstance(key, str) else list(key or [])
+    origin = F.concat_ws("/", F.lit("text"), *(
+        [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns] or [F.sha2(F.col(text_col), 256)]
+    ))
+    kept = [c for c in df.columns if c not in (text_col, "file_path")]
+    path = F.col("file_path") if "file_path" in df.columns and not columns else origin
     pieces = df.select(
-        *[c for c in df.columns if c != text_col],
+        *kept, path.alias("file_path"),
         F.posexplode(F.split(F.col(text_col), _BREAKS)).alias("line_no", "raw_line"),
     )
     lines = pieces.withColumns({
@@ -74,12 +95,13 @@ def require_lines(lines: DataFrame) -> DataFrame:
 def stream_log_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """New files of a folder as a stream of lines.
 
-    ``line_no`` is null: a stream has no row numbers. The split start stands in for it in ids.
+    A stream has no row numbers: ``line_no`` is null, and ``_start``, the line's split, comes along.
+    ``stream_process`` numbers the lines of each micro-batch by it.
     """
     reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _raw(reader, folder).select(
         strip(F.col("raw_line")).alias("line"), "raw_line", "file_path",
-        F.lit(None).cast("bigint").alias("line_no"),
+        F.lit(None).cast("bigint").alias("line_no"), "_start",
     )

@@ -2,14 +2,19 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from logmeld import vocab
 from logmeld.functions.timestamps import iso_text
 from logmeld.operators.normalize import EVENT_COLUMNS
 from logmeld.operators.search import latest_events, latest_failed
 from logmeld.plans.process import events_of, quarantine_reason
+from logmeld.session import written
 from logmeld.sources.tables import flatten_events
 
+# Dates of one upsert that may be broadcast: a few bytes each.
+UPSERT_DATES = 100_000
+
 
 def write_outcomes(processed: DataFrame, path: str, mode: str = "append") -> None:
     """Processed lines -> one table partitioned by outcome, in a single pass."""
@@ -48,6 +53,46 @@ def latest_by_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, order).alias("_row")).select("_row.*")
 
 
+def upsert(new: DataFrame, path: str, key: str, order_col: str, date_col: str | None = None) -> None:
+    """Merge rows into a table by key: of equal keys the newest stays, so that a run repeated leaves no second copy.
+
+    Only the dates that ``new`` touches are read and rewritten, where the table is partitioned by ``date_col``; a key must keep
+    its date. The merged rows are stored before they replace what they were made from.
+    """
+    spark = new.sparkSession
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        old = None
+    if old is not None and date_col:
+        dates = new.select(date_col).distinct()
+        old = old.join(F.broadcast(dates) if dates.count() <= UPSERT_DATES else dates, date_col, "left_semi")
+    rows = new if old is None else old.select(*new.columns).unionByName(new)
+    merged = written(latest_by_key(rows, key, order_col), "upsert")
+    writer = merged.write.mode("overwrite")
+    if date_col:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(date_col)
+    writer.parquet(path)
+
+
+def upsert_events(e: DataFrame, path: str, created_at=None) -> None:
+    """E into the flat events table, by event id."""
+    flat = flatten_events(e, created_at).withColumn("event_date", F.to_date("timestamp"))
+    upsert(flat, path, "event_id", "created_at", "event_date")
+
+
+def upsert_quarantine(q: DataFrame, path: str) -> None:
+    """Q into its table, by event id; it is kept by the date of its ingest time."""
+    upsert(q.withColumn("failed_date", F.to_date("timestamp")), path, "event_id", "timestamp", "failed_date")
+
+
+def upsert_batch(summary: DataFrame, path: str, created_at=None) -> None:
+    """A batch summary into its table, by batch id: one row a batch."""
+    upsert(batch_rows(summary, created_at), path, "batch_id", "created_at")
+
+
 def write_quarantine(q: DataFrame, path: str, mode: str = "append") -> None:
     q.write.mode(mode).parquet(path)
 
@@ -69,26 +114,26 @@ def record_batch(summary: DataFrame, path: str, created_at=None) -> None:
 
 # ---- exports ----------------------------------------------------------------------------
 
-def export_rows(e: DataFrame, limit: int = vocab.EXPORT_LIMIT) -> DataFrame:
-    """The newest events, with timestamps as ISO text."""
+def export_rows(e: DataFrame, limit: int | None = None) -> DataFrame:
+    """All events, or the newest ``limit`` of them, with timestamps as ISO text."""
     metadata = F.col("metadata").withField("processed_at", iso_text(F.col("metadata.processed_at")))
     return latest_events(e.select(*EVENT_COLUMNS), limit).withColumns(
         {"timestamp": iso_text(F.col("timestamp")), "metadata": metadata}
     )
 
 
-def jsonl_rows(e: DataFrame, limit: int = vocab.EXPORT_LIMIT) -> DataFrame:
+def jsonl_rows(e: DataFrame, limit: int | None = None) -> DataFrame:
     """One JSON text per event."""
     return export_rows(e, limit).select(
         F.to_json(F.struct(*EVENT_COLUMNS), {"ignoreNullFields": "false"}).alias("value")
     )
 
 
-def export_jsonl(e: DataFrame, path: str, limit: int = vocab.EXPORT_LIMIT) -> None:
+def export_jsonl(e: DataFrame, path: str, limit: int | None = None) -> None:
     jsonl_rows(e, limit).write.text(path)
 
 
-def export_json(e: DataFrame, path: str, limit: int = vocab.EXPORT_LIMIT) -> None:
+def export_json(e: DataFrame, path: str, limit: int | None = None) -> None:
     export_rows(e, limit).write.option("ignoreNullFields", "false").json(path)
 
 
@@ -112,16 +157,16 @@ def flatten_for_csv(e: DataFrame) -> DataFrame:
     ).select(*vocab.CSV_EXPORT_COLUMNS)
 
 
-def export_csv(e: DataFrame, path: str, limit: int = vocab.EXPORT_LIMIT) -> None:
+def export_csv(e: DataFrame, path: str, limit: int | None = None) -> None:
     flatten_for_csv(latest_events(e, limit)).write.option("escape", '"').csv(path, header=True)
 
 
-def failed_csv_rows(q: DataFrame, limit: int = 100) -> DataFrame:
+def failed_csv_rows(q: DataFrame, limit: int | None = None) -> DataFrame:
     rows = latest_failed(q, limit)
     return rows.withColumn("timestamp", iso_text(F.col("timestamp"))).select(*vocab.FAILED_CSV_COLUMNS)
 
 
-def export_failed_csv(q: DataFrame, path: str, limit: int = 100) -> None:
+def export_failed_csv(q: DataFrame, path: str, limit: int | None = None) -> None:
     failed_csv_rows(q, limit).write.option("escape", '"').csv(path, header=True)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from logmeld.operators.normalize import EVENT_COLUMNS
 from logmeld.plans.process import process
+from logmeld.sources.text_lines import number_lines
 
 
 def stream_events(lines: DataFrame, ingest_ts=None, **options) -> DataFrame:
@@ -21,10 +22,13 @@ def stream_process(lines: DataFrame, out: str, checkpoint: str, ingest_ts=None,
     """Run lines through ``process`` batch by batch into one table by outcome; returns the query.
 
     Every batch overwrites its own folder, so that a batch run again after a failure leaves no
-    second copy.
+    second copy. A file arrives whole in one batch, so lines of ``stream_log_lines`` get their numbers here,
+    and with them ids of their own and the headers of their file.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        if "_start" in batch.columns:
+            batch = number_lines(batch.drop("line_no"))
         rows = process(batch, ingest_ts=ingest_ts, **options)
         rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/batch={number}")
 
@@ -48,9 +52,9 @@ def stream_counts(
 
 
 def stream_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "10 minutes") -> DataFrame:
-    """Events per source address and session."""
+    """Events per source address and session. Events without an address belong to no session."""
     return (
-        events.withWatermark("timestamp", watermark)
+        events.filter("network.source_ip is not null and network.source_ip <> ''").withWatermark("timestamp", watermark)
         .groupBy(F.session_window("timestamp", gap).alias("w"), F.col("network.source_ip").alias("source_ip"))
         .agg(F.count("*").alias("n"))
         .select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "source_ip", "n")

@@ -180,4 +180,3 @@ FAILED_CSV_COLUMNS = [
     "event_id", "timestamp", "reason", "detected_format", "parser_attempted", "raw_event",
 ]
 SCHEMA_VERSION = "1.0"
-EXPORT_LIMIT = 50_000

@@ -146,3 +146,51 @@ def test_forced_parser(spark):
     assert (row.outcome, row.metadata.confidence, row.metadata.source_format) == ("event", 1.0, "SYSLOG")
     row = process(df, forced_parser="nope", headers=None).first()
     assert (row.reason, row.detected_format, row.parser_attempted) == ("Specified parser 'nope' not found in registry", "unknown", None)
+
+
+def test_lines_of_different_texts_keep_their_ids_and_headers_apart(spark):
+    from logmeld.sources import text_lines
+
+    header = "timestamp,src_ip,dst_ip,action,severity"
+    row = "2026-03-01T12:00:00Z,10.0.0.1,10.0.0.2,allow,low"
+    df = spark.createDataFrame([(1, f"{header}\n{row}\n{row}"), (2, row), (3, row)], "doc long, t string")
+    got = process(text_lines.explode_lines(df, "t", "doc"), ingest_ts="2026-06-01 00:00:00").collect()
+    assert len(got) == 5 and len({r.event_id for r in got}) == 5
+    named = {r.file_path: r.network.source_ip for r in got if r.outcome != "skipped"}
+    assert named["text/1"] == "10.0.0.1"
+
+
+def test_stream_numbers_lines_and_carries_headers(spark, tmp_path):
+    from logmeld.sources import text_lines
+    from logmeld.streaming.streams import stream_process
+
+    (tmp_path / "in").mkdir()
+    row = "2026-03-01T12:00:00Z,10.0.0.1,10.0.0.2,allow,low"
+    (tmp_path / "in" / "a.csv").write_text(f"timestamp,src_ip,dst_ip,action,severity\n{row}\n{row}\n")
+    lines = text_lines.stream_log_lines(spark, str(tmp_path / "in"))
+    stream_process(lines, str(tmp_path / "out"), str(tmp_path / "log"), "2026-06-01 00:00:00").awaitTermination()
+    events = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.outcome == "event"]
+    assert [r.network.source_ip for r in events] == ["10.0.0.1"] * 2 and len({r.event_id for r in events}) == 2
+    assert sorted(r.line_no for r in events) == [2, 3]
+
+
+def test_upsert_leaves_one_row_a_key_and_other_dates_alone(spark, tmp_path):
+    from logmeld.sources import writers
+
+    path, schema = str(tmp_path / "t"), "id string, at int, v string, day string"
+    put = lambda rows: writers.upsert(spark.createDataFrame(rows, schema), path, "id", "at", "day")
+    put([("a", 1, "x", "d1"), ("b", 1, "y", "d2")])
+    before = sorted((tmp_path / "t" / "day=d2").iterdir())
+    put([("a", 2, "z", "d1"), ("c", 1, "w", "d1")])
+    put([("a", 1, "old", "d1")])
+    assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [("a", "z"), ("b", "y"), ("c", "w")]
+    assert sorted((tmp_path / "t" / "day=d2").iterdir()) == before
+
+
+def test_canonical_labels_and_whole_exports(spark):
+    from logmeld.operators import search
+
+    t = spark.createDataFrame([("e1", "IPv6-ICMP"), ("e2", "TCP")], "event_id string, protocol string")
+    assert [r.event_id for r in search.filter_events(t, protocol="ipv6-icmp", canonical=True).collect()] == ["e1"]
+    assert [r.event_id for r in search.filter_events(t, protocol="tcp", canonical=True).collect()] == ["e2"]
+    assert search.latest_events(t).count() == 2
