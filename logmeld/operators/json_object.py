@@ -13,8 +13,6 @@ from logmeld import vocab
 from logmeld.functions.entries import entry, last_wins, no_entries
 from logmeld.operators.detect import json_document
 
-FLATTEN_DEPTH = 4
-
 
 def _as_object(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
@@ -39,10 +37,11 @@ def member_entries(document: Column) -> Column:
     return F.transform(flat, lambda e: entry(e["key"], _text(e["value"])))
 
 
-def flat_entries(document: Column, depth: int = FLATTEN_DEPTH) -> Column:
-    """Members with dotted keys: ``a.b`` for objects, ``a`` and ``a.0`` for lists.
+def flat_entries(document: Column, text: Column, depth: int | None = None) -> Column:
+    """Members with dotted keys: ``a.b`` for objects, ``a`` and ``a.0`` for lists, however deep.
 
-    Objects more than ``depth`` levels down stay whole, as JSON text under their own key.
+    ``text``: the document's JSON text. Its opening brackets bound the levels that a row goes through. With ``depth`` objects
+    further down stay whole, as JSON text under their own key.
     """
     item = lambda key, value, final: F.struct(
         key.alias("key"), value.alias("value"), final.alias("final")
@@ -70,8 +69,17 @@ def flat_entries(document: Column, depth: int = FLATTEN_DEPTH) -> Column:
     level = F.transform(
         F.map_entries(document), lambda m: item(m["key"], m["value"], F.lit(False))
     )
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, expand))
+    if depth is not None:
+        for _ in range(depth):
+            level = F.flatten(F.transform(level, expand))
+    else:
+        open_ = F.lit(0)
+        for bracket in "{[":
+            open_ = open_ + F.length(text) - F.length(F.replace(text, F.lit(bracket), F.lit("")))
+        rounds = F.sequence(F.lit(1), F.greatest(open_, F.lit(1)))
+        more = lambda level: F.exists(level, lambda e: ~e["final"] & (
+            _as_object(e["value"]).isNotNull() | _as_list(e["value"]).isNotNull()))
+        level = F.aggregate(rounds, level, lambda now, _: F.when(more(now), F.flatten(F.transform(now, expand))).otherwise(now))
     return F.transform(level, lambda e: entry(e["key"], _text(e["value"])))
 
 
@@ -173,11 +181,15 @@ def device_type(document: Column, lower: Column) -> Column:
     )
 
 
-def fields(document: Column) -> Column:
-    """Top-level members plus vendor fields: all that normalisation reads."""
+def fields(document: Column, text: Column | None = None) -> Column:
+    """Top-level members plus vendor fields: all that normalisation reads.
+
+    With the document's ``text`` nested members come along under dotted keys.
+    """
+    members = member_entries(document) if text is None else flat_entries(document, text)
     return F.when(
         document.isNotNull(),
-        last_wins(F.concat(member_entries(document), vendor_entries(document))),
+        last_wins(F.concat(members, vendor_entries(document))),
     )
 
 
@@ -196,11 +208,11 @@ def parse_json(df: DataFrame, col: str = "line") -> DataFrame:
     return _with_document(df, col).withColumns({"fields": members, "error": error(doc)}).drop("document")
 
 
-def flatten_json(df: DataFrame, col: str = "line", depth: int = FLATTEN_DEPTH) -> DataFrame:
+def flatten_json(df: DataFrame, col: str = "line", depth: int | None = None) -> DataFrame:
     """L -> L + fields, every member under its dotted key."""
     return (
         _with_document(df, col)
-        .withColumn("fields", last_wins(flat_entries(F.col("document"), depth)))
+        .withColumn("fields", last_wins(flat_entries(F.col("document"), F.col(col), depth)))
         .drop("document")
     )
 

@@ -319,35 +319,27 @@ def with_event_id(df: DataFrame, out: str = "event_id") -> DataFrame:
 
 # ---- field mappings as data -------------------------------------------------------------
 
-MAPPING_ROWS = 10_000
-
-
 def map_fields(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """F -> F with vendor field names translated to universal ones.
 
-    ``mapping``: (vendor_field, universal_field, priority). The mapping is a small configuration
-    table, checked to be one; it becomes a single map, looked up per row without a join. Of several
-    vendor fields for one universal field the first non-blank by priority wins; names without a
-    mapping stay. Other fields never lose to a translated one of the same name.
+    ``mapping``: (vendor_field, universal_field, priority). It is a configuration table and becomes a single map, looked up per
+    row without a join. Names are compared without regard to case; one vendor field may go to several universal ones. Of several
+    vendor fields for one universal field the first non-blank by priority wins; names without a mapping stay. Other
+    fields never lose to a translated one of the same name.
     """
-    rows = mapping.limit(MAPPING_ROWS + 1).count()
-    if rows > MAPPING_ROWS:
-        raise ValueError(f"field mapping has more than {MAPPING_ROWS} rows")
-    table = mapping.agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            F.col("vendor_field"), F.struct("priority", "universal_field")
-        ))).alias("m")
-    ).scalar()
+    targets = mapping.groupBy(F.lower("vendor_field").alias("vendor_field")).agg(
+        F.collect_set(F.struct("priority", "universal_field")).alias("targets"))
+    table = targets.agg(F.map_from_entries(F.collect_list(F.struct("vendor_field", "targets"))).alias("m")).scalar()
 
     def translate(m):
-        named = F.transform(
+        named = F.flatten(F.transform(
             F.map_entries(F.col(FIELDS)),
-            lambda e: F.struct(
-                F.coalesce(m[e["key"]]["priority"], F.lit(-1)).alias("priority"),
-                F.coalesce(m[e["key"]]["universal_field"], e["key"]).alias("key"),
-                e["value"].alias("value"),
+            lambda e: F.coalesce(
+                F.transform(m[F.lower(e["key"])], lambda t: F.struct(
+                    t["priority"].alias("priority"), t["universal_field"].alias("key"), e["value"].alias("value"))),
+                F.array(F.struct(F.lit(-1).alias("priority"), e["key"].alias("key"), e["value"].alias("value"))),
             ),
-        )
+        ))
         # Highest priority number first, so that the last of each name is the best one.
         usable = F.filter(named, lambda e: (e["priority"] < 0) | (strip(e["value"]) != ""))
         ordered = F.reverse(F.array_sort(usable))
@@ -361,6 +353,11 @@ def map_fields(df: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
+def universal_aliases(aliases: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Aliases with each target's own name first: what a field mapping translates to."""
+    return {target: [target, *[n for n in names if n != target]] for target, names in aliases.items()}
+
+
 # ---- the whole record -------------------------------------------------------------------
 
 EVENT_COLUMNS = [
@@ -384,9 +381,13 @@ def normalize(
     ref_year: int | None = None,
     extra_aliases: dict[str, list[str]] | None = None,
     cef_severity_scale: bool = False,
+    universal: bool = False,
 ) -> DataFrame:
-    """F -> E: the input's columns plus the event's ten and ``timestamp_source``."""
-    a = _merged(extra_aliases)
+    """F -> E: the input's columns plus the event's ten and ``timestamp_source``.
+
+    ``universal``: fields may carry the universal names themselves, as after ``map_fields``.
+    """
+    a = universal_aliases(_merged(extra_aliases)) if universal else _merged(extra_aliases)
     ingest = _ingest(ingest_ts)
     user, source_user, destination_user = _user_parts(a)
     process, pid = _process_parts(a)

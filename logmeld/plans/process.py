@@ -96,8 +96,11 @@ def attach_headers(
     return carried.unionByName(rest.withColumn("header", F.lit(None).cast("array<string>")))
 
 
-def extract_fields(df: DataFrame) -> DataFrame:
-    """Detected L with parts -> F: fields, vendor, device_type, error, is_header."""
+def extract_fields(df: DataFrame, nested: bool = False) -> DataFrame:
+    """Detected L with parts -> F: fields, vendor, device_type, error, is_header.
+
+    ``nested``: members of nested JSON objects come along under dotted names.
+    """
     line, lower, fmt = F.col("line"), F.col("lower"), F.col("format")
     parts, doc = F.col("parts"), F.col("document")
     header = F.col("header") if "header" in df.columns else F.lit(None).cast("array<string>")
@@ -105,7 +108,7 @@ def extract_fields(df: DataFrame) -> DataFrame:
     staged = df.withColumns({
         "fields": F.when(fmt == "CEF", cef.fields(line, parts))
         .when(fmt == "LEEF", leef.fields(parts))
-        .when(fmt == "JSON", json_object.fields(doc))
+        .when(fmt == "JSON", json_object.fields(doc, line if nested else None))
         .when(fmt == "KEY_VALUE", key_value.fields(line))
         .when(fmt == "SYSLOG", syslog.fields(line, F.col("shape")))
         .when(fmt == "CSV", delimited.fields(parts, header, lower)),
@@ -137,19 +140,26 @@ def process(
     extra_aliases: dict[str, list[str]] | None = None,
     cef_severity_scale: bool = False,
     mapping: DataFrame | None = None,
+    nested: bool | None = None,
+    labels: dict[str, str] | None = None,
 ) -> DataFrame:
     """L -> one row per non-blank line: event columns, ``outcome``, ``reason`` and origin.
 
-    ``outcome`` is ``event``, ``failed`` or ``skipped`` (header rows). Applies ``session.tune``.
+    ``nested``: members of nested JSON objects can be named, with dots; by default where an extra alias has a dot. ``labels``:
+    the vendor and device_type of all lines, whatever the lines say. ``outcome`` is ``event``, ``failed`` or ``skipped`` (header rows). Applies ``session.tune``.
     """
     tune(lines.sparkSession)
     clean = prepared(lines)
     detected = with_parts(detect_format(clean, forced_parser))
     headed = attach_headers(detected, clean, forced_parser, headers)
-    extracted = extract_fields(headed)
+    if nested is None:
+        nested = any("." in name for names in (extra_aliases or {}).values() for name in names)
+    extracted = extract_fields(headed, nested)
     if mapping is not None:
         extracted = map_fields(extracted, mapping)
-    events = normalize(extracted, ingest_ts, ref_year, extra_aliases, cef_severity_scale)
+    for name, value in (labels or {}).items():
+        extracted = extracted.withColumn(name, F.lit(value))
+    events = normalize(extracted, ingest_ts, ref_year, extra_aliases, cef_severity_scale, universal=mapping is not None)
     return _with_outcome(validate(events, EVENT, "invalid"), _ingest(ingest_ts))
 
 
@@ -200,16 +210,15 @@ def onboard_source(
     if len(chosen) != 1:
         raise ValueError("name one configured source")
     row = chosen[0]
+    names = row["field_mapping"] or {}
     mapping = lines.sparkSession.createDataFrame(
-        [(k, v, i) for i, (k, v) in enumerate((row["field_mapping"] or {}).items())],
+        [(k, v, i) for i, (k, v) in enumerate(names.items())],
         "vendor_field string, universal_field string, priority int",
     )
-    done = process(lines, forced_parser=row["parser"], ingest_ts=ingest_ts, ref_year=ref_year, mapping=mapping)
-    labels = {"vendor": row["vendor"], "device_type": row["device_type"]}
-    for key, value in labels.items():
-        if value is not None:
-            done = done.withColumn("source", F.col("source").withField(key, F.lit(value)))
-    return done
+    labels = {k: row[k] for k in ("vendor", "device_type") if row[k] is not None}
+    return process(
+        lines, forced_parser=row["parser"], ingest_ts=ingest_ts, ref_year=ref_year, mapping=mapping,
+        nested=any("." in name for name in names), labels=labels)
 
 
 def quarantine_reason(processed: DataFrame) -> DataFrame:

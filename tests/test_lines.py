@@ -194,3 +194,39 @@ def test_canonical_labels_and_whole_exports(spark):
     assert [r.event_id for r in search.filter_events(t, protocol="ipv6-icmp", canonical=True).collect()] == ["e1"]
     assert [r.event_id for r in search.filter_events(t, protocol="tcp", canonical=True).collect()] == ["e2"]
     assert search.latest_events(t).count() == 2
+
+
+def test_field_mapping_reaches_the_event(spark):
+    from logmeld.plans.process import onboard_source
+
+    lines = spark.createDataFrame(
+        [("from_host=10.0.0.1 toPort=443 verdict=deny to_host=10.0.0.9 proto=tcp", "f", 1), ('{"flow": {"src": "10.1.1.1", "deep": {"er": {"still": {"down": "10.2.2.2"}}}}, "toPort": 22}', "f", 2)],
+        "line string, file_path string, line_no long")
+    config = [
+        ("kv", "V", "proxy", "keyvalue-network-v1", {"from_host": "source_ip", "to_host": "destination_ip", "toPort": "destination_port", "verdict": "action"}),
+        ("js", "W", "ids", "json-universal-v1", {"flow.src": "source_ip", "flow.deep.er.still.down": "destination_ip", "TOPORT": "destination_port"}),
+    ]
+    table = spark.createDataFrame(config, "name string, vendor string, device_type string, parser string, field_mapping map<string,string>")
+    a = onboard_source(lines.filter("line_no = 1"), table, "2026-06-01 00:00:00", source="kv").first()
+    b = onboard_source(lines.filter("line_no = 2"), table, "2026-06-01 00:00:00", source="js").first()
+    assert (a.network.source_ip, a.network.destination_ip, a.network.destination_port, a.event.action) == ("10.0.0.1", "10.0.0.9", 443, "deny")
+    assert a.source.device_type == "proxy" and "proxy" in a.metadata.tags
+    assert (b.network.source_ip, b.network.destination_ip, b.network.destination_port) == ("10.1.1.1", "10.2.2.2", 22)
+
+
+def test_one_vendor_field_may_have_two_targets(spark):
+    from logmeld.operators.normalize import map_fields
+
+    df = spark.createDataFrame([({"A": "1", "b": "2"},)], "fields map<string,string>")
+    mapping = spark.createDataFrame([("a", "x", 0), ("a", "y", 0), ("B", "y", 1)], "vendor_field string, universal_field string, priority int")
+    assert map_fields(df, mapping).first().fields == {"x": "1", "y": "1"}
+
+
+def test_flatten_knows_no_depth(spark):
+    from logmeld.operators.json_object import flatten_json
+
+    deep = '{"v": 1}'
+    for k in range(10):
+        deep = f'{{"k{k}": {deep}}}'
+    df = spark.createDataFrame([(deep,)], "line string")
+    assert flatten_json(df).first().fields == {"k9.k8.k7.k6.k5.k4.k3.k2.k1.k0.v": "1"}
