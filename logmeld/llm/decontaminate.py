@@ -99,20 +99,22 @@ def prefix_entries(texts: DataFrame, shingles: DataFrame, counts: DataFrame) ->
         "h", "key", "k", "o", "first", "w", F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + F.col("w")).alias("run"))
 
 
-def _verified(df: DataFrame) -> Column:
-    """Places of the text (from, to) that equal a whole window or more of the run, which starts at ``at - o + first``.
+def _verified() -> Column:
+    """Places of the text (a to b) that equal a window of the run, which starts at ``at - o + first``.
 
     The run may hang over either end of the text; words beyond it equal nothing.
     """
     start = F.col("at") - F.col("o") + F.col("first")
-    equal = F.transform("run", lambda x, j: F.when(start + j >= 0, F.coalesce(F.get("words", F.when(start + j >= 0, start + j).otherwise(0)) == x, F.lit(False))).otherwise(False))
+    inside = F.greatest(start, F.lit(0))
+    rest = F.size("run") - (inside - start)
+    equal = F.zip_with(F.slice("words", inside + 1, rest), F.slice("run", inside - start + 1, rest), lambda x, y: F.coalesce(x == y, F.lit(False)))
     spans = F.aggregate(
         equal,
-        F.struct(F.lit(0).alias("j"), F.lit(0).alias("streak"), F.array().cast("array<struct<a:int,b:int>>").alias("out")),
+        F.struct(inside.alias("j"), F.lit(0).alias("streak"), F.array().cast("array<struct<a:int,b:int>>").alias("out")),
         lambda s, e: F.struct(
             (s["j"] + 1).alias("j"), F.when(e, s["streak"] + 1).otherwise(0).alias("streak"),
             F.when(e & (s["streak"] + 1 >= F.col("w")), F.concat(s["out"], F.array(F.struct(
-                (start + s["j"] - F.col("w") + 1).alias("a"), (start + s["j"] + 1).alias("b"))))).otherwise(s["out"]).alias("out")))
+                (s["j"] - F.col("w") + 1).alias("a"), (s["j"] + 1).alias("b"))))).otherwise(s["out"]).alias("out")))
     return spans["out"]
 
 
@@ -123,7 +125,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str,
     shingles = written(_shingles(texts), "bench-places")
     sizes = sorted(r[0] for r in shingles.select("k").distinct().collect())  # SHINGLE values at most
     t = F.col(f"`{text}`")
-    worded = docs.filter(t.isNotNull()).select(t.alias("t"), words_of(t).alias("words")).withColumn("n", F.size("words"))
+    key = F.unhex(F.md5(t.cast("binary"))).alias("text_key")
+    worded = docs.filter(t.isNotNull()).select(key, words_of(t).alias("words")).withColumn("n", F.size("words"))
     if not sizes:
         empty = docs.sparkSession.createDataFrame([], "text_key binary, key string, spans array<struct<a:int,b:int>>")
         return empty, items
@@ -134,16 +137,15 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str,
     blocks, found = blocks_for(size, block_bytes), None
     for b in range(blocks if used else 0):
         some = F.broadcast(entries.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).drop("k"))
-        part = _at_places(worded, used, ["t", "words", "n"]).join(some, "h")
+        part = _at_places(worded, used, ["text_key", "words", "n"]).join(some, "h")
         part = part.filter((F.col("at") - F.col("o") + F.col("first") + F.size("run") >= F.col("w")) & (F.col("n") >= F.col("w")))
-        part = part.withColumn("spans", _verified(part)).filter(F.size("spans") > 0)
-        part = part.select(F.unhex(F.md5(F.col("t").cast("binary"))).alias("text_key"), "key", "spans")
+        # an outer explode, as the optimizer would make the verification a condition of the join, evaluated for every place
+        part = part.select("text_key", "key", F.explode_outer(_verified()).alias("s")).filter("s is not null")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], "text_key binary, key string, spans array<struct<a:int,b:int>>")
-    # copies of a text find the same: one row a text and item is left, before and after the shuffle
-    found = found.select("text_key", "key", F.explode("spans").alias("s")).distinct()
-    return written(found.groupBy("text_key", "key").agg(F.collect_list("s").alias("spans")), "bench-found"), items
+        found = docs.sparkSession.createDataFrame([], "text_key binary, key string, s struct<a:int,b:int>")
+    # copies of a text find the same: one row a place is left, before and after the shuffle
+    return written(found.distinct().groupBy("text_key", "key").agg(F.collect_list("s").alias("spans")), "bench-found"), items
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
