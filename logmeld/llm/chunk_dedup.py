@@ -8,7 +8,7 @@ repeat. Repeats in a row that hold ``min_words`` whole words or more are removed
 them to the last that ends in them; the first occurrence stays. Shorter repeats, such as licence lines, stay.
 
 Digests are counted alone; only pairs that occur twice are shuffled again, with their places. What is found is joined to the texts
-by document: broadcast while its size is below a bound, else shuffled.
+by document.
 
 Defined cases: null texts stay null, empty ones empty. Rows equal in id and text are one document and lose the same. Rows
 without an id come first in the order. Periodic text has no chunk ends and is one chunk. Extra columns pass through; columns
@@ -30,8 +30,6 @@ from logmeld.llm.common import fresh, written
 REACH = 16
 #: A passage of over 50 words keeps this many, and more, in whole pairs of chunks.
 MIN_WORDS = 25
-#: Entries of found repeats that may be broadcast, 8 bytes each.
-BROADCAST_ENTRIES = 2_000_000
 NEW = ("n_repeats", "removed_words")
 
 _GEAR = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
@@ -127,9 +125,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     firsts = written(places.groupBy("d").agg(F.min(F.struct("id", "key", "at")).alias("f")).select("d", "f.key", "f.at").toDF("d", "f_key", "f_at"), "chunk-firsts")
     repeats = places.join(firsts, "d").filter("key <> f_key or at <> f_at").select("key", "at").distinct()
     repeats = written(repeats.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("at")), "chunk-repeats")
-    size = repeats.agg(F.sum(F.size("at") + 4)).first()[0] or 0
-    repeats = repeats.toDF(key, at_name)
-    found = keyed.join(F.broadcast(repeats) if size <= BROADCAST_ENTRIES else repeats, key, "left").drop(key)
+    found = keyed.join(repeats.toDF(key, at_name), key, "left").drop(key)
     schema = StructType([*docs.schema.fields, *[StructField(name, LongType()) for name in NEW]])
     names = [f.name for f in docs.schema.fields]
 
