@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,14 @@ from logmeld.llm.common import fresh
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Edges that a worker remembers; later units are prepared for their batch only, as are those longer than SHORT characters.
-EDGES = 6_000_000
+EDGES = 3_000_000
 SHORT = 48
 
 
+_ODD = 0x5851F42D4C957F2D
+_HIGH = np.uint64(44)
+
+
 class Vocabulary:
     """Pieces of a model, and their weights as logarithms."""
 
@@ -55,14 +60,27 @@ class Vocabulary:
         self.weight = [-theta * math.log(2.0 - sp.get_score(i)) for i in range(n)]
         self.chance = [math.exp(w) for w in self.weight]
         self.longest = max(map(len, self.id))
-        #: Pieces and their beginnings; -1 for what is a beginning only.
-        self.prefix = {t[:k]: -1 for t in self.id for k in range(1, len(t))} | self.id
+        # pieces by length, as sorted hashes, for many look-ups at once; `maybe` has a mark for each, which most other strings miss
+        self.powers = np.array([pow(_ODD, k, 2**64) for k in range(self.longest)], np.uint64)
+        self.maybe, self.by_length = np.zeros(1 << 20, bool), []
+        for size in range(1, self.longest + 1):
+            some = [(self.hash(t), i) for t, i in self.id.items() if len(t) == size and SPACE not in t]
+            some.sort()
+            hashes = np.array([h for h, _ in some], np.uint64)
+            self.by_length.append((hashes, np.array([i for _, i in some], np.int64)))
+            self.maybe[(hashes >> _HIGH).astype(np.int64)] = True
         self.raw: list[bytes] = [b"" if i in skip else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
         for value, i in self.byte.items():
             self.raw[i] = bytes([value])
         feed, crossing = any("\n" in t for t in self.id), any(" " in t.lstrip(" ") for t in self.id)
+        self.chances = np.array(self.chance)
         self.unit = re.compile(r"(?s).+" if crossing else r" *[^ ]+| +" if feed else r"\n| *[^ \n]+| +")
 
+    @staticmethod
+    def hash(text: str) -> int:
+        """Characters times powers of an odd number, from the last one on, in 64 bits."""
+        return sum(ord(c) * pow(_ODD, k, 2**64) for k, c in enumerate(reversed(text))) % 2**64
+
 
 def lattice(unit: str, v: Vocabulary) -> tuple[list[list[int]], list[list[int]], list[list[float]]]:
     """For each node but the first: edges' earlier nodes, pieces, and chances given all paths to the node. Last node: the end."""
@@ -101,27 +119,45 @@ def lattice(unit: str, v: Vocabulary) -> tuple[list[list[int]], list[list[int]],
     return prev, pieces, chance
 
 
-def short_lattice(unit: str, v: Vocabulary) -> list[list[tuple[int, int, float]]] | None:
-    """The same for a unit short enough for plain products, as (earlier node, piece, sum of paths): None if it needs bytes."""
-    if SPACE in unit:
-        return None
-    n, prefix, chance = len(unit), v.prefix, v.chance
-    sums, nodes = [1.0] + [0.0] * n, [[] for _ in range(n + 1)]
-    for i in range(n):
-        here = sums[i]
-        if not here:
-            return None  # a character that is no piece
-        for j in range(i + 1, n + 1):
-            piece = prefix.get(unit[i:j])
-            if piece is None:
-                break
-            if piece >= 0:
-                paths = here * chance[piece]
-                sums[j] += paths
-                nodes[j].append((i, piece, paths))
-    if not sums[n] or any(unit[i] not in v.id for i in range(n)):
-        return None
-    return nodes[1:]
+def many_lattices(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lattices of many short units at once; characters of all units, one after the other, are the nodes.
+
+    Returns for each edge, sorted by node: node, length, piece, chance; and for each unit whether all its characters are pieces.
+    Products of weights do for short units; they stay far above the smallest number.
+    """
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    inside = np.arange(len(codes)) - np.repeat(starts, sizes)
+    nodes, lengths, pieces = [], [], []
+    h = np.zeros(len(codes), np.uint64)
+    single = np.zeros(len(codes), bool)
+    for size in range(1, min(v.longest, int(sizes.max(initial=0))) + 1):
+        h[size - 1 :] += codes[: len(codes) - size + 1] * v.powers[size - 1]
+        at = np.flatnonzero(v.maybe[(h >> _HIGH).astype(np.int64)] & (inside >= size - 1))
+        hashes, ids = v.by_length[size - 1]
+        if not len(hashes):
+            continue
+        k = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
+        hit = hashes[k] == h[at]
+        nodes.append(at[hit])
+        lengths.append(np.full(len(nodes[-1]), size))
+        pieces.append(ids[k[hit]])
+        if size == 1:
+            single[nodes[0]] = True
+    node, length, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (nodes, lengths, pieces))
+    whole = np.add.reduceat(single, starts) == sizes if len(units) else np.zeros(0, bool)
+    order = np.lexsort((length, inside[node]))
+    node, length, piece = node[order], length[order], piece[order]
+    weight, sums, paths = v.chances[piece], np.zeros(len(codes)), np.zeros(len(node))
+    ends = np.searchsorted(inside[node], np.arange(int(sizes.max(initial=0)) + 1))
+    for a, b in zip(ends, ends[1:]):  # by place in the unit: what comes before is summed up
+        before = np.where(length[a:b] > inside[node[a:b]], 1.0, sums[node[a:b] - length[a:b]])
+        paths[a:b] = before * weight[a:b]
+        np.add.at(sums, node[a:b], paths[a:b])
+    order = np.argsort(node, kind="stable")
+    node, length, piece, paths = node[order], length[order], piece[order], paths[order]
+    return node, length, piece, paths / np.maximum(sums[node], 1e-300), whole
 
 
 _G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -143,53 +179,73 @@ class Sampler:
         self.v, self.limit = vocabulary, edges
         self.end: dict[str, int] = {}
         self.passing: list[str] = []
-        self.new_marks, self.new_back, self.new_piece = [], [], []
+        self.kept: tuple[int, int] | None = None
         self.nodes, self.size = 0, 0
         self.marks, self.back, self.piece = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
 
-    def _learn(self, unit: str) -> int:
-        """Numbers the unit's nodes; -1 as an earlier node stands for the start."""
-        base, marks, back, piece = self.nodes, [], [], []
-        nodes = short_lattice(unit, self.v)
-        if nodes is None:
+    def _learn(self, units: list[str]):
+        """Numbers the nodes of new units; -1 as an earlier node stands for the start."""
+        simple, rest = [u for u in units if SPACE not in u], [u for u in units if SPACE in u]
+        if simple:
+            node, length, piece, chance, whole = many_lattices(simple, self.v)
+            sizes = np.fromiter(map(len, simple), np.int64, len(simple))
+            start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            first = np.flatnonzero(np.diff(node, prepend=-1))
+            sums = np.cumsum(chance)
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))
+            marks = self.nodes + node + (sums - np.concatenate([[0.0], sums])[first][group])
+            last = np.append(first[1:], len(node)) - 1
+            marks[last] = self.nodes + node[last] + 1.0
+            marks = np.minimum(marks, self.nodes + node + 1.0)
+            back = np.where(node - length < start[node], -1, self.nodes + node - length)
+            ends = self.nodes + np.cumsum(sizes) - 1
+            self._store(marks, back, piece)
+            for unit, end, good in zip(simple, ends.tolist(), whole.tolist()):
+                if good:
+                    self.end[unit] = end
+                else:
+                    rest.append(unit)
+            self.nodes += int(sizes.sum())
+        for unit in rest:
             prev, pieces, chance = lattice(unit, self.v)
-            nodes = [list(zip(*row)) for row in zip(prev, pieces, chance)]
-        for node in nodes:
-            mark, whole = float(self.nodes), sum([x for _, _, x in node])
-            self.nodes += 1
-            for before, found, paths in node:
-                mark += paths / whole
-                marks.append(mark)
-                back.append(base + before - 1 if before else -1)
-                piece.append(found)
-            marks[-1] = float(self.nodes)
-        self.new_marks.extend(marks)
-        self.new_back.extend(back)
-        self.new_piece.extend(piece)
-        self.end[unit] = self.nodes - 1
-        if self.size + len(self.new_marks) > self.limit:
-            self.passing.append(unit)
-        return self.nodes - 1
-
-    def _settle(self):
-        """What was learned joins the store."""
-        n = len(self.new_marks)
-        while self.size + n > len(self.marks):
-            self.marks, self.back, self.piece = (np.concatenate([x, np.zeros_like(x)]) for x in (self.marks, self.back, self.piece))
-        for store, values in ((self.marks, self.new_marks), (self.back, self.new_back), (self.piece, self.new_piece)):
-            store[self.size : self.size + n] = values
+            base, marks, back = self.nodes, [], []
+            for row, before in zip(chance, prev):
+                mark = float(self.nodes)
+                for x in row[:-1]:
+                    mark += x
+                    marks.append(mark)
+                self.nodes += 1
+                marks.append(float(self.nodes))
+                back.extend([base + a - 1 if a else -1 for a in before])
+            self._store(np.array(marks), np.array(back, np.int64), np.array([p for row in pieces for p in row], np.int32))
+            self.end[unit] = self.nodes - 1
+
+    def _store(self, *values: np.ndarray):
+        n = len(values[0])
+        if self.size + n > len(self.marks):
+            more = (self.size + n) // 4 + n
+            self.marks, self.back, self.piece = (
+                np.concatenate([x[: self.size], np.zeros(more, x.dtype)]) for x in (self.marks, self.back, self.piece))
+        for store, value in zip((self.marks, self.back, self.piece), values):
+            store[self.size : self.size + n] = value
         self.size += n
-        self.new_marks, self.new_back, self.new_piece = [], [], []
+
+    def _prepare(self, units: list[str]):
+        """Units beyond the limit are dropped after the batch, from the end of the store; the rest stays."""
+        for a in range(0, len(units), 4096):
+            some = units[a : a + 4096]
+            if self.size >= self.limit and self.kept is None:
+                self.kept = self.nodes, self.size
+            if self.kept is not None:
+                self.passing.extend(some)
+            self._learn(some)
 
     def _forget(self):
-        """Drops what was learned beyond the limit; the rest stays for the next batch."""
-        if self.passing:
-            cut = self.end[self.passing[0]]
+        if self.kept is not None:
             for unit in self.passing:
                 del self.end[unit]
-            self.passing = []
-            self.nodes = max(self.end.values(), default=-1) + 1 if cut else 0
-            self.size = int(np.searchsorted(self.marks[: self.size], float(self.nodes), side="right"))
+            self.nodes, self.size = self.kept
+            self.passing, self.kept = [], None
 
     def _long(self, unit: str, key: np.uint64, place: int) -> list[int]:
         prev, pieces, chance = lattice(unit, self.v)
@@ -205,22 +261,18 @@ class Sampler:
         return out[::-1]
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
+        cut = [self.v.unit.findall(" " + text) if text else [] for text in texts]
+        self._prepare([u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in self.end and len(u) <= SHORT])
         ends, long = [], {}
-        row_of, place_of = [], []
-        for r, text in enumerate(texts):
-            units = self.v.unit.findall(" " + text) if text else []
+        for r, units in enumerate(cut):
             for k, unit in enumerate(units):
-                end = self.end.get(unit)
-                if end is None:
-                    if len(unit) > SHORT:
-                        long[len(ends)] = self._long(unit, np.uint64(keys[r]), k)
-                        end = -1
-                    else:
-                        end = self._learn(unit)
-                ends.append(end)
-            row_of.append(len(units))
-            place_of.append(np.arange(len(units), dtype=np.int64))
-        self._settle()
+                if len(unit) > SHORT:
+                    long[len(ends)] = self._long(unit, np.uint64(keys[r]), k)
+                    ends.append(-1)
+                else:
+                    ends.append(self.end[unit])
+        row_of = [len(units) for units in cut]
+        place_of = [np.arange(n, dtype=np.int64) for n in row_of]
         sizes = np.array(row_of, np.int64)
         key = np.repeat(np.array(keys, np.uint64), sizes)
         place = np.concatenate(place_of) if place_of else np.zeros(0, np.int64)
@@ -282,8 +334,8 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         sampler = sampler_of(model, theta)
         v = sampler.v
         for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                batch = whole.slice(a, 512)
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
                 texts = batch.column(text).to_pylist()
                 keys = [xxhash.xxh64_intdigest((k or "").encode(), seed=seed) for k in batch.column(row).to_pylist()]
                 ids = sampler.encode(texts, keys)
