@@ -8,8 +8,9 @@ bits of the set's digest. Classes are linked where intersection / union is THRES
 2. Buckets with two classes or more are kept, and of buckets with equal members one.
 3. Each bucket's most met class (its pivot) is compared with the others: pairs grow with the memberships, not with their square.
    The low bits, corrected for chance collisions, drop pairs far below the threshold; the full sets decide.
-4. Buckets whose classes are not all connected by then are searched inside tasks, in blocks of bounded size: only pairs of
-   different components are looked at, and one link between two is enough. No pair leaves the task but confirmed links.
+4. Buckets whose classes are not all connected by then are searched inside tasks, in blocks of bounded size: what lies outside a
+   bucket's main component is compared with its other members, and one link between two components is enough. No pair leaves the
+   task but confirmed links.
 5. Components by alternating stars, whose edges are written after each step.
 
 A pair at the threshold shares no band with a chance below 3 in 10 million.
@@ -145,10 +146,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _block_links(group: pd.DataFrame) -> pd.DataFrame:
-    """Links between members of different components in a block, until nothing is left to connect."""
-    group = group.drop_duplicates(["cid", "side"]).reset_index(drop=True)
-    cid, root, side, i, j = (group[c].to_numpy() for c in ("cid", "root", "side", "i", "j"))
-    within = i[0] == j[0]
+    """Links between the members of smaller components in a block and the block's others, until nothing is left to connect."""
+    group = group.drop_duplicates(["cid", "rest"]).reset_index(drop=True)
+    cid, root, rest = (group[c].to_numpy() for c in ("cid", "root", "rest"))
     sig = np.stack(group["planes"].to_list()).view(np.uint64).reshape(len(group), BITS, WORDS)
     n, sets = group["n"].to_numpy(), [np.asarray(s) for s in group["s"]]
     parent = {r: r for r in root}
@@ -158,20 +158,14 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
             parent[r] = r = parent[parent[r]]
         return r
 
-    out = []
-    for x in range(len(group)):
-        if within:
-            rest = np.arange(x + 1, len(group))
-        elif side[x] == i[0]:
-            rest = np.flatnonzero(side == j[0])
-        else:
-            continue
-        rest = rest[(4 * n[rest] >= 3 * n[x]) & (4 * n[x] >= 3 * n[rest])]
-        differ = np.bitwise_or.reduce(sig[rest] ^ sig[x], axis=1)
+    out, whole = [], np.flatnonzero(~rest)
+    for x in np.flatnonzero(rest):
+        others = whole[(4 * n[whole] >= 3 * n[x]) & (4 * n[x] >= 3 * n[whole]) & (root[whole] != root[x])]
+        differ = np.bitwise_or.reduce(sig[others] ^ sig[x], axis=1)
         equal = 64 * WORDS - PAD - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
         guess = (equal / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS)
         likely = guess >= THRESHOLD / 100 - SLACK
-        for y in rest[likely][np.argsort(-guess[likely], kind="stable")]:
+        for y in others[likely][np.argsort(-guess[likely], kind="stable")]:
             a, b = find(root[x]), find(root[y])
             if a != b:
                 shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
@@ -226,15 +220,21 @@ def class_links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     roots = written(components(edges), "near-roots")
     rows = rows.join(roots, F.col("cid") == F.col("node"), "left").select("bkey", "cid", F.coalesce("root", "cid").alias("root"))
     rows = written(rows, "near-open")
-    still = rows.groupBy("bkey").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bkey")
-    rows = written(rows.join(written(still, "near-open"), "bkey", "left_semi"), "near-open")
+    tally = rows.groupBy("bkey", "root").agg(F.count(F.lit(1)).alias("k"))
+    still = tally.groupBy("bkey").agg(
+        F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("others"), F.count(F.lit(1)).alias("roots"))
+    still = written(still.filter("roots > 1").select("bkey", "main", "others"), "near-open")
+    rows = written(rows.join(still, "bkey"), "near-open")
+    # each member once for each block of the smaller components' members, these once for each block of all
     opened = _one_of_each(rows.select("bkey", "cid")).join(rows, ["bkey", "cid"])
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    opened = opened.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("cid", "bkey"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    opened = opened.select("bkey", "cid", "root", "side", other).select(
-        "bkey", "cid", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    opened = opened.join(chosen.select("cid", "n", "planes"), "cid").join(sets, "cid")
+    opened = opened.withColumn("i_parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn(
+        "j_parts", F.ceil(F.col("others") / BLOCK).cast("int"))
+    own = lambda parts: F.pmod(F.xxhash64("cid", "bkey"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    whole = opened.select("bkey", "cid", "root", F.lit(False).alias("rest"), own("i_parts").alias("i"), every("j_parts").alias("j"))
+    smaller = opened.filter("root <> main").select(
+        "bkey", "cid", "root", F.lit(True).alias("rest"), own("j_parts").alias("j"), every("i_parts").alias("i"))
+    opened = whole.unionByName(smaller).join(chosen.select("cid", "n", "planes"), "cid").join(sets, "cid")
     more = opened.groupBy("bkey", "i", "j").applyInPandas(_block_links, "a long, b long")
     return edges.unionByName(written(more, "near-more"))
 
