@@ -176,9 +176,9 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _one_of_each(rows: DataFrame) -> DataFrame:
-    """Rows (bkey, cid) of one bucket among those with equal members."""
-    h = F.xxhash64("cid")
-    prints = rows.groupBy("bkey").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 8)).alias("y"))
+    """Distinct rows (bkey, cid) of one bucket among those with equal members. Members are told by two 64-bit hashes, which no size overflows."""
+    prints = rows.groupBy("bkey").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"))
     chosen = written(prints.groupBy("size", "x", "y").agg(F.min("bkey").alias("bkey")).select("bkey", "size"), "near-buckets")
     return rows.join(chosen, "bkey")
 

@@ -162,6 +162,15 @@ def test_near_duplicates(spark, docs, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_large_buckets_do_not_overflow(spark):
+    # hashes of one sign: their sum leaves 64 bits after some hundred members
+    members = spark.range(4000).filter("xxhash64(id) > 0").select(F.explode(F.expr("array(5L, 6L)")).alias("bkey"), F.col("id").alias("cid"))
+    other = members.filter("bkey = 5 and cid > 10").select(F.lit(7).cast("long").alias("bkey"), "cid")
+    got = {r["bkey"]: (r["size"], r["n"]) for r in near_dup._one_of_each(members.unionByName(other)).groupBy("bkey", "size").agg(F.count("cid").alias("n")).collect()}
+    n, m = members.count() // 2, other.count()
+    assert got == {5: (n, n), 7: (m, m)} and m < n
+
+
 def test_low_bits_estimate_similarity():
     import numpy as np
 
