@@ -5,7 +5,8 @@ half to the grandparent, a share that falls with the distance to those above. A
 density. The best container, raised to the article around it, and its siblings with enough points are kept.
 
 Left out first: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
-element, role, or a word of class or id. A header inside an article stays: it holds its title.
+element, role, or a word of class or id. A header inside an article stays: it holds its title. Words of class and id alone do not drop
+the article, nor the greater part of the page's points, unless they mark remarks, teasers or adverts; where nothing is left they do not count.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one
 space. Line breaks are white space. No paragraph long enough for points: the first article, else the body, is kept.
@@ -42,6 +43,12 @@ UNLIKELY = frozenset(
     "notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond replies "
     "sidebar related recommended share sharing social breadcrumb breadcrumbs menu nav navbar navigation topnav footer pagination pager widget "
     "toolbar skip masthead".split())
+#: Of these, what may outweigh the article without being it.
+APART = frozenset(
+    "comment comments commentlist disqus respond replies related recommended ad ads adbox advert adverts advertisement advertising adsense "
+    "sponsor sponsored promo promotion banner cookie cookies consent gdpr popup newsletter subscribe subscription".split())
+#: A class name with one of these tells how the page is laid out (has-sidebar, nav-open), not what the element is.
+STATES = frozenset("has no not with without open opened closed is show hide enabled disabled layout".split())
 HEADERS = frozenset("header masthead topbar".split())
 #: A start tag of the key ends open elements of the value, up to the nearest of the stops.
 ENDS = {
@@ -66,6 +73,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.out, self.linked = ["#page"], [-1], [False], [False]
+        self.marks: dict[int, set[str]] = {}  # elements with unlikely words, not out yet
         self.first, self.last = [0], [0]
         self.events: list[tuple[int, str | None]] = []
         self.article = [False]
@@ -103,7 +111,10 @@ class Page:
         inside = self.article[up] or name in ("article", "main")
         self.tag.append(name)
         self.parent.append(up)
-        self.out.append(self.out[up] or self._unlikely(name, attributes, self.article[up]))
+        out, words = self._unlikely(name, attributes, self.article[up])
+        self.out.append(self.out[up] or out)
+        if words and not self.out[-1]:
+            self.marks[len(self.out) - 1] = words
         self.linked.append(self.linked[up] or name == "a")
         self.article.append(inside)
         self.open[name] += 1
@@ -138,24 +149,68 @@ class Page:
 
     @staticmethod
     def _unlikely(name, attributes, in_article):
+        """Whether element, role or style drop it, and the words of class and id that speak against it."""
         if name in DROPPED or name == "header" and not in_article:
-            return True
+            return True, None
         if not attributes.strip() or name in ("html", "body", "article", "main", "br", "hr", "img"):
-            return False
+            return False, None
         values = {}
         for key, *value in _ATTRIBUTE.findall(attributes):
             values.setdefault(key.lower(), "".join(value))
         style = values.get("style", "").replace(" ", "").lower()
         if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in style or values.get("role", "").lower() in ROLES:
-            return True
-        words = {w.lower() for w in _WORD.findall(f"{values.get('class', '')} {values.get('id', '')}")}
-        return bool(words & UNLIKELY) or bool(words & HEADERS) and not in_article
+            return True, None
+        words = set()
+        for given in f"{values.get('class', '')} {values.get('id', '')}".split():
+            found = {w.lower() for w in _WORD.findall(given)}
+            if not found & STATES:
+                words |= found & UNLIKELY if in_article else found & (UNLIKELY | HEADERS)
+        return False, words
 
 
 def _squeezed(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
+def _spread(page: Page, marked: set[int]) -> None:
+    """Takes the marked elements, with all they hold, out of the page."""
+    if marked:
+        for k in range(1, len(page.tag)):
+            page.out[k] = page.out[k] or k in marked or page.out[page.parent[k]]
+
+
+def _doubtful(page: Page) -> set[int]:
+    """The elements that the words of class and id take out."""
+    n = len(page.tag)
+    paragraph = _paragraphs(page)[0]
+    held = [paragraph.get(k, 0.0) for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        held[page.parent[k]] += held[k]
+    named, plain = [k for k in range(1, n) if page.tag[k] in ("article", "main") and not page.out[k]], [True]
+    for k in range(1, n):
+        plain.append(plain[page.parent[k]] and k not in page.marks)
+    spared = set()
+    if not any(plain[k] and any(t and t.strip() for _, t in page.events[page.first[k] : page.last[k]]) for k in named):
+        spared = {k for k, words in page.marks.items() if 2 * held[k] > held[0] and not words & APART}
+    around, apart = [0], [False]  # marked elements around each element, itself included, and whether one has a word of APART
+    for k in range(1, n):
+        marked = k in page.marks and k not in spared
+        around.append(around[page.parent[k]] + marked)
+        apart.append(apart[page.parent[k]] or marked and bool(page.marks[k] & APART))
+    articles = [k for k in named if held[k] and not apart[k]]
+    # articles that the fewest of them surround, if these outweigh what no word speaks against
+    least = min((around[k] for k in articles), default=0)
+    first = [k for k in articles if around[k] == least]
+    if least and max(held[k] for k in first) > sum(p for k, p in paragraph.items() if not around[k]):
+        seen = {0}
+        for k in first:
+            while k not in seen:
+                seen.add(k)
+                k = page.parent[k]
+        spared |= seen & page.marks.keys()
+    return set(page.marks) - spared
+
+
 def _text(page: Page, node: int) -> str:
     blocks, parts = [], []
     for at, text in page.events[page.first[node] : page.last[node]]:
@@ -171,8 +226,8 @@ def _text(page: Page, node: int) -> str:
     return " ".join(b for b in blocks if b)
 
 
-def _points(page: Page) -> tuple[list[float], list[float]]:
-    """Points of each element, and the share of its text in links."""
+def _paragraphs(page: Page) -> tuple[dict[int, float], list[float]]:
+    """Points of each paragraph, and the share of each element's text in links."""
     n = len(page.tag)
     block = [0] * n
     for k in range(1, n):
@@ -188,25 +243,47 @@ def _points(page: Page) -> tuple[list[float], list[float]]:
     for k in range(n - 1, 0, -1):
         size[page.parent[k]] += size[k]
         links[page.parent[k]] += links[k]
-    points = [0.0] * n
+    scores = {}
     for k, parts in own.items():
         text = _squeezed(parts)
         if page.tag[k] not in PARAGRAPH or len(text) < SHORT:
             continue
-        score = (1 + text.count(",") + text.count("、") + min(3, len(text) // 100)) * (1 - links[k] / max(1, size[k]))
+        scores[k] = (1 + text.count(",") + text.count("、") + min(3, len(text) // 100)) * (1 - links[k] / max(1, size[k]))
+    return scores, [links[k] / size[k] if size[k] else 0.0 for k in range(n)]
+
+
+def _points(page: Page, paragraph: dict[int, float]) -> list[float]:
+    """Points of each element."""
+    points = [0.0] * len(page.tag)
+    for k, score in paragraph.items():
         up = page.parent[k] if page.tag[k] in ("p", "pre", "blockquote", "td", "dd", "li", "figcaption") else k
         level = 0
         while up > 0:
             points[up] += score if level == 0 else score / 2 if level == 1 else score / (3 * level)
             up, level = page.parent[up], level + 1
-    return points, [links[k] / size[k] if size[k] else 0.0 for k in range(n)]
+    return points
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
-    points, density = _points(page)
+    if page.marks:
+        before = list(page.out)
+        _spread(page, _doubtful(page))
+        text = _main(page)
+        if len(text) >= SHORT or text and any(t in ("article", "main") and not out for t, out in zip(page.tag, page.out)):
+            return text
+        page.out = before
+        _spread(page, {k for k, words in page.marks.items() if text and words & APART})
+        again = _main(page)
+        return again if len(again) >= SHORT else text or again
+    return _main(page)
+
+
+def _main(page: Page) -> str:
+    paragraph, density = _paragraphs(page)
+    points = _points(page, paragraph)
     score = [p * (1 - d) for p, d in zip(points, density)]
     kept = [k for k in range(1, len(score)) if not page.out[k]]
     best = max(kept, key=lambda k: (score[k], -k), default=0)

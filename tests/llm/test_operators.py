@@ -233,6 +233,26 @@ def test_main_text():
     assert page_text.main_text("<div>" * 5000 + "deep, deep text that is long enough, surely") == "deep, deep text that is long enough, surely"
 
 
+LONG = "Words of the article, one after the other, in sentences that go on, and on, for some time, as they do, until they end, at last. "
+
+
+@pytest.mark.parametrize("name", ["wrap has-sidebar", "no-sidebar", "nav-open", "with-comments", "page-widget", "widget"])
+def test_layout_classes_do_not_drop_the_article(name):
+    side = '<div class="sidebar"><p>Beside it, and short.</p></div><div id="comments"><article><p>Nice, really, so much, and more, thanks.</p></article></div>'
+    want = (LONG * 4).strip()
+    for inner in (f"<article><p>{LONG * 4}</p></article>", f"<div><p>{LONG * 4}</p></div>"):
+        assert page_text.main_text(f'<body><div class="{name}">{inner}{side}</div></body>') == want
+        assert page_text.main_text(f"<body>{inner}{side}</body>") == want
+    assert page_text.main_text(f'<body><div class="related"><p>{LONG}</p></div></body>') == LONG.strip()
+
+
+def test_adverts_do_not_outweigh_short_articles():
+    for inner in ("<article><h1>Short</h1></article>", "<article><h1>Short one</h1><p>A sentence, no more, of the article.</p></article>"):
+        want = page_text.main_text(f"<body>{inner}</body>")
+        for name in ("ad", "footer", "sidebar"):
+            assert page_text.main_text(f'<body><div class="{name}">{LONG}</div>{inner}</body>') == want
+
+
 def test_extract_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, n_chars string")
     got = page_text.extract(df)
