@@ -2,7 +2,8 @@
 
 Paragraphs pass points (one, one for each comma, up to three for length) to their ancestors: all of them to the parent,
 half to the grandparent, a share that falls with the distance to those above. A container's points are discounted by its link
-density. The best container, raised to the article around it, and its siblings with enough points are kept.
+density. The best container, raised to the article around it, and its siblings with enough points are kept. Without an article around it,
+it is raised to the common ancestor of all paragraphs with points and few links; there, and beside it, only what is mostly links goes.
 
 Left out first: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
 element, role, or a word of class or id. A header inside an article stays: it holds its title. Words of class and id alone do not drop
@@ -65,7 +66,7 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-SHORT, NEAR = 25, 0.2
+SHORT, NEAR, LINKED = 25, 0.2, 0.25
 
 
 class Page:
@@ -211,10 +212,11 @@ def _doubtful(page: Page) -> set[int]:
     return set(page.marks) - spared
 
 
-def _text(page: Page, node: int) -> str:
+def _text(page: Page, node: int, left: frozenset[int] | set[int] = frozenset()) -> str:
+    """Text of an element; those of ``left`` do not count, whatever they hold."""
     blocks, parts = [], []
     for at, text in page.events[page.first[node] : page.last[node]]:
-        if page.out[at]:
+        if page.out[at] or at in left:
             continue
         if text is None:
             if parts:
@@ -264,6 +266,28 @@ def _points(page: Page, paragraph: dict[int, float]) -> list[float]:
     return points
 
 
+def _raised(page: Page, best: int, paragraph: dict[int, float], density: list[float]) -> str:
+    """Text of the sections around and beside the best container, without what is mostly links."""
+    sound = {k for k, p in paragraph.items() if p > 0 and density[k] < LINKED}
+    holds = set()  # elements around such paragraphs
+    for k in sound:
+        while k >= 0 and k not in holds:
+            holds.add(k)
+            k = page.parent[k]
+    top, first, last = best, min((page.first[k] for k in sound), default=page.first[best]), max((page.last[k] for k in sound), default=0)
+    while top > 0 and not (page.first[top] <= first and last <= page.last[top]):
+        top = page.parent[top]
+    up = top if top <= 0 or page.tag[top] in ("body", "html") else page.parent[top]
+    whole, left = [False] * len(page.tag), set()
+    for k in range(1, len(page.tag)):
+        whole[k] = k == best or whole[page.parent[k]]
+        if page.parent[k] in left:
+            left.add(k)
+        elif not whole[k] and k not in holds and page.tag[k] in BLOCK and density[k] >= LINKED:
+            left.add(k)
+    return _text(page, up, left)
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -293,8 +317,9 @@ def _main(page: Page) -> str:
     top = best
     while top > 0 and page.tag[top] not in ("article", "main"):
         top = page.parent[top]
-    if top > 0:
-        best = top
+    if top <= 0:
+        return _raised(page, best, paragraph, density)
+    best = top
     up, texts = page.parent[best], []
     for k in kept:
         if page.parent[k] != up:

@@ -253,6 +253,13 @@ def test_adverts_do_not_outweigh_short_articles():
             assert page_text.main_text(f'<body><div class="{name}">{LONG}</div>{inner}</body>') == want
 
 
+def test_sections_without_an_article_are_whole():
+    first, second = (LONG * 4).strip(), "A second section, shorter than the first one, " + "which has few commas and goes on for a while " * 3 + "still."
+    page = (f"<body><div id=page><div><p>{first}</p></div><div><p>{second}</p></div><h3>Heading</h3><div><p>{second}</p></div><ul><li>item</ul>"
+            "<table><tr><td>cell</table><ul><li><a href=x>Link</a><li><a href=y>Other link</a></ul></div></body>")
+    assert page_text.main_text(page) == f"{first} {second} Heading {second} item cell"
+
+
 def test_extract_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, None), (2, None, None, None)], "page_id long, url string, html string, n_chars string")
     got = page_text.extract(df)
