@@ -7,23 +7,28 @@ what blocks cut: the number of ends before a block, and the place of the last on
 The scan goes in two levels, so that a file with a third of all blocks is not one task: spans of SPAN blocks are
 summed up first, then the spans of a file, then the blocks within their span.
 
-``pack`` writes such files from texts; ``blocks_of_files`` reads real ones.
+``write_files`` writes such files from texts, ``blocks_of_files`` reads any: a task reads ranges of RUN blocks at their place in the file, so
+no file's length bounds anything. Stores that pyarrow cannot open have ``pack`` (blocks as table rows), and files there are read whole.
 
 Defined cases: null and empty texts are documents of no token. Files that do not end with an end id have an open last document, which
 counts if it has a token. Empty tables give empty tables. Equal rows are documents of their own. Extra columns of texts are left out by
-``pack``; only their ids are kept, beside the files, in file order.
+the writers; only their ids are kept, beside the files, in file order.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from logmeld.session import scratch_path
+from logmeld.session import scratch_path, written
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The words a tokenizer of these ranks merges within: contractions, letters, digits, other signs, white space.
@@ -31,6 +36,9 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 END = 50256
 BLOCK = 1 << 15
 SPAN = 256
+#: Blocks that are read one after the other, and of these so many at once.
+RUN, HELD = 128, 16
+_IDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def tokenizer(ranks: str = RANKS):
@@ -77,19 +85,97 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
             pa.array([None] * n + ([names.to_pylist()] if named else []), ids_type),
         ], ["file", "block", "ids", "first", "doc_ids"])
 
-    ids_type = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
+    ids_type = pa.list_(_IDS[kind])
     named = docs.select(
         F.spark_partition_id().cast("long").alias("file"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     named.mapInArrow(packed, f"file long, block long, ids binary, first long, doc_ids array<{kind}>").write.option(
         "compression", "zstd").parquet(path)
 
 
+def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    local = re.match(r"(?:file:/*(?=/))?(/.*)", path, re.S)
+    if local:
+        return pyarrow.fs.LocalFileSystem(), local[1]
+    return pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@?=&%"))
+
+
+def _opens(path: str) -> bool:
+    try:
+        _store(path)
+    except (pa.ArrowException, OSError, ImportError):
+        return False
+    return True
+
+
+def write_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", ranks: str = RANKS, end: int = END) -> DataFrame:
+    """Writes a flat file of little-endian uint16 ids into ``path`` for each partition of ``docs``: rows (file, path, length) and (file, first, doc_ids).
+
+    Files of failed tasks stay in the folder; no row names them.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = pa.schema([("file", pa.int64()), ("path", pa.string()), ("length", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(_IDS[kind]))])
+
+    def row(**values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([values], schema)
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, out, first, length = None, None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                encode, file = tokenizer(ranks).encode_ordinary, batch.column("file")[0].as_py()
+                store, root = _store(path)
+                store.create_dir(root, recursive=True)
+                name = f"{file:06d}-{uuid.uuid4().hex}.bin"
+                out = store.open_output_stream(f"{root}/{name}")
+            ids = []
+            for t in batch.column("text").to_pylist():
+                ids.extend(encode(t) if t else ())
+                ids.append(end)
+            length += out.write(np.array(ids, "<u2").tobytes())
+            yield row(file=file, first=first, doc_ids=batch.column("id").to_pylist())
+            first += batch.num_rows
+        if out is not None:
+            out.close()
+            yield row(file=file, path=f"{path}/{name}", length=length)
+
+    named = docs.select(
+        F.spark_partition_id().cast("long").alias("file"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    return written(named.mapInArrow(flat, f"file long, path string, length long, first long, doc_ids array<{kind}>"), "token-names")
+
+
+def blocks_of_ranges(files: DataFrame, block: int = BLOCK, id_bytes: int = 2) -> DataFrame:
+    """(file, block, ids) of files (file, path, length), by runs of RUN blocks: each is read where it lies, by whatever task has it."""
+    size, run = block * id_bytes, RUN
+    runs = files.filter("length > 0").select(
+        "file", "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size * run}L"))).alias("run"))
+    tasks = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / (size * run))), F.lit(1))).first()[0]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                store, name = _store(r["path"])
+                last = -(-r["length"] // size)
+                with store.open_input_file(name) as f:
+                    for a in range(r["run"] * run, min((r["run"] + 1) * run, last), HELD):
+                        some = range(a, min(a + HELD, (r["run"] + 1) * run, last))
+                        ids = [f.read_at(min(size, r["length"] - k * size), k * size) for k in some]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([r["file"]] * len(ids), pa.int64()), pa.array(list(some), pa.int64()), pa.array(ids, pa.binary())],
+                            ["file", "block", "ids"])
+
+    return runs.repartition(max(1, min(int(tasks), 20_000)), "file", "run").mapInArrow(read, "file long, block long, ids binary")
+
+
 def blocks_of_files(spark: SparkSession, path: str, block: int = BLOCK, id_bytes: int = 2) -> DataFrame:
-    """(file, block, ids) of flat files of uint16 or uint32 ids; each file is read by one task, so files should be of moderate size."""
+    """(file, block, ids) of flat files of uint16 or uint32 ids, of any length; in stores that pyarrow cannot open each is read whole."""
     size = block * id_bytes
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content", "length")
+    files = spark.read.format("binaryFile").load(path)
+    if _opens(path):
+        return blocks_of_ranges(files.select(F.xxhash64("path").alias("file"), "path", "length"), block, id_bytes)
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(greatest(length, 1) - 1) div {size}"))).alias("block")
-    cut = files.select("file", cuts, "content").select(
+    cut = files.select(F.xxhash64("path").alias("file"), cuts, "content").select(
         "file", "block", F.substring("content", F.col("block").cast("int") * size + 1, F.lit(size)).alias("ids"))
     return cut.filter(F.length("ids") > 0)
 
@@ -147,12 +233,17 @@ def count_tokens(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataF
 
 
 def count_document_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str = RANKS) -> DataFrame:
-    """doc_id, file, doc, start, n_tokens: packs the texts into the shared folder, counts by scanning, and names the documents."""
+    """doc_id, file, doc, start, n_tokens: writes the texts as flat files into the shared folder, counts by scanning, and names the documents."""
     spark = docs.sparkSession
     path = scratch_path(spark, "token-files")
-    pack(docs, path, doc_id, text, ranks)
-    stored = spark.read.parquet(path)
-    counts = count_tokens(stored.filter("ids is not null"))
+    if _opens(path):
+        stored = write_files(docs, path, doc_id, text, ranks)
+        blocks = blocks_of_ranges(stored.filter("path is not null").select("file", "path", "length"))
+    else:
+        pack(docs, path, doc_id, text, ranks)
+        stored = spark.read.parquet(path)
+        blocks = stored.filter("ids is not null")
+    counts = count_tokens(blocks)
     names = stored.filter("doc_ids is not null").select("file", "first", F.posexplode("doc_ids").alias("k", doc_id)).select(
         "file", (F.col("first") + F.col("k")).alias("doc"), doc_id)
     return names.join(counts, ["file", "doc"]).select(doc_id, "file", "doc", "start", "n_tokens")

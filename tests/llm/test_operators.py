@@ -71,6 +71,22 @@ def test_open_last_document_of_a_raw_file(spark, tmp_path):
     assert [(r["doc"], r["start"], r["n_tokens"]) for r in got] == [(0, 0, 2), (1, 3, 0), (2, 4, 1), (3, 6, 2)]
 
 
+def test_flat_files_are_read_in_ranges(spark, docs, tmp_path, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(token_scan, "RUN", 2)
+    ids = np.arange(1003, dtype="<u2")
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a b.bin").write_bytes(ids.tobytes())
+    got = token_scan.blocks_of_files(spark, str(tmp_path / "one"), block=50).select("*", F.spark_partition_id().alias("task")).orderBy("block").collect()
+    assert [r["block"] for r in got] == list(range(21)) and b"".join(r["ids"] for r in got) == ids.tobytes()
+    assert len({r["task"] for r in got}) > 2
+    stored = token_scan.write_files(docs.repartition(2), (tmp_path / "two").as_uri())
+    files = stored.filter("path is not null").collect()
+    flat = np.concatenate([np.fromfile(p, "<u2") for p in sorted((tmp_path / "two").iterdir())])
+    assert 2 * len(flat) == sum(r["length"] for r in files) and (flat == token_scan.END).sum() == docs.count()
+
+
 def test_passages_go_and_clean_texts_stay(docs, none):
     got = {r["doc_id"]: r for r in chunk_dedup.dedup_substrings(docs).collect()}
     given = {r["doc_id"]: r["text"] for r in docs.collect()}
