@@ -38,10 +38,10 @@ def _iso(v: Column) -> Column:
     body = F.replace(v, F.lit(","), F.lit("."))
     no_seconds = v.rlike(rf"^.{{11}}\d{{2}}:\d{{2}}{_ZONE}?$")
     full = F.when(
-        no_seconds, F.concat(F.substring(body, 1, 16), F.lit(":00"), F.substring(body, 17, 99))
+        no_seconds, F.concat(F.substring(body, 1, 16), F.lit(":00"), F.substr(body, F.lit(17), F.length(body)))
     ).otherwise(body)
     zoned = F.when(F.length(v) == 10, F.concat(v, F.lit(" 00:00:00Z"))).when(
-        F.substring(v, 12, 99).rlike(rf"{_ZONE}$"), full
+        F.substr(v, F.lit(12), F.length(v)).rlike(rf"{_ZONE}$"), full
     ).otherwise(F.concat(full, F.lit("Z")))
     return zoned.try_cast("timestamp")
 
@@ -50,7 +50,7 @@ def _bsd(v: Column, ref_year: Column) -> Column:
     p = F.split(v, " ")
     year = F.coalesce(F.try_element_at(p, F.lit(4)), ref_year.cast("string"))
     text = F.concat(
-        year, F.lit("-"), _month(p[0]), F.lit("-"), F.lpad(p[1], 2, "0"), F.lit(" "), p[2], F.lit("Z")
+        year, F.lit("-"), _month(F.get(p, F.lit(0))), F.lit("-"), F.lpad(F.get(p, F.lit(1)), 2, "0"), F.lit(" "), F.get(p, F.lit(2)), F.lit("Z")
     )
     return text.try_cast("timestamp")
 
@@ -62,8 +62,8 @@ def _slashed(v: Column) -> Column:
 def _web_log(v: Column) -> Column:
     p = F.split(v, "[/: ]", 7)
     text = F.concat(
-        p[2], F.lit("-"), _month(p[1]), F.lit("-"), F.lpad(p[0], 2, "0"), F.lit(" "),
-        p[3], F.lit(":"), p[4], F.lit(":"), p[5], p[6],
+        F.get(p, F.lit(2)), F.lit("-"), _month(F.get(p, F.lit(1))), F.lit("-"), F.lpad(F.get(p, F.lit(0)), 2, "0"), F.lit(" "),
+        F.get(p, F.lit(3)), F.lit(":"), F.get(p, F.lit(4)), F.lit(":"), F.get(p, F.lit(5)), F.get(p, F.lit(6)),
     )
     return text.try_cast("timestamp")
 

@@ -12,6 +12,7 @@ _KEY = r"([a-zA-Z0-9_.]+)="
 # Possessive throughout: a match runs in a loop, whatever the length of the value.
 _PAIR = r"(?s)([a-zA-Z0-9_.]+)=([^=\\]*+(?:\\=?[^=\\]*+)*+)$"
 _CUT = "\ue000"  # a private-use character
+_HEADER = ["vendor", "product", "device_version", "signature_id", "event_name", "cef_severity"]
 
 
 def header_parts(line: Column) -> Column:
@@ -20,7 +21,13 @@ def header_parts(line: Column) -> Column:
 
 
 def is_well_formed(parts: Column) -> Column:
-    return (F.size(parts) == 8) & F.coalesce(parts[0], F.lit("")).rlike(r"^CEF:\d+$")
+    return (F.size(parts) == 8) & F.coalesce(F.get(parts, F.lit(0)), F.lit("")).rlike(r"^CEF:\d+$")
+
+
+def version(parts: Column) -> Column:
+    """What follows ``CEF:`` in the first part."""
+    first = F.get(parts, F.lit(0))
+    return F.substr(first, F.lit(5), F.length(first))
 
 
 def error(line: Column, parts: Column) -> Column:
@@ -64,13 +71,8 @@ def pair_entries(extension: Column) -> Column:
 
 def header_entries(line: Column, parts: Column) -> Column:
     return entries({
-        "cef_version": F.substring(parts[0], 5, 20),
-        "vendor": parts[1],
-        "product": parts[2],
-        "device_version": parts[3],
-        "signature_id": parts[4],
-        "event_name": parts[5],
-        "cef_severity": parts[6],
+        "cef_version": version(parts),
+        **{name: F.get(parts, F.lit(i)) for i, name in enumerate(_HEADER, 1)},
         "prefix": prefix(line),
     })
 
@@ -78,7 +80,7 @@ def header_entries(line: Column, parts: Column) -> Column:
 def fields(line: Column, parts: Column) -> Column:
     return F.when(
         is_well_formed(parts),
-        last_wins(F.concat(header_entries(line, parts), pair_entries(parts[7]))),
+        last_wins(F.concat(header_entries(line, parts), pair_entries(F.get(parts, F.lit(7))))),
     )
 
 
@@ -98,11 +100,9 @@ def parse_cef(df: DataFrame, col: str = "line") -> DataFrame:
     staged = df.withColumn("_parts", header_parts(F.col(col)))
     parts, line = F.col("_parts"), F.col(col)
     ok = is_well_formed(parts)
-    names = ["vendor", "product", "device_version", "signature_id", "event_name", "cef_severity",
-             "extension"]
     return staged.withColumns({
-        "cef_version": F.when(ok, F.substring(parts[0], 5, 20)),
-        **{n: F.when(ok, parts[i]) for i, n in enumerate(names, 1)},
+        "cef_version": F.when(ok, version(parts)),
+        **{n: F.when(ok, F.get(parts, F.lit(i))) for i, n in enumerate([*_HEADER, "extension"], 1)},
         "prefix": F.when(ok, prefix(line)),
         "error": error(line, parts),
     }).drop("_parts")

@@ -15,7 +15,7 @@ def header_parts(line: Column) -> Column:
 
 
 def is_well_formed(parts: Column) -> Column:
-    return (F.size(parts) >= 6) & F.coalesce(parts[0], F.lit("")).isin("LEEF:1.0", "LEEF:2.0")
+    return (F.size(parts) >= 6) & F.coalesce(F.get(parts, F.lit(0)), F.lit("")).isin("LEEF:1.0", "LEEF:2.0")
 
 
 def error(line: Column, parts: Column) -> Column:
@@ -52,8 +52,8 @@ def _split_by(text: Column, delimiter: Column) -> Column:
 
 def attribute_entries(parts: Column) -> Column:
     has_delimiter = F.size(parts) == 7
-    attributes = F.when(has_delimiter, F.try_element_at(parts, F.lit(7))).otherwise(parts[5])
-    given = F.when(has_delimiter, parts[5])
+    attributes = F.when(has_delimiter, F.try_element_at(parts, F.lit(7))).otherwise(F.get(parts, F.lit(5)))
+    given = F.when(has_delimiter, F.get(parts, F.lit(5)))
 
     def take(piece):
         at = F.instr(piece, "=")
@@ -70,11 +70,11 @@ def attribute_entries(parts: Column) -> Column:
 
 def header_entries(parts: Column) -> Column:
     return entries({
-        "leef_version": F.substring(parts[0], 6, 3),
-        "vendor": parts[1],
-        "product": parts[2],
-        "device_version": parts[3],
-        "event_name": parts[4],
+        "leef_version": F.substring(F.get(parts, F.lit(0)), 6, 3),
+        "vendor": F.get(parts, F.lit(1)),
+        "product": F.get(parts, F.lit(2)),
+        "device_version": F.get(parts, F.lit(3)),
+        "event_name": F.get(parts, F.lit(4)),
     })
 
 

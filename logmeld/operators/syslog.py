@@ -91,18 +91,18 @@ def message_entries(message: Column) -> Column:
 
 
 def rfc5424_entries(parts: Column) -> Column:
-    head = parts[0]
+    head = F.get(parts, F.lit(0))
     pri = F.substring_index(F.substring(head, 2, 9), ">", 1).try_cast("int")
     dash_is_null = lambda c: F.nullif(c, F.lit("-"))
     rest = _rest(parts)
     sd = structured_part(rest)
     named = entries({
         **_priority(pri),
-        "timestamp": parts[1],
-        "hostname": dash_is_null(parts[2]),
-        "app_name": dash_is_null(parts[3]),
-        "proc_id": parts[4],
-        "msg_id": parts[5],
+        "timestamp": F.get(parts, F.lit(1)),
+        "hostname": dash_is_null(F.get(parts, F.lit(2))),
+        "app_name": dash_is_null(F.get(parts, F.lit(3))),
+        "proc_id": F.get(parts, F.lit(4)),
+        "msg_id": F.get(parts, F.lit(5)),
         "message": _message(rest),
     })
     return F.concat(

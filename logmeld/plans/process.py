@@ -118,8 +118,8 @@ def extract_fields(df: DataFrame, nested: bool = False) -> DataFrame:
         .when(fmt == "CSV", delimited.vendor(parts, lower)),
     })
     return staged.withColumns({
-        "device_type": F.when(fmt == "CEF", cef.device_type(parts[2], F.try_element_at(parts, F.lit(6))))
-        .when(fmt == "LEEF", leef.device_type(F.try_element_at(parts, F.lit(3))))
+        "device_type": F.when(fmt == "CEF", cef.device_type(F.get(parts, F.lit(2)), F.get(parts, F.lit(5))))
+        .when(fmt == "LEEF", leef.device_type(F.get(parts, F.lit(2))))
         .when(fmt == "JSON", json_object.device_type(doc, lower))
         .when(fmt == "KEY_VALUE", key_value.device_type(lower, asa))
         .when(fmt == "SYSLOG", syslog.device_type(line, lower, F.col("vendor")))

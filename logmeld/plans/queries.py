@@ -881,6 +881,33 @@ def _(spark, sf):
     return done.groupBy("file_path").agg(F.count("outcome").alias("n"))
 
 
+_CUT_LINES = [
+    "CEF:0|Acme|Gate Firewall|1.0|7|Flow|3|src=10.0.0.1 dst=10.0.0.2 act=deny", "LEEF:1.0|Acme|Gate|7|login|src=10.0.0.1",
+    "LEEF:2.0|Acme|Gate|7|login|^|src=10.0.0.1^act=deny", '{"src_ip":"10.0.0.1","action":"deny","n":{"a":[1,2]}}',
+    "<134>1 2026-03-01T14:00:00Z gw app 7 ID9 [x@1 a=1] text", "<13>Feb  9 01:02:03 host9 cron[42]: job done",
+    "devname=FG7 srcip=10.1.1.1 dstip=172.16.3.4 action=blocked", "2026-03-01T12:00:00Z,10.0.0.1,10.0.0.2,allow,low", "see CEF:0 in text", "CEF:0|bad",
+]
+_FORCED = [None, *[p[0] for p in vocab.PARSERS]]
+
+
+@query("r3b_cut_lines", f"""with l(k, whole) as (values {", ".join(f"({k}, '{text}')" for k, text in enumerate(_CUT_LINES))}),
+ p(j, parser) as (values {", ".join(f"({j}, {repr(name) if name else 'null'})" for j, name in enumerate(_FORCED))})
+ select k, parser, count(*) as n, count(*) filter (k in (0, 9) and parser is null and least(length(whole), event_id % 70 + 6) < 50) as n_bad_cef
+ from events join l on k = event_id % {len(_CUT_LINES)} join p on j = (event_id // {len(_CUT_LINES)}) % {len(_FORCED)} group by k, parser""")
+def _(spark, sf):
+    at = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i.cast("int") + 1)
+    k = c("event_id") % len(_CUT_LINES)
+    lines = src.table(spark, sf, "events").select(
+        k.alias("k"), at(_FORCED, F.expr(f"event_id div {len(_CUT_LINES)}") % len(_FORCED)).alias("parser_given"),
+        F.substr(at(_CUT_LINES, k), F.lit(1), (c("event_id") % 70 + 6).cast("int")).alias("line"),
+        F.concat(F.lit("f"), k).alias("file_path"), c("event_id").alias("line_no"))
+    done = pr.process(lines, forced_parser=c("parser_given"), ingest_ts=fx.INGEST_TS, ref_year=fx.REF_YEAR, headers=None)
+    ran = done.select("file_path", "line_no", "outcome", "detected_format")
+    back = lines.select("k", c("parser_given").alias("parser"), "file_path", "line_no")
+    bad = (c("outcome") == "failed") & (c("detected_format") == "CEF") & c("k").isin(0, 9) & c("parser").isNull()
+    return back.join(ran, ["file_path", "line_no"]).groupBy("k", "parser").agg(F.count("outcome").alias("n"), F.count_if(bad).alias("n_bad_cef"))
+
+
 @query("r4_process", over(_EVENT))
 def _(spark, sf):
     return _event_columns(pr.events_of(src.processed_live(spark, sf)))

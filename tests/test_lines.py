@@ -230,3 +230,17 @@ def test_flatten_knows_no_depth(spark):
         deep = f'{{"k{k}": {deep}}}'
     df = spark.createDataFrame([(deep,)], "line string")
     assert flatten_json(df).first().fields == {"k9.k8.k7.k6.k5.k4.k3.k2.k1.k0.v": "1"}
+
+
+def test_no_line_ends_the_job(spark):
+    """Every prefix of every sample line, detected and under every forced parser."""
+    from logmeld import vocab
+
+    cut = [t[:n] for t in LINES.values() for n in range(1, len(t) + 1)]
+    cut += ["CEF:0", "CEF:0|", "CEF:0|bad", "see CEF:0 in text", "CEF:|", "LEEF:", "LEEF:1.0|", "<1>", "<>", "{}", "{", ",,,,", "====", "a=b=c=d=", "\u0085", "|||||||"]
+    rows = [(t, "f", i) for i, t in enumerate(cut)]
+    lines = spark.createDataFrame(rows, "line string, file_path string, line_no long")
+    blank = sum(not t.strip() for t in cut)
+    for parser in [None, *[p[0] for p in vocab.PARSERS]]:
+        done = process(lines, forced_parser=parser, ingest_ts="2026-06-01 00:00:00", ref_year=2026)
+        assert done.select("outcome", "reason", "network", "event", "user", "process").toArrow().num_rows == len(cut) - blank
