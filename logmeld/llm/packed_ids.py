@@ -23,6 +23,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from urllib.parse import quote
 
 import numpy as np
@@ -40,9 +41,9 @@ END = 2
 BLOCK = 1 << 16
 RUN = 1 << 20
 #: Texts that are encoded at once hold so many characters, or are one text.
-SLICE = 2_000_000
-#: Words that a worker remembers, and the longest of them.
-KNOWN, LONGEST = 900_000, 64
+SLICE = 4_000_000
+#: Words, and parts of words, that a worker remembers, and the longest of them.
+KNOWN, LONGEST = 700_000, 64
 
 MAGIC = int.from_bytes(b"ids-s8b1", "little")
 #: Bits of an id for selectors 0 to 14; 60 divided by them is the count of ids, 120 for zeros. Selector 15 is the escape.
@@ -235,35 +236,72 @@ class Reader:
 # ---- texts to ids -----------------------------------------------------------------------
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space: each distinct word is encoded once, as long as it is remembered.
+    """Ids of texts by a tokenizer that lower-cases and drops white space: each distinct word is encoded once, as long as it is remembered.
 
-    White space is replaced by one space and taken out by the tokenizer's own rules, so that words are independent of each other. Python
-    splits at the same characters and at four control characters besides; texts with these are encoded as they are.
+    White space becomes one space by the tokenizer's own rules and is taken out, so that words between ASCII white space are independent of each
+    other. Within a word the tokenizer cuts between letters and an ASCII sign that is none, so words with the same letters share their ids.
     """
 
-    CONTROL = re.compile("[\x1c-\x1f]")
+    #: Letters, if an ASCII sign or the end follows; then the rest of a word.
+    PARTS = re.compile("(?:([A-Za-zÀ-ÖØ-öø-ɏ]++)(?=[\x01-@\\[-`{-\x7f]))?([^\n]*)\n")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text."""
-        words = [[] if not t else [t] if self.CONTROL.search(t) else t.split() for t in texts]
-        new = list(set().union(*words) - self.known.keys())
+        self.parts: dict[str, bytes] = {"": b""}
+        #: A sign that stands for itself, to tell words of one text apart.
+        self.mark = self.tokenizer.encode("\0", add_special_tokens=False).ids
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Many words as a few texts with marks between them; words with marks of their own one by one."""
+        if len(self.mark) != 1 or any("\0" in w for w in words):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out, groups = [], [words[k : k + 200] for k in range(0, len(words), 200)]
+        for e in self.tokenizer.encode_batch_fast([" \0 ".join(g) for g in groups], add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for end in [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]:
+                out.append(raw[4 * at : 4 * end])
+                at = end + 1
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without ASCII white space, by the ids of their letters and of the rest."""
+        cut = self.PARTS.findall(("\n".join(words) + "\n").encode().lower().decode())
+        asked = set(chain.from_iterable(cut))
+        if len(self.parts) + len(asked) > KNOWN:
+            self.parts = {"": b""}
+        new = [*(asked - self.parts.keys())]
+        self.parts.update(zip(new, self._ids(new)))
+        parts = self.parts
+        out = [parts[first] + parts[rest] for first, rest in cut]
+        for part in new:
+            if len(part) > LONGEST:
+                del parts[part]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        words = pa.compute.ascii_split_whitespace(texts.fill_null(""))
+        flat = words.flatten().dictionary_encode()
+        own = flat.dictionary.to_pylist()
+        found = [*map(self.known.get, own)]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(new, self._words([own[k] for k in new]) if new else ()):
+            found[k] = ids
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
-            new = list(set().union(*words))
-        found = dict(zip(new, self._ids(new))) if new else {}
-        once = {w: found.pop(w) for w in new if len(w) > LONGEST}
-        self.known.update(found)
-        get = self.known.__getitem__ if not once else lambda w: once[w] if len(w) > LONGEST else self.known[w]
-        return [np.frombuffer(b"".join(map(get, w)), "<u4") for w in words]
+        self.known.update((own[k], found[k]) for k in new if len(own[k]) <= LONGEST)
+        pool = np.frombuffer(b"".join(found), "<u4")
+        size = np.array([len(ids) // 4 for ids in found], np.int64)
+        place = flat.indices.to_numpy()
+        each = size[place]
+        ends = np.cumsum(each)
+        start = np.cumsum(size) - size
+        ids = pool[np.repeat(start[place] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(np.append(0, ends)[words.offsets.to_numpy()])
 
 
 @lru_cache(maxsize=2)
@@ -314,9 +352,9 @@ def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
                 name = f"{path}/{file:06d}-{uuid.uuid4().hex}.s8b"
                 out = Writer(store.open_output_stream(open_store(name)[1], compression=None))
             for a, b in slices(batch.column("text")):
-                ids = encoder.encode(batch.column("text").slice(a, b - a).to_pylist())
+                ids, sizes = encoder.encode(batch.column("text").slice(a, b - a))
                 flat = []
-                for doc, doc_ids in zip(batch.column("id").slice(a, b - a).to_pylist(), ids):
+                for doc, doc_ids in zip(batch.column("id").slice(a, b - a).to_pylist(), np.split(ids, np.cumsum(sizes)[:-1])):
                     if lengths and ids_in_run + len(doc_ids) >= RUN:
                         out.add(np.concatenate(flat) if flat else np.zeros(0, "<u4"))
                         flat = []
@@ -339,15 +377,15 @@ def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
 def read_ids(runs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, file, start, n_tokens, ids): from the files, each document's ids as little-endian uint32 and its place among all ids of all files."""
     kind = runs.schema["names"].dataType.elementType
-    ddl = StructType([StructField(doc_id, kind)]).add("file", "long").add("first", "long").add("n_tokens", "long").add("ids", "binary")
+    ddl = StructType([StructField(doc_id, kind)]).add("file", "long").add("start", "long").add("n_tokens", "long").add("ids", "binary")
     arrow_kind = to_arrow_type(kind)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 reader = Reader(batch.column("path")[row].as_py())
-                number = batch.column("file")[row].as_py()
-                found = [(f, n, i.astype("<u4").tobytes()) for f, n, i in reader.documents(batch.column("run")[row].as_py())]
+                number, before = batch.column("file")[row].as_py(), batch.column("_before")[row].as_py()
+                found = [(before + f, n, i.astype("<u4").tobytes()) for f, n, i in reader.documents(batch.column("run")[row].as_py())]
                 reader.close()
                 names = batch.column("names")[row].values
                 yield pa.RecordBatch.from_arrays([
@@ -356,14 +394,13 @@ def read_ids(runs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
                     pa.array([x[2] for x in found], pa.binary())], names=ddl.names)
 
     tasks = max(1, min(runs.count(), 20_000))
-    found = runs.repartition(tasks, "file", "run").mapInArrow(read, ddl)
     # one row a file: as many as tasks have written
     ends = runs.groupBy("file").agg(F.max(F.struct("run", "path")).alias("last")).select("file", "last.path")
     sizes = ends.mapInArrow(_sizes, "file long, size long")
     ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(F.col("file").alias("_file"), F.coalesce(F.sum("size").over(ahead), F.lit(0)).cast("long").alias("_before"))
-    placed = found.join(before, F.col("file") == F.col("_file"))
-    return placed.select(doc_id, "file", (F.col("first") + F.col("_before")).alias("start"), "n_tokens", "ids")
+    placed = runs.join(before, F.col("file") == F.col("_file")).drop("_file")
+    return placed.repartition(tasks, "file", "run").mapInArrow(read, ddl)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

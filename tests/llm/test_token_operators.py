@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,9 +68,14 @@ def texts(spark):
 
 def test_words_are_encoded_as_whole_texts_are(texts):
     words, _, _ = _tokenizers()
-    got = packed_ids.WordEncoder(packed_ids.WORDS).encode(texts)
-    for t, ids in zip(texts, got):
-        assert ids.tolist() == (words.encode(t, add_special_tokens=False).ids if t else [])
+    texts = [*texts, "DON'T A\u030a word\u0301s ÉCOLE x² ½a ΟΔΟΣ ΣΑΣ İ ǅ a.b'll"]
+    encoder = packed_ids.WordEncoder(packed_ids.WORDS)
+    for _ in range(2):
+        ids, sizes = encoder.encode(pa.array(texts, pa.string()))
+        assert len(sizes) == len(texts) and sizes.sum() == len(ids)
+        for t, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert own.tolist() == (words.encode(t, add_special_tokens=False).ids if t else [])
+    assert len(encoder.encode(pa.array([], pa.string()))[0]) == 0
 
 
 def test_units_are_aligned_as_whole_texts_are(texts):
