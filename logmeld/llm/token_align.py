@@ -15,7 +15,6 @@ groups. Each row is a document of its own, also where ids or texts repeat. Empty
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,9 +32,9 @@ BYTES = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units that a worker remembers, and the longest of them.
-KNOWN, LONGEST = 600_000, 64
+KNOWN, LONGEST = 700_000, 64
 #: Bytes of text whose links are counted together before they are shuffled, and of texts that leave a task at once.
-BLOCK_BYTES, PUT_BYTES = 8_000_000, 500_000
+BLOCK_BYTES, PUT_BYTES = 8_000_000, 2_000_000
 
 
 def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
@@ -55,11 +54,16 @@ def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int, in
     return groups, links
 
 
+_WHITE = r"[ \t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Of a text without tokens.
+_NONE = (0, 0, "", b"")
+
+
 class Aligner:
     """Tokens, groups and links of texts. ``unit`` results are (number of A, of B, groups as text, links as int64: A in the high half)."""
 
-    #: Other characters that some rule takes for white space, beside a space or anywhere.
-    ODD = re.compile(rf" \s|\s | $|^ |{SPACE}|[\x1c-\x1f]")
+    #: Spaces at an end or beside other white space, and characters that only one of the rules takes for white space.
+    ODD = rf"^ | $| {_WHITE}|{_WHITE} |{SPACE}|[\x1c-\x1f]"
 
     def __init__(self, a_path: str = BYTES, b_path: str = PIECES):
         import sentencepiece
@@ -78,6 +82,9 @@ class Aligner:
         self.b_bytes = [
             bytes([int(self.b.id_to_piece(k)[3:5], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace(SPACE, " ").encode() for k in range(n)]
         self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        #: Ids as text, and what stands after them within and at the end of their part of a group.
+        self.a_said, self.b_said = (
+            np.array([f"{k}{end}" for k in range(len(x)) for end in (",", last)], object) for x, last in ((self.a_bytes, "|"), (self.b_bytes, ";")))
         #: No piece goes on over a space, so units are independent.
         self.cuts = all(SPACE not in self.b.id_to_piece(k).lstrip(SPACE) for k in range(n))
         self.known: dict[str, tuple | None] = {}
@@ -96,32 +103,77 @@ class Aligner:
             out.append((len(a), len(b), said, np.array([a[i] << 32 | b[j] for i, j in links], "<i8").tobytes()))
         return out
 
-    def texts(self, texts: list[str | None]) -> list[tuple | None]:
-        """The same for each text as ``whole`` gives, None also for null and empty ones."""
-        units = [[] if not t else t.split(" ") if self.cuts and not self.ODD.search(t) else [t] for t in texts]
-        asked = set().union(*units)
-        new = [*(asked - self.known.keys())]
+    def joined(self, units: list[str]) -> list[tuple | None]:
+        """The same for units that are independent: encoded and aligned as one text, cut where units end."""
+        text = " ".join(units)
+        raw, a, b = f" {text}".encode(), self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text, num_threads=1)
+        if b"".join([self.a_bytes[k] for k in a]) != raw or b"".join([self.b_bytes[k] for k in b]) != raw:
+            return self.whole(units)
+        a_ends = [*accumulate([self.a_size[k] for k in a])]
+        groups, links = (np.array(x, np.int64) for x in align(a_ends, [*accumulate([self.b_size[k] for k in b])]))
+        common = np.array(a_ends)[groups[:, 1] - 1]
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        cut = np.searchsorted(common, ends)
+        if (common[cut] != ends).any():
+            return self.whole(units)
+        a, b, (a_from, a_to, b_from, b_to) = np.array(a), np.array(b), groups.T
+        of_a, of_b = (np.repeat(np.arange(len(groups)), n) for n in (a_to - a_from, b_to - b_from))
+        said = np.empty(len(a) + len(b), object)
+        said[np.arange(len(a)) + b_from[of_a]] = self.a_said[2 * a + (np.arange(len(a)) + 1 == a_to[of_a])]
+        said[np.arange(len(b)) + a_to[of_b]] = self.b_said[2 * b + (np.arange(len(b)) + 1 == b_to[of_b])]
+        pairs, said = (a[links[:, 0]] << 32 | b[links[:, 1]]).astype("<i8").tobytes(), said.tolist()
+        n_a, n_b = a_to[cut], b_to[cut]
+        n_links = 8 * (n_a + n_b - cut - 1)  # each common end is one link less than tokens
+        bounds = zip(*[[0, *x.tolist()] for x in (n_a, n_b, n_links)])
+        out, before = [], next(bounds)
+        for now in bounds:
+            out.append((now[0] - before[0], now[1] - before[1], "".join(said[before[0] + before[1] : now[0] + now[1]])[:-1], pairs[before[2] : now[2]]))
+            before = now
+        return out
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """(numbers of A, B and links by text, groups of each text, links of all texts); nothing for null and empty texts and what does not come back."""
+        given = texts.fill_null("")
+        odd = pa.compute.match_substring_regex(given, self.ODD).to_pylist() if self.cuts else [True] * len(given)
+        given = given.to_pylist()
+        if any(odd):
+            units = pa.array([[t] if own else t.split(" ") for t, own in zip(given, odd)], pa.list_(pa.string()))
+        else:
+            units = pa.compute.split_pattern(texts.fill_null(""), " ")
+        flat = units.flatten().dictionary_encode()
+        own = flat.dictionary.to_pylist()
+        found = [self.known.get(u, 0) if u else _NONE for u in own]
+        new = [k for k, x in enumerate(found) if x == 0]
+        alone = {t for t, own_text in zip(given, odd) if own_text}
+        for some, method in (([k for k in new if own[k] in alone], self.whole), ([k for k in new if own[k] not in alone], self.joined)):
+            for at in range(0, len(some), 1000):
+                part = some[at : at + 1000]
+                for k, x in zip(part, method([own[k] for k in part])):
+                    found[k] = x
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
-            new = [*asked]
-        found = {}
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            found.update(zip(part, self.whole(part)))
-        once = {u: found.pop(u) for u in new if len(u) > LONGEST}
-        self.known.update(found)
-        get = self.known.__getitem__ if not once else lambda u: once[u] if len(u) > LONGEST else self.known[u]
-        out = []
-        for text, own in zip(texts, units):
-            rows = [*map(get, own)]
-            if None in rows:
-                out += self.whole([text]) if len(own) > 1 else [None]
-            elif rows:
-                a, b, said, links = zip(*rows)
-                out.append((sum(a), sum(b), ";".join(said), b"".join(links)))
-            else:
-                out.append(None)
-        return out
+        self.known.update((own[k], found[k]) for k in new if len(own[k]) <= LONGEST)
+
+        place, offsets = flat.indices.to_numpy(), units.offsets.to_numpy()
+        lost = np.array([x is None for x in found], bool)
+        bad = {int(k) for k in np.searchsorted(offsets, np.flatnonzero(lost[place]), "right") - 1} if lost.any() else set()
+        found = [x or _NONE for x in found]
+        numbers = np.array([(a, b, len(links) // 8) for a, b, _, links in found], np.int64).reshape(-1, 3)
+        said, at = [x[2] for x in found], place.tolist()
+        groups = [";".join([said[k] for k in at[i:j]]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        totals = np.diff(np.append(np.zeros((1, 3), np.int64), np.cumsum(numbers[place], 0), 0)[offsets], axis=0)
+        pool = np.frombuffer(b"".join([x[3] for x in found]), "<i8")
+        each = numbers[place, 2]
+        ends = np.cumsum(each)
+        links = pool[np.repeat((np.cumsum(numbers[:, 2]) - numbers[:, 2])[place] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        if bad:
+            parts = np.split(links, np.cumsum(totals[:, 2])[:-1])
+            for k in bad:
+                a, b, groups[k], raw = (self.whole([given[k]])[0] if offsets[k + 1] - offsets[k] > 1 else None) or _NONE
+                parts[k] = np.frombuffer(raw, "<i8")
+                totals[k] = a, b, len(parts[k])
+            links = np.concatenate(parts)
+        return totals, groups, links
 
 
 @lru_cache(maxsize=2)
@@ -156,24 +208,23 @@ def align_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a_p
 
         def close() -> Iterator[pa.RecordBatch]:
             """The block's documents by portions, then the block."""
-            links = [np.frombuffer(row[3], "<i8") if row else np.zeros(0, "<i8") for _, row in held]
-            pairs, place = np.unique(np.concatenate(links), return_inverse=True)
-            holders, at, part, weight = np.zeros(len(pairs), np.int32), 0, [], 0
-            block = partition << 24 | number
-            for k, ((doc, row), own) in enumerate(zip(held, links)):
-                mine, times = np.unique(place[at : at + len(own)], return_counts=True)
-                at += len(own)
+            totals = np.concatenate([t for _, t, _, _ in held])
+            docs, groups = [d for x, _, _, _ in held for d in x], [g for _, _, x, _ in held for g in x]
+            pairs, place = np.unique(np.concatenate([x for _, _, _, x in held]), return_inverse=True)
+            ends = np.cumsum(totals[:, 2])
+            block, at, weight, links = partition << 24 | number, 0, 0, []
+            holders = np.zeros(len(pairs), np.int32)
+            for k, (size, end) in enumerate(zip(totals[:, 2].tolist(), ends.tolist())):
+                mine, times = np.unique(place[end - size : end], return_counts=True)
                 holders[mine] += 1
-                steps = np.diff(mine, prepend=0).astype("<u4")
-                part.append((doc, row, zlib.compress(steps.tobytes() + times.astype("<u4").tobytes(), 1)))
-                weight += len(row[2]) if row else 1
-                if weight >= PUT_BYTES * 5 or k == len(held) - 1:
-                    rows = [r or (0, 0, "", b"") for _, r, _ in part]
-                    groups = [r[2].count(";") + 1 if r[2] else 0 for r in rows]
+                links.append(zlib.compress(np.diff(mine, prepend=0).astype("<u4").tobytes() + times.astype("<u4").tobytes(), 1))
+                weight += len(groups[k])
+                if weight >= PUT_BYTES or k == len(docs) - 1:
+                    own = groups[at : k + 1]
                     yield batch_of(
-                        pa.array([d for d, _, _ in part], kind_of), ([r[0] for r in rows], [r[1] for r in rows], groups, [len(r[3]) // 8 for r in rows]),
-                        [r[2] for r in rows], block, [p for _, _, p in part])
-                    part, weight = [], 0
+                        pa.array(docs[at : k + 1], kind_of), [*totals[at : k + 1, :2].T, [g.count(";") + 1 if g else 0 for g in own], totals[at : k + 1, 2]],
+                        own, block, links)
+                    at, weight, links = k + 1, 0, []
             yield batch_of(pa.nulls(1, kind_of), [[0]] * 4, [None], block, [None], pairs, holders)
 
         for batch in batches:
@@ -187,8 +238,8 @@ def align_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a_p
                 while stop < batch.num_rows and (stop == at or some + sizes[stop] <= PUT_BYTES):
                     some += sizes[stop]
                     stop += 1
-                got = aligner.texts(batch.column("text").slice(at, stop - at).to_pylist())
-                held += zip(batch.column("id").slice(at, stop - at).to_pylist(), got)
+                got = aligner.texts(batch.column("text").slice(at, stop - at))
+                held.append((batch.column("id").slice(at, stop - at).to_pylist(), *got))
                 size, at = size + some, stop
                 if size >= BLOCK_BYTES:
                     yield from close()
