@@ -32,6 +32,8 @@ from logmeld.session import written
 SAMPLE, CODEWORDS, ROUNDS = 4_096, 16, 8
 #: Rows of a segment, and bytes of anchors that go to the tasks at once.
 SEGMENT, PASS_BYTES = 10_000, 32_000_000
+#: Rows that a search reads before it looks again whether its windows are certified.
+READ = 1_000
 SEED = 7
 _LONG = (-(2**63), 2**63 - 1)
 
@@ -86,7 +88,7 @@ class Segment:
         self.cell = {tuple(cells[a]): (a, b) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(ids)])}
         self.longest = float(np.sqrt((self.x**2).sum(1)).max()) if len(ids) else 0.0
 
-    def scores(self, rows: slice, q: np.ndarray, small: bool) -> np.ndarray:
+    def scores(self, rows: np.ndarray, q: np.ndarray, small: bool) -> np.ndarray:
         if small:
             return (self.x[rows] @ q.astype(np.float64)).astype(np.int64)
         exact = self.whole[rows].astype(object) @ q.astype(object)
@@ -124,29 +126,37 @@ class Segment:
         small = float(np.sqrt((q.astype(np.float64) ** 2).sum())) * self.longest < 2.0**52
         found: list[list[tuple[int, int]]] = [[] for _ in windows]
         open_ = set(range(len(windows)))
-        for bound, rows in self.visit(q.astype(np.float64)):
+        cells = self.visit(q.astype(np.float64))
+        for bound, rows in cells:
             open_ = {k for k in open_ if not (
                 (windows[k][0] is not None and bound < windows[k][0]) or (len(found[k]) == top and found[k][-1][0] > bound))}
             if not open_:
                 break
-            mask = wanted(rows)
-            if not mask.any():
+            # cells ahead are read together, in their order, up to READ rows
+            parts, n = [np.arange(rows.start, rows.stop)], rows.stop - rows.start
+            while n < READ and (ahead := next(cells, None)) is not None:
+                parts.append(np.arange(ahead[1].start, ahead[1].stop))
+                n += len(parts[-1])
+            rows = np.concatenate(parts)
+            scores = self.scores(rows, q, small)
+            floor = min(_LONG[0] if windows[k][0] is None else windows[k][0] for k in open_)
+            floor = max(floor, min(found[k][-1][0] if len(found[k]) == top else _LONG[0] for k in open_))
+            ceiling = max(_LONG[1] if windows[k][1] is None else windows[k][1] for k in open_)
+            some = np.flatnonzero((scores >= floor) & (scores <= ceiling))
+            some = some[wanted(rows[some])]
+            if not len(some):
                 continue
-            ids, scores = self.ids[rows][mask], self.scores(rows, q, small)[mask]
+            ids, scores = self.ids[rows[some]], scores[some]
             for k in open_:
                 least, most = windows[k]
-                inside = np.ones(len(ids), bool)
-                if least is not None:
-                    inside &= scores >= least
+                inside = np.ones(len(ids), bool) if least is None else scores >= least
                 if most is not None:
                     inside &= scores <= most
-                if len(found[k]) == top:
-                    inside &= scores >= found[k][-1][0]
-                if inside.any():
-                    s, i = scores[inside], ids[inside]
-                    if len(s) > 4 * top:  # all that tie with the last of the first ``top`` stay
-                        cut = np.partition(s, len(s) - top)[len(s) - top]
-                        s, i = s[s >= cut], i[s >= cut]
+                s, i = scores[inside], ids[inside]
+                if len(s) > 4 * top:  # all that tie with the last of the first ``top`` stay
+                    cut = np.partition(s, len(s) - top)[len(s) - top]
+                    s, i = s[s >= cut], i[s >= cut]
+                if len(s):
                     found[k] = sorted([*found[k], *zip(s.tolist(), i.tolist())], key=lambda r: (-r[0], r[1]))[:top]
         return found
 

@@ -222,6 +222,7 @@ def _mined(df, is_anchor, **more):
 def test_hard_negatives_against_all_pairs(spark, size, monkeypatch):
     rng = np.random.default_rng(size)
     monkeypatch.setattr(multi_index, "SEGMENT", 70)
+    monkeypatch.setattr(multi_index, "READ", 9)
     rows = [(k, int(rng.integers(0, 3)), rng.integers(-9, 10, size).tolist()) for k in range(300)]
     rows += [(k, 1, rows[5][2]) for k in range(300, 340)] + rows[:3] + [(400, 0, [0] * size), (410, 9, [3] * size), (420, 0, [2] * (size + 1)), (421, 1, [2] * (size + 1))]
     df = spark.createDataFrame(rows, "id long, label long, vector array<long>").repartition(3)
@@ -250,14 +251,16 @@ def test_rows_that_take_no_part(spark):
     assert multi_index.usable(with_clash, F.col("id"), F.col("label"), F.col("vector")).count() == 3
 
 
-def test_heap_skips_cells_that_cannot_matter():
+def test_heap_skips_cells_that_cannot_matter(monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.integers(-200, 200, (40, 8))
     x = (centres[rng.integers(0, 40, 4000)] + rng.integers(-2, 3, (4000, 8))).astype(np.int64)
     books = multi_index.fit_codebook(x[:, :4]), multi_index.fit_codebook(x[:, 4:])
     cells = np.stack([multi_index._nearest(x[:, :4].astype(float), books[0]), multi_index._nearest(x[:, 4:].astype(float), books[1])], 1)
     segment = multi_index.Segment(np.arange(4000), np.zeros(4000, np.int64), x, cells, books)
-    read = []
-    found = segment.search(x[0], [(None, None)], 5, lambda rows: read.append(rows.stop - rows.start) or np.ones(rows.stop - rows.start, bool))
+    read, plain = [], segment.scores
+    segment.scores = lambda rows, q, small: read.append(len(rows)) or plain(rows, q, small)
+    monkeypatch.setattr(multi_index, "READ", 100)
+    found = segment.search(x[0], [(None, None)], 5, lambda rows: np.ones(len(rows), bool))
     scores = x @ x[0]
     assert [s for s, _ in found[0]] == sorted(scores.tolist(), reverse=True)[:5] and sum(read) < 2000
