@@ -125,6 +125,22 @@ def _(spark, sf):
     return tables.read_events(spark, path).drop("normalized_json", "raw_event", "event_date")
 
 
+_LATER = _WRITTEN.replace(" timestamp, vendor as", " timestamp + case when timestamp_source = 'ingest' then interval 1 day else interval 0 day end as timestamp, vendor as").replace(
+    "timestamp '2024-03-01 00:00:00' as created_at", "timestamp '2024-03-02 00:00:00' as created_at")
+
+
+@query("k1c_upsert_across_dates", _LATER)
+def _(spark, sf):
+    """The same lines on two days, then some of the first day's rows again: events without a time of their own move to the second day."""
+    path = scratch_path(spark, "events")
+    e = src.events(spark, sf)
+    moved = e.withColumn("timestamp", F.when(c("timestamp_source") == "ingest", c("timestamp") + F.expr("interval 1 day")).otherwise(c("timestamp")))
+    writers.upsert_events(e, path, fx.INGEST_TS)
+    writers.upsert_events(moved, path, "2024-03-02 00:00:00")
+    writers.upsert_events(e.filter(c("line_no") % 3 == 0), path, fx.INGEST_TS)
+    return tables.read_events(spark, path).drop("normalized_json", "raw_event", "event_date")
+
+
 @query("k2_latest_by_key", "select event_id, ts, user_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) as rn from events) where rn = 1")
 def _(spark, sf):
     rows = src.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
@@ -149,6 +165,15 @@ def _(spark, sf):
     return spark.read.parquet(path).drop("event_id", "timestamp", "failed_date")
 
 
+@query("k3c_upsert_quarantine_again", over("select line_no, file_path, raw_event, reason, detected_format, parser_attempted, timestamp '2024-03-02 00:00:00' as timestamp from bad"))
+def _(spark, sf):
+    path = scratch_path(spark, "quarantine")
+    q = src.quarantine(spark, sf)
+    for at in ("2024-03-01 00:00:00", "2024-03-02 00:00:00"):
+        writers.upsert_quarantine(q.withColumn("timestamp", F.lit(at).cast("timestamp")), path)
+    return spark.read.parquet(path).drop("event_id", "failed_date")
+
+
 @query("k4_record_batch", over("select count(*) as total_events, count(*) filter (outcome = 'event') as normalized_count, count(*) filter (outcome = 'failed') as failed_count, count(*) / 2.0 as events_per_second, cast(count(*) as string) as json_total from exp"))
 def _(spark, sf):
     path = scratch_path(spark, "batches")

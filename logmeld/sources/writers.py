@@ -2,19 +2,15 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from logmeld import vocab
 from logmeld.functions.timestamps import iso_text
 from logmeld.operators.normalize import EVENT_COLUMNS
 from logmeld.operators.search import latest_events, latest_failed
 from logmeld.plans.process import events_of, quarantine_reason
-from logmeld.session import written
+from logmeld.sources import key_index
 from logmeld.sources.tables import flatten_events
 
-# Dates of one upsert that may be broadcast: a few bytes each.
-UPSERT_DATES = 100_000
-
 
 def write_outcomes(processed: DataFrame, path: str, mode: str = "append") -> None:
     """Processed lines -> one table partitioned by outcome, in a single pass."""
@@ -56,25 +52,14 @@ def latest_by_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
 def upsert(new: DataFrame, path: str, key: str, order_col: str, date_col: str | None = None) -> None:
     """Merge rows into a table by key: of equal keys the newest stays, so that a run repeated leaves no second copy.
 
-    Only the dates that ``new`` touches are read and rewritten, where the table is partitioned by ``date_col``; a key must keep
-    its date. The merged rows are stored before they replace what they were made from.
+    Where the table is partitioned by ``date_col``, a key is found in whatever date it lies (``key_index``), and only the dates that hold
+    one of the keys or get one are read and rewritten. Other tables are small; they are written anew beside and swapped.
     """
-    spark = new.sparkSession
-    try:
-        old = spark.read.schema(new.schema).parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        old = None
-    if old is not None and date_col:
-        dates = new.select(date_col).distinct()
-        old = old.join(F.broadcast(dates) if dates.count() <= UPSERT_DATES else dates, date_col, "left_semi")
-    rows = new if old is None else old.select(*new.columns).unionByName(new)
-    merged = written(latest_by_key(rows, key, order_col), "upsert")
-    writer = merged.write.mode("overwrite")
+    latest = lambda rows: latest_by_key(rows, key, order_col).select(*new.columns)
     if date_col:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(date_col)
-    writer.parquet(path)
+        key_index.upsert_dated(new, path, key, date_col, latest)
+    else:
+        key_index.upsert_whole(new, path, latest)
 
 
 def upsert_events(e: DataFrame, path: str, created_at=None) -> None:
