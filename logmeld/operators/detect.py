@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmeld import vocab
+from logmeld.functions.memo import remembered
 from logmeld.functions.text import SPACE, occurrences, text_class
 
 # The shapes the detectors and parsers share.
@@ -184,6 +185,14 @@ def detect_format(
     ``document`` holds the parsed members of JSON lines and ``shape`` the rung that held (null for
     forced lines), so that extraction need not test a line again.
     """
+    for step in _detection(forced_parser, col):
+        df = df.withColumns(step)
+    return df.drop("_first", "_keys", "_rung", "_forced")
+
+
+@remembered
+def _detection(forced_parser: str | Column | None, col: str) -> list[dict[str, Column]]:
+    """The columns of ``detect_format``, in the order in which they read each other."""
     line = F.col(col)
     forced = F.lit(None).cast("string") if forced_parser is None else (
         F.lit(forced_parser) if isinstance(forced_parser, str) else forced_parser
@@ -196,12 +205,12 @@ def detect_format(
         .when(is_rfc5424(line), 5)
         .otherwise(0)
     )
-    staged = df.withColumn("_first", first)
+    steps = [{"_first": first}]
     wants_document = F.col("_first") == 3
     if forced_parser is not None:
-        staged = staged.withColumn("_forced", forced)
+        steps[0]["_forced"] = forced
         wants_document = wants_document | (F.col("_forced") == vocab.PARSER_OF["JSON"])
-    staged = staged.withColumns({
+    steps.append({
         "document": F.when(wants_document, json_document(line)),
         "_keys": F.when(F.col("_first").isin(0, 3), pair_keys(line)),
     })
@@ -219,7 +228,7 @@ def detect_format(
         .when(is_delimited(line), F.when(is_data_like(line), 11).otherwise(12))
         .otherwise(0)
     )
-    rated = staged.withColumn("_rung", rung)
+    steps.append({"_rung": rung})
     fmt = _by_rung([f for f, _ in _RUNGS], "string")
     parser = _by_rung([f and vocab.PARSER_OF[f] for f, _ in _RUNGS], "string")
     conf = _by_rung([c for _, c in _RUNGS], "double")
@@ -231,11 +240,7 @@ def detect_format(
     shape = F.col("_rung")
     if forced_parser is not None:
         shape = F.when(F.col("_forced").isNull(), shape)
-    return rated.withColumns(
-        {"format": fmt, "parser": parser, "confidence": conf, "shape": shape}
-    ).drop(
-        "_first", "_keys", "_rung", "_forced"
-    )
+    return [*steps, {"format": fmt, "parser": parser, "confidence": conf, "shape": shape}]
 
 
 def undetected_reason(line: Column, fmt: Column, parser: Column, confidence: Column,

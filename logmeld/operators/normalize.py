@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logmeld import vocab
 from logmeld.functions.entries import entry, last_wins
+from logmeld.functions.memo import remembered
 from logmeld.functions.network import IP_PATTERN, is_ip
 from logmeld.functions.text import WHITESPACE, has_any, let, non_blank, strip
 from logmeld.functions.timestamps import parse_timestamp
@@ -225,8 +226,8 @@ def _with_default(given: Column, key: str, default: str) -> Column:
     )
 
 
-def _identity(df: DataFrame, aliases: dict[str, list[str]]) -> dict[str, Column]:
-    rule = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+def _identity(columns, aliases: dict[str, list[str]]) -> dict[str, Column]:
+    rule = lambda c: F.col(c) if c in columns else F.lit(None).cast("string")
     return {
         "_vendor": _with_default(rule("vendor"), "vendor", "Generic"),
         "_device": _with_default(rule("device_type"), "device_type", "network_device"),
@@ -250,7 +251,7 @@ def _process_parts(aliases: dict[str, list[str]]) -> tuple[Column, Column]:
 
 def source_identity(df: DataFrame) -> DataFrame:
     """F -> F + source (vendor, device_type, hostname, ip)."""
-    staged = df.withColumns(_identity(df, vocab.ALIASES))
+    staged = df.withColumns(_identity(df.columns, vocab.ALIASES))
     return staged.withColumn("source", _source_struct()).drop(
         "_vendor", "_device", "_hostname", "_device_ip"
     )
@@ -387,12 +388,23 @@ def normalize(
 
     ``universal``: fields may carry the universal names themselves, as after ``map_fields``.
     """
-    a = universal_aliases(_merged(extra_aliases)) if universal else _merged(extra_aliases)
+    extra = tuple((k, tuple(v)) for k, v in (extra_aliases or {}).items())
+    rules = frozenset(df.columns) & {"vendor", "device_type"}
+    for step in _steps(ingest_ts, ref_year, extra, cef_severity_scale, universal, rules):
+        df = df.withColumns(step)
+    return df.drop(*[n for n in df.columns if n.startswith("_")])
+
+
+@remembered
+def _steps(ingest_ts, ref_year, extra: tuple, cef_severity_scale: bool, universal: bool, rules: frozenset) -> list[dict[str, Column]]:
+    """The columns of ``normalize``, in the order in which they read each other."""
+    aliases = _merged({k: list(v) for k, v in extra})
+    a = universal_aliases(aliases) if universal else aliases
     ingest = _ingest(ingest_ts)
     user, source_user, destination_user = _user_parts(a)
     process, pid = _process_parts(a)
-    picked = df.withColumns({
-        **_identity(df, a),
+    picked = {
+        **_identity(rules, a),
         "_src_ip": ip_value(a["source_ip"]),
         "_dst_ip": ip_value(a["destination_ip"]),
         "_src_port": port_value(a["source_port"]),
@@ -415,23 +427,23 @@ def normalize(
         "_raw_category": _filled(a["category"]),
         "_message": _filled(a["message"]),
         "_threat_text": F.lower(_filled(a["threat_text"])),
-    })
+    }
     c = F.col
     cef_rows = (c("format") == "CEF") if cef_severity_scale else None
-    labelled = picked.withColumns({
+    labelled = {
         "_protocol": protocol_label(c("_protocol")),
         "_action": action_label(c("_action")),
         "_severity": severity_label(c("_severity"), cef_rows),
         "_read": parse_timestamp(c("_time"), _year(ref_year, ingest)),
         **threat.text_and_address_findings(c("_threat_text"), c("_src_ip"), c("_dst_ip")),
-    }).withColumns({
+    }
+    judged = {
         "_category": category_label(c("_raw_category"), c("_action"), c("_message")),
         "_port_kind": threat.port_type(c("_dst_port"), c("_action")),
-    })
-    scored = labelled.withColumn("threat_intel", threat.intel_of_findings(
-        c("_action"), c("_severity"), c("_dst_port"), c("_sent")))
+    }
+    scored = {"threat_intel": threat.intel_of_findings(c("_action"), c("_severity"), c("_dst_port"), c("_sent"))}
     intel = c("threat_intel")
-    record = scored.withColumns({
+    record = {
         "event_id": id_value("evt_", c("file_path"), c("line_no"), c("line")),
         "timestamp": F.coalesce(c("_read"), ingest),
         "timestamp_source": F.when(c("_read").isNotNull(), "event").otherwise("ingest"),
@@ -454,5 +466,5 @@ def normalize(
             ingest,
         ),
         "raw_event": c("line"),
-    })
-    return record.drop(*[n for n in record.columns if n.startswith("_")])
+    }
+    return [picked, labelled, judged, scored, record]

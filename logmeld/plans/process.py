@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmeld import vocab
+from logmeld.functions.memo import remembered
 from logmeld.functions.text import strip
 from logmeld.operators import cef, delimited, json_object, key_value, leef, syslog
 from logmeld.operators.detect import detect_format, undetected_reason
@@ -46,15 +47,20 @@ def prepared(df: DataFrame) -> DataFrame:
     )
 
 
-def with_parts(df: DataFrame) -> DataFrame:
-    """Detected L -> + parts (header parts or cells of the row's own format) and lower."""
+@remembered
+def _parts() -> dict[str, Column]:
     line, fmt = F.col("line"), F.col("format")
-    return df.withColumns({
+    return {
         "parts": F.when(fmt == "CEF", cef.header_parts(line))
         .when(fmt == "LEEF", leef.header_parts(line))
         .when(fmt == "CSV", delimited.cells(line, delimited.delimiter(line))),
         "lower": F.when(~fmt.isin("CEF", "LEEF"), F.lower(line)),
-    })
+    }
+
+
+def with_parts(df: DataFrame) -> DataFrame:
+    """Detected L -> + parts (header parts or cells of the row's own format) and lower."""
+    return df.withColumns(_parts())
 
 
 def _maybe_header(lower: Column) -> Column:
@@ -96,16 +102,13 @@ def attach_headers(
     return carried.unionByName(rest.withColumn("header", F.lit(None).cast("array<string>")))
 
 
-def extract_fields(df: DataFrame, nested: bool = False) -> DataFrame:
-    """Detected L with parts -> F: fields, vendor, device_type, error, is_header.
-
-    ``nested``: members of nested JSON objects come along under dotted names.
-    """
+@remembered
+def _extraction(nested: bool, has_header: bool) -> tuple[dict[str, Column], dict[str, Column]]:
     line, lower, fmt = F.col("line"), F.col("lower"), F.col("format")
     parts, doc = F.col("parts"), F.col("document")
-    header = F.col("header") if "header" in df.columns else F.lit(None).cast("array<string>")
+    header = F.col("header") if has_header else F.lit(None).cast("array<string>")
     asa = key_value.is_asa(line)
-    staged = df.withColumns({
+    fields = {
         "fields": F.when(fmt == "CEF", cef.fields(line, parts))
         .when(fmt == "LEEF", leef.fields(parts))
         .when(fmt == "JSON", json_object.fields(doc, line if nested else None))
@@ -116,8 +119,8 @@ def extract_fields(df: DataFrame, nested: bool = False) -> DataFrame:
         .when(fmt == "KEY_VALUE", key_value.vendor(lower, asa))
         .when(fmt == "SYSLOG", syslog.vendor(line, lower))
         .when(fmt == "CSV", delimited.vendor(parts, lower)),
-    })
-    return staged.withColumns({
+    }
+    return fields, {
         "device_type": F.when(fmt == "CEF", cef.device_type(F.get(parts, F.lit(2)), F.get(parts, F.lit(5))))
         .when(fmt == "LEEF", leef.device_type(F.get(parts, F.lit(2))))
         .when(fmt == "JSON", json_object.device_type(doc, lower))
@@ -128,7 +131,17 @@ def extract_fields(df: DataFrame, nested: bool = False) -> DataFrame:
         .when(fmt == "LEEF", leef.error(line, parts))
         .when(fmt == "JSON", json_object.error(doc)),
         "is_header": F.coalesce((fmt == "CSV") & delimited.is_header(parts), F.lit(False)),
-    })
+    }
+
+
+def extract_fields(df: DataFrame, nested: bool = False) -> DataFrame:
+    """Detected L with parts -> F: fields, vendor, device_type, error, is_header.
+
+    ``nested``: members of nested JSON objects come along under dotted names.
+    """
+    for step in _extraction(nested, "header" in df.columns):
+        df = df.withColumns(step)
+    return df
 
 
 def process(
