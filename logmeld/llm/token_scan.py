@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from logmeld.llm.packed_ids import slices
 from logmeld.session import scratch_path, written
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -38,6 +39,8 @@ BLOCK = 1 << 15
 SPAN = 256
 #: Blocks that are read one after the other, and of these so many at once.
 RUN, HELD = 128, 16
+#: Bytes of texts that are encoded at once, or one text.
+SLICE = 1_000_000
 _IDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
@@ -49,6 +52,16 @@ def tokenizer(ranks: str = RANKS):
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def _encoded(texts: pa.Array, encode, end: int) -> Iterator[np.ndarray]:
+    """Ids of the texts with their ends, by SLICE bytes of text: a list of Python's numbers takes many times the room of what it holds."""
+    for a, b in slices(texts, SLICE):
+        ids: list[int] = []
+        for t in texts.slice(a, b - a).to_pylist():
+            ids.extend(encode(t) if t else ())
+            ids.append(end)
+        yield np.array(ids, "<u2")
+
+
 def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", ranks: str = RANKS, end: int = END, block: int = BLOCK) -> None:
     """Writes a token file for each partition of ``docs``: rows (file, block, ids as little-endian uint16) and (file, first, doc_ids)."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -61,11 +74,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
             if not batch.num_rows:
                 continue
             file = batch.column("file")[0].as_py()
-            ids = []
-            for t in batch.column("text").to_pylist():
-                ids.extend(encode(t) if t else ())
-                ids.append(end)
-            left = np.concatenate([left, np.array(ids, "<u2")])
+            left = np.concatenate([left, *_encoded(batch.column("text"), encode, end)])
             cut = len(left) // block
             rows = [(file, number + k, left[k * block : (k + 1) * block].tobytes()) for k in range(cut)]
             left, number = left[cut * block :], number + cut
@@ -129,11 +138,8 @@ def write_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 store.create_dir(root, recursive=True)
                 name = f"{file:06d}-{uuid.uuid4().hex}.bin"
                 out = store.open_output_stream(f"{root}/{name}")
-            ids = []
-            for t in batch.column("text").to_pylist():
-                ids.extend(encode(t) if t else ())
-                ids.append(end)
-            length += out.write(np.array(ids, "<u2").tobytes())
+            for ids in _encoded(batch.column("text"), encode, end):
+                length += out.write(ids.tobytes())
             yield row(file=file, first=first, doc_ids=batch.column("id").to_pylist())
             first += batch.num_rows
         if out is not None:
@@ -184,8 +190,8 @@ def _ends(end: int, dtype: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, places = [], []
-            for ids in batch.column("ids").to_pylist():
-                ids = np.frombuffer(ids, dtype)
+            for k in range(batch.num_rows):
+                ids = np.frombuffer(batch.column("ids")[k].as_buffer(), dtype)
                 size.append(len(ids))
                 places.append(np.flatnonzero(ids == end).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
