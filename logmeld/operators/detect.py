@@ -5,12 +5,15 @@ confidence, in registry order. A ``CASE`` stops at the first rung that holds, so
 shield the expensive ones and no line pays for a comparison of all six detectors.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmeld import vocab
 from logmeld.functions.memo import remembered
 from logmeld.functions.text import SPACE, occurrences, text_class
+from logmeld.operators.registry import Parser, checked, detection_steps
 
 # The shapes the detectors and parsers share.
 KEY = r"(?<![a-zA-Z0-9_.\-])[a-zA-Z0-9_.\-]+"
@@ -176,7 +179,7 @@ def _forced_format(parser: Column) -> Column:
 
 
 def detect_format(
-    df: DataFrame, forced_parser: str | Column | None = None, col: str = "line"
+    df: DataFrame, forced_parser: str | Column | None = None, col: str = "line", parsers: Sequence[Parser] = ()
 ) -> DataFrame:
     """L -> L + (format, parser, confidence, shape, document).
 
@@ -185,9 +188,9 @@ def detect_format(
     ``document`` holds the parsed members of JSON lines and ``shape`` the rung that held (null for
     forced lines), so that extraction need not test a line again.
     """
-    for step in _detection(forced_parser, col):
+    for step in [*_detection(forced_parser, col), *detection_steps(checked(parsers), F.col(col))]:
         df = df.withColumns(step)
-    return df.drop("_first", "_keys", "_rung", "_forced")
+    return df.drop("_first", "_keys", "_rung", "_forced", "_own")
 
 
 @remembered
@@ -267,10 +270,12 @@ def reject_undetected(
     return df.withColumn("reason", reason)
 
 
-def parser_catalog(spark: SparkSession) -> DataFrame:
-    """The registry as a table (parser, format, vendor, device_type)."""
+def parser_catalog(spark: SparkSession, parsers: Sequence[Parser] = ()) -> DataFrame:
+    """The registry as a table (parser, format, vendor, device_type); labels that are expressions are null."""
+    named = lambda value: value if isinstance(value, str) else None
+    own = [(p.name, p.format, named(p.vendor), named(p.device_type)) for p in checked(parsers)]
     return spark.createDataFrame(
-        vocab.PARSERS, "parser string, format string, vendor string, device_type string"
+        [*vocab.PARSERS, *own], "parser string, format string, vendor string, device_type string"
     )
 
 

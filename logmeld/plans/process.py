@@ -11,6 +11,7 @@ To split events from quarantine in one pass over the lines use ``sources.writers
 """
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from logmeld.functions.text import strip
 from logmeld.operators import cef, delimited, json_object, key_value, leef, syslog
 from logmeld.operators.detect import detect_format, undetected_reason
 from logmeld.operators.normalize import EVENT_COLUMNS, _ingest, id_value, map_fields, normalize
+from logmeld.operators.registry import Parser, checked, extraction_steps
 from logmeld.operators.validate import EVENT, validate
 from logmeld.session import tune, written
 
@@ -69,18 +71,18 @@ def _maybe_header(lower: Column) -> Column:
     return lower.rlike(f"(?s)(?:{words}).*?(?:{words})")
 
 
-def header_candidates(lines: DataFrame, forced_parser) -> DataFrame:
+def header_candidates(lines: DataFrame, forced_parser, parsers: Sequence[Parser] = ()) -> DataFrame:
     """The rows that may be header rows of delimited files, with their cells."""
     line = F.col("line")
     likely = lines.filter(_maybe_header(F.lower(line)))
     if forced_parser is None:
         likely = likely.filter(~line.rlike(r"^(?:<|\{|CEF:|LEEF:)"))
-    parted = with_parts(detect_format(likely, forced_parser))
+    parted = with_parts(detect_format(likely, forced_parser, parsers=parsers))
     return parted.withColumn("parts", F.when(F.col("format") == "CSV", F.col("parts")))
 
 
 def attach_headers(
-    df: DataFrame, lines: DataFrame, forced_parser, headers: list[str] | str | None
+    df: DataFrame, lines: DataFrame, forced_parser, headers: list[str] | str | None, parsers: Sequence[Parser] = ()
 ) -> DataFrame:
     """Add the ``header`` that applies to each delimited row.
 
@@ -92,7 +94,7 @@ def attach_headers(
     if headers != "auto":
         return delimited.with_headers(df, headers)
     found = written(
-        delimited.header_rows(header_candidates(lines, forced_parser), "parts"), "headers"
+        delimited.header_rows(header_candidates(lines, forced_parser, parsers), "parts"), "headers"
     )
     if delimited.few_enough(found):
         return delimited.with_headers_broadcast(df, found)
@@ -134,12 +136,12 @@ def _extraction(nested: bool, has_header: bool) -> tuple[dict[str, Column], dict
     }
 
 
-def extract_fields(df: DataFrame, nested: bool = False) -> DataFrame:
+def extract_fields(df: DataFrame, nested: bool = False, parsers: Sequence[Parser] = ()) -> DataFrame:
     """Detected L with parts -> F: fields, vendor, device_type, error, is_header.
 
     ``nested``: members of nested JSON objects come along under dotted names.
     """
-    for step in _extraction(nested, "header" in df.columns):
+    for step in [*_extraction(nested, "header" in df.columns), *extraction_steps(checked(parsers))]:
         df = df.withColumns(step)
     return df
 
@@ -155,19 +157,20 @@ def process(
     mapping: DataFrame | None = None,
     nested: bool | None = None,
     labels: dict[str, str] | None = None,
+    parsers: Sequence[Parser] = (),
 ) -> DataFrame:
     """L -> one row per non-blank line: event columns, ``outcome``, ``reason`` and origin.
 
     ``nested``: members of nested JSON objects can be named, with dots; by default where an extra alias has a dot. ``labels``:
-    the vendor and device_type of all lines, whatever the lines say. ``outcome`` is ``event``, ``failed`` or ``skipped`` (header rows). Applies ``session.tune``.
+    the vendor and device_type of all lines, whatever the lines say. ``parsers``: a caller's own (``operators.registry``). ``outcome`` is ``event``, ``failed`` or ``skipped`` (header rows). Applies ``session.tune``.
     """
     tune(lines.sparkSession)
     clean = prepared(lines)
-    detected = with_parts(detect_format(clean, forced_parser))
-    headed = attach_headers(detected, clean, forced_parser, headers)
+    detected = with_parts(detect_format(clean, forced_parser, parsers=parsers))
+    headed = attach_headers(detected, clean, forced_parser, headers, parsers)
     if nested is None:
         nested = any("." in name for names in (extra_aliases or {}).values() for name in names)
-    extracted = extract_fields(headed, nested)
+    extracted = extract_fields(headed, nested, parsers)
     if mapping is not None:
         extracted = map_fields(extracted, mapping)
     for name, value in (labels or {}).items():

@@ -8,6 +8,7 @@ from logmeld.operators import analytics as an
 from logmeld.operators import (
     cef, delimited, detect, json_object, key_value, leef, normalize, search, syslog, threat, validate,
 )
+from logmeld.operators.registry import Parser
 from logmeld.plans import fixture_lines as fx
 from logmeld.plans import inputs as src
 from logmeld.plans import process as pr
@@ -317,6 +318,36 @@ def _(spark, sf):
     return profile.withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
+def _own_parsers() -> list[Parser]:
+    """Three parsers of our own: notes of a console, one that claims all lines too late, and one that ties with delimited lines."""
+    words = lambda line: F.create_map(F.lit("message"), line, F.lit("event_type"), F.lit("note"), F.lit("pid"), F.regexp_extract(line, r"(\d+)$", 1))
+    return [
+        Parser("console-note-v1", "CONSOLE", lambda line: F.when(line.startswith("console note"), 0.5), words, "Console", "server"),
+        Parser("anything-v1", "ANY", lambda line: F.lit(0.5), words),
+        Parser("tie-v1", "TIE", lambda line: F.when(line.contains("PulseSecure"), 0.85), words),
+    ]
+
+
+@query("d12_own_parsers", over(f"""select line_no, case when is_bad = 1 and tpl % 2 = 1 then 'CONSOLE' else format end as format,
+ case when is_bad = 1 and tpl % 2 = 1 then 'console-note-v1' else parser end as parser,
+ case when is_bad = 1 and tpl % 2 = 1 then 0.5 else confidence end as confidence from ({_DETECTED})"""))
+def _(spark, sf):
+    return detect.detect_format(src.rendered(spark, sf), parsers=_own_parsers()).select(
+        c("event_id").alias("line_no"), "format", "parser", "confidence")
+
+
+@query("r4b_process_own_parsers", over("""select line_no, outcome_ as outcome, case when is_note then 'CONSOLE' else format_ end as detected_format,
+ case when is_note then 'Console' else vendor_ end as vendor, case when is_note then 'note' end as note_type, case when is_note then cast(line_no as string) end as note_pid
+ from (select *, is_bad = 1 and tpl % 2 = 1 as is_note, case when is_bad = 1 and tpl % 2 = 0 then 'failed' else 'event' end as outcome_,
+  case when is_bad = 1 then 'CEF' else format end as format_, case when is_bad = 1 then null else vendor end as vendor_ from exp)"""))
+def _(spark, sf):
+    done = pr.process(src.rendered(spark, sf).select("line", "file_path", "line_no"), ingest_ts=fx.INGEST_TS, ref_year=fx.REF_YEAR, headers=None, parsers=_own_parsers())
+    note = c("detected_format") == "CONSOLE"
+    return done.select(
+        "line_no", "outcome", "detected_format", F.when(c("outcome") == "event", c("source.vendor")).alias("vendor"),
+        F.when(note, c("event.type")).alias("note_type"), F.when(note, c("process.pid")).alias("note_pid"))
+
+
 # ---- extraction -------------------------------------------------------------------------
 
 def _of(spark, sf, fmt: str) -> DataFrame:

@@ -244,3 +244,31 @@ def test_no_line_ends_the_job(spark):
     for parser in [None, *[p[0] for p in vocab.PARSERS]]:
         done = process(lines, forced_parser=parser, ingest_ts="2026-06-01 00:00:00", ref_year=2026)
         assert done.select("outcome", "reason", "network", "event", "user", "process").toArrow().num_rows == len(cut) - blank
+
+
+def test_own_parsers_take_lines_by_confidence_and_order(spark):
+    from pyspark.sql import functions as F
+    from logmeld.operators.detect import parser_catalog
+    from logmeld.operators.registry import Parser
+
+    pairs = lambda line: F.when(line.contains("from"), F.create_map(F.lit("src_ip"), F.regexp_extract(line, r"from (\S+)", 1)))
+    own = [
+        Parser("door-v1", "DOOR", lambda line: F.when(line.startswith("DOOR"), 0.9), pairs, "Doors", lambda line: F.lower(F.substring(line, 1, 4)),
+               lambda line: F.when(line.contains("broken"), "ValueError: broken door")),
+        Parser("door-v2", "DOOR2", lambda line: F.when(line.startswith("DOOR"), 0.9), pairs, "Later"),
+        Parser("sure-v1", "SURE", lambda line: F.when(line.contains("CEF:0|"), 1.0), pairs),
+        Parser("window-v1", "WINDOW", lambda line: F.when(line.contains("a=1 b=2 c=3"), 0.86), lambda line: F.create_map(F.lit("msg"), line)),
+    ]
+    given = ["DOOR open from 10.0.0.1", "DOOR broken from 10.0.0.2", "DOOR without fields", "a=1 b=2 c=3", LINES["cef"], "plain"]
+    lines = spark.createDataFrame([(t, "f", i) for i, t in enumerate(given)], "line string, file_path string, line_no long")
+    done = process(lines, ingest_ts="2026-06-01 00:00:00", headers=None, parsers=own)
+    got = {r.line_no: r for r in done.collect()}
+    assert (got[0].outcome, got[0].detected_format, got[0].network.source_ip, got[0].source.vendor, got[0].source.device_type) == ("event", "DOOR", "10.0.0.1", "Doors", "door")
+    assert got[1].reason == "Parser 'door-v1' extraction error: ValueError: broken door"
+    assert got[2].reason == "Parser 'door-v1' extraction error: ValueError: no fields"
+    assert [got[i].detected_format for i in (3, 4, 5)] == ["WINDOW", "CEF", "unknown"]
+    forced = process(lines.limit(1), forced_parser="door-v2", ingest_ts="2026-06-01 00:00:00", headers=None, parsers=own).first()
+    assert (forced.detected_format, forced.metadata.confidence, forced.source.vendor) == ("DOOR2", 1.0, "Later")
+    assert parser_catalog(spark, own).filter("parser like 'door%'").count() == 2
+    with pytest.raises(ValueError):
+        process(lines, parsers=[*own, Parser("json-universal-v1", "X", pairs, pairs)])
