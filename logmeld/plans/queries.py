@@ -985,6 +985,23 @@ query("f1_search", over(f"{_T} where threat_type = 'BruteForce' or (tpl in (0, 1
 query("f2_by_ip", over(f"{_T} where destination_ip = '198.51.100.27' or destination_ip = '192.168.1.2'"))(
     lambda spark, sf: search.by_ip(src.flat(spark, sf), destination_ip=" 198.51.100.27 ").unionByName(
         search.by_ip(src.flat(spark, sf), destination_ip="192.168.1.2")).select(*T_COLUMNS))
+
+
+def _lookup(spark, sf) -> DataFrame:
+    """T, laid out for look-ups."""
+    def make():
+        path = scratch_path(spark, "lookup")
+        writers.write_lookup(src.events(spark, sf), path)
+        return path
+
+    return tables.read_events(spark, src.once(spark, sf, "lookup", make))
+
+
+query("f2b_lookup_by_ip", over(f"{_T} where destination_ip = '198.51.100.27' or source_ip = '203.0.113.9'"))(
+    lambda spark, sf: search.by_ip(_lookup(spark, sf), destination_ip="198.51.100.27").unionByName(
+        search.by_ip(_lookup(spark, sf), source_ip="203.0.113.9").filter("destination_ip is null or destination_ip <> '198.51.100.27'")).select(*T_COLUMNS))
+query("f5b_lookup_by_id", over(f"{_T} where line_no in (42, 43)"))(
+    lambda spark, sf: search.event_by_id(_lookup(spark, sf), "evt_42").unionByName(search.event_by_id(_lookup(spark, sf), "evt_43")).select(*T_COLUMNS))
 query("f3_by_label", over(f"{_T} where protocol = 'UDP' and action = 'deny' and vendor = 'Acme'"))(
     _t(lambda t: search.by_label(t, protocol="udp", action=" DENY ", vendor="ACME")))
 query("f4_filter_events", over(f"{_T} where severity = 'informational' and device_type = 'ids' and action = 'alert'"))(

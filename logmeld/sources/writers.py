@@ -37,6 +37,26 @@ def write_events(
     flat.write.mode(mode).partitionBy("event_date").parquet(path)
 
 
+LOOKUP_COLUMNS = ("event_id", "source_ip", "destination_ip")
+# A row group holds this many rows of some hundred bytes; bloom filters are sized for as many values.
+LOOKUP_ROWS = 500_000
+
+
+def write_lookup(e: DataFrame, path: str, mode: str = "append", created_at=None, rows: int = LOOKUP_ROWS, group_bytes: int = 128 << 20) -> None:
+    """E -> flat parquet by event date, laid out for look-ups of single values.
+
+    Rows of a date are dealt and sorted by source address, so that an address lies in few row groups and their least and greatest values tell which. Ids and
+    addresses have bloom filters besides: a row group without the value looked for is not read. ``rows`` is the number of values a filter is sized for; more
+    only make it less selective. Busy addresses are spread: the deal is by ranges of address and id.
+    """
+    flat = flatten_events(e, created_at).withColumn("event_date", F.to_date("timestamp"))
+    order = ["event_date", "source_ip", "event_id"]
+    writer = flat.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option("parquet.block.size", group_bytes)
+    for name in LOOKUP_COLUMNS:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true").option(f"parquet.bloom.filter.expected.ndv#{name}", rows)
+    writer.partitionBy("event_date").parquet(path)
+
+
 def latest_by_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """The newest row per key: what an upsert leaves behind.
 
