@@ -180,7 +180,7 @@ def dashboard(t: DataFrame, q: DataFrame, batches: DataFrame | None = None, rece
 # ---- batch summaries --------------------------------------------------------------------
 
 def batch_breakdowns(e: DataFrame) -> DataFrame:
-    """One row of three maps: events by device type, by format and by action.
+    """One row of three maps: events by device type, by format and by action. For a batch whose labels fit one row; see ``breakdown_rows``.
 
     The label combinations are counted in one pass; the maps are built from those counts.
     """
@@ -191,12 +191,25 @@ def batch_breakdowns(e: DataFrame) -> DataFrame:
     })
 
 
-def _label_maps(e: DataFrame, keys: dict[str, Column]) -> DataFrame:
+def breakdown_rows(e: DataFrame) -> DataFrame:
+    """(name, key, n): the same counts as rows, for any number of labels."""
+    return _label_counts(e, {
+        "sources_breakdown": F.coalesce("source.device_type", F.lit("unknown")),
+        "formats_breakdown": F.coalesce("metadata.source_format", F.lit("unknown")),
+        "actions_breakdown": F.coalesce("event.action", F.lit("unknown")),
+    })
+
+
+def _label_counts(e: DataFrame, keys: dict[str, Column]) -> DataFrame:
     counted = e.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(F.count("*").alias("n"))
     pairs = F.array(*[
         F.struct(F.lit(n).alias("name"), F.col(n).alias("key"), F.col("n")) for n in keys
     ])
-    long = counted.select(F.inline(pairs)).groupBy("name", "key").agg(F.sum("n").alias("n"))
+    return counted.select(F.inline(pairs)).groupBy("name", "key").agg(F.sum("n").alias("n"))
+
+
+def _label_maps(e: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    long = _label_counts(e, keys)
     maps = [
         F.map_from_entries(F.array_sort(F.collect_list(
             F.when(F.col("name") == n, F.struct("key", "n"))

@@ -320,17 +320,20 @@ def with_event_id(df: DataFrame, out: str = "event_id") -> DataFrame:
 
 # ---- field mappings as data -------------------------------------------------------------
 
-def map_fields(df: DataFrame, mapping: DataFrame) -> DataFrame:
+def map_fields(df: DataFrame, mapping: DataFrame | Column) -> DataFrame:
     """F -> F with vendor field names translated to universal ones.
 
     ``mapping``: (vendor_field, universal_field, priority). It is a configuration table and becomes a single map, looked up per
-    row without a join. Names are compared without regard to case; one vendor field may go to several universal ones. Of several
+    row without a join; rows that bring mappings of their own have them as a column (lower-case name -> targets; null: none). Names are compared without regard to case; one vendor field may go to several universal ones. Of several
     vendor fields for one universal field the first non-blank by priority wins; names without a mapping stay. Other
     fields never lose to a translated one of the same name.
     """
-    targets = mapping.groupBy(F.lower("vendor_field").alias("vendor_field")).agg(
-        F.collect_set(F.struct("priority", "universal_field")).alias("targets"))
-    table = targets.agg(F.map_from_entries(F.collect_list(F.struct("vendor_field", "targets"))).alias("m")).scalar()
+    if isinstance(mapping, Column):
+        table = mapping
+    else:
+        targets = mapping.groupBy(F.lower("vendor_field").alias("vendor_field")).agg(
+            F.collect_set(F.struct("priority", "universal_field")).alias("targets"))
+        table = targets.agg(F.map_from_entries(F.collect_list(F.struct("vendor_field", "targets"))).alias("m")).scalar()
 
     def translate(m):
         named = F.flatten(F.transform(

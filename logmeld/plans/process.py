@@ -154,9 +154,9 @@ def process(
     headers: list[str] | str | None = "auto",
     extra_aliases: dict[str, list[str]] | None = None,
     cef_severity_scale: bool = False,
-    mapping: DataFrame | None = None,
+    mapping: DataFrame | Column | None = None,
     nested: bool | None = None,
-    labels: dict[str, str] | None = None,
+    labels: dict[str, str | Column] | None = None,
     parsers: Sequence[Parser] = (),
 ) -> DataFrame:
     """L -> one row per non-blank line: event columns, ``outcome``, ``reason`` and origin.
@@ -174,7 +174,8 @@ def process(
     if mapping is not None:
         extracted = map_fields(extracted, mapping)
     for name, value in (labels or {}).items():
-        extracted = extracted.withColumn(name, F.lit(value))
+        given = value if isinstance(value, Column) else F.lit(value)
+        extracted = extracted.withColumn(name, F.coalesce(given, F.col(name)))
     events = normalize(extracted, ingest_ts, ref_year, extra_aliases, cef_severity_scale, universal=mapping is not None)
     return _with_outcome(validate(events, EVENT, "invalid"), _ingest(ingest_ts))
 
@@ -208,24 +209,18 @@ def _with_outcome(df: DataFrame, ingest: Column) -> DataFrame:
     )
 
 
-ONBOARDED_SOURCES = 1_000
-
-
 def onboard_source(
     lines: DataFrame, config: DataFrame, ingest_ts=None, ref_year: int | None = None, source: str | None = None
 ) -> DataFrame:
     """Lines of a new source -> processed rows, by configuration alone.
 
-    ``config``: (name, vendor, device_type, parser, field_mapping), one row per source; ``source``
-    names the row where there are several. The table is small, and checked to be.
+    ``config``: (name, vendor, device_type, parser, field_mapping), one row per source, any number of them; ``source``
+    names the row where there are several.
     """
-    rows = config.limit(ONBOARDED_SOURCES + 1).collect()
-    if len(rows) > ONBOARDED_SOURCES:
-        raise ValueError(f"more than {ONBOARDED_SOURCES} configured sources")
-    chosen = [r for r in rows if source in (None, r["name"])]
-    if len(chosen) != 1:
+    rows = (config if source is None else config.filter(F.col("name") == source)).limit(2).collect()
+    if len(rows) != 1:
         raise ValueError("name one configured source")
-    row = chosen[0]
+    row = rows[0]
     names = row["field_mapping"] or {}
     mapping = lines.sparkSession.createDataFrame(
         [(k, v, i) for i, (k, v) in enumerate(names.items())],
@@ -237,6 +232,30 @@ def onboard_source(
         nested=any("." in name for name in names), labels=labels)
 
 
+def onboard_sources(
+    lines: DataFrame, config: DataFrame, source_col: str, ingest_ts=None, ref_year: int | None = None
+) -> DataFrame:
+    """Lines of any number of configured sources -> processed rows, in one pass; ``source_col`` names each line's source.
+
+    A source's configuration reaches its lines by a join, which Spark broadcasts or shuffles by the size it finds. Lines whose source is not configured
+    are detected as if there were no configuration. Of several rows of one name any one counts.
+    """
+    config = config.dropDuplicates(["name"])
+    entries = config.select("name", F.posexplode("field_mapping").alias("priority", "vendor_field", "universal_field"))
+    targets = entries.groupBy("name", F.lower("vendor_field").alias("vendor_field")).agg(
+        F.collect_set(F.struct("priority", "universal_field")).alias("targets"))
+    maps = targets.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("vendor_field", "targets"))).alias("_mapping"))
+    rows = config.join(maps, "name", "left").select(
+        F.col("name").alias("_source"), F.col("vendor").alias("_label_vendor"), F.col("device_type").alias("_label_device"),
+        F.col("parser").alias("_forced_by"), "_mapping")
+    rows = written(rows, "sources")
+    nested = bool(rows.filter(F.exists(F.map_keys("_mapping"), lambda k: k.contains("."))).limit(1).count())
+    joined = lines.join(rows, F.col(source_col) == F.col("_source"), "left")
+    return process(
+        joined, forced_parser=F.col("_forced_by"), ingest_ts=ingest_ts, ref_year=ref_year, mapping=F.col("_mapping"), nested=nested,
+        labels={"vendor": F.col("_label_vendor"), "device_type": F.col("_label_device")})
+
+
 def quarantine_reason(processed: DataFrame) -> DataFrame:
     """Processed lines -> Q: one row per failed line, with the reason."""
     c = F.col

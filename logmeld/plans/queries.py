@@ -1110,6 +1110,12 @@ def _(spark, sf):
     return _exploded(an.batch_breakdowns(src.events(spark, sf)), "sources_breakdown", "formats_breakdown", "actions_breakdown")
 
 
+@query("a16b_breakdown_rows", over("""select 'sources_breakdown' as name, device_type as key, count(*) as n from ok group by device_type
+ union all select 'formats_breakdown', format, count(*) from ok group by format union all select 'actions_breakdown', action, count(*) from ok group by action"""))
+def _(spark, sf):
+    return an.breakdown_rows(src.events(spark, sf))
+
+
 @query("a17_batch_risk", over("select severity as key, count(*) as count, (select count(*) from ok where threat_detected) as threat_count from ok group by severity"))
 def _(spark, sf):
     return an.batch_risk(src.events(spark, sf)).select("threat_count", F.explode("severity_breakdown").alias("key", "count"))
@@ -1155,6 +1161,22 @@ def _(spark, sf):
                        "network.destination_ip", "network.destination_port", "event.action")
 
 
+@query("x6b_onboard_sources", over_truth("select event_id, 'V' || cast(user_id as string) as vendor, case when user_id % 2 = 0 then 'firewall' else 'vpn' end as device_type, src_ip as source_ip, dst_ip as destination_ip, cast(dst_port as integer) as destination_port, case when event_type in ('click', 'view') then 'allow' when event_type in ('purchase', 'signup') then 'deny' else 'alert' end as action from base"))
+def _(spark, sf):
+    """Every user a source with field names of its own."""
+    truth = src.truth(spark, sf)
+    user = c("user_id").cast("string")
+    config = truth.select("user_id").distinct().select(
+        F.concat(F.lit("s"), user).alias("name"), F.concat(F.lit("V"), user).alias("vendor"),
+        F.when(c("user_id") % 2 == 0, "firewall").otherwise("vpn").alias("device_type"), F.lit("keyvalue-network-v1").alias("parser"),
+        F.create_map(F.concat(F.lit("From"), user), F.lit("src"), F.lit("to_host"), F.lit("dst"), F.concat(F.lit("p"), user), F.lit("dport"), F.lit("verdict"), F.lit("action")).alias("field_mapping"))
+    rows = truth.select(F.concat(F.lit("s"), user).alias("origin"), F.lit("one").alias("file_path"), c("event_id").alias("line_no"), F.expr(
+        "format_string('from%s=%s to_host=%s p%s=%s verdict=%s', user_id, src_ip, dst_ip, user_id, dst_port, action_raw)").alias("line"))
+    done = pr.onboard_sources(rows, config, "origin", fx.INGEST_TS, fx.REF_YEAR)
+    return done.select(c("line_no").alias("event_id"), "source.vendor", "source.device_type", "network.source_ip",
+                       "network.destination_ip", "network.destination_port", "event.action")
+
+
 @query("x7_export_parquet", over("select cast(timestamp as date) as event_date, count(*) as n from ok group by 1"))
 def _(spark, sf):
     path = scratch_path(spark, "parquet")

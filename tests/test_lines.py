@@ -272,3 +272,23 @@ def test_own_parsers_take_lines_by_confidence_and_order(spark):
     assert parser_catalog(spark, own).filter("parser like 'door%'").count() == 2
     with pytest.raises(ValueError):
         process(lines, parsers=[*own, Parser("json-universal-v1", "X", pairs, pairs)])
+
+
+def test_thousands_of_sources_in_one_pass(spark):
+    from logmeld.plans.process import onboard_source, onboard_sources
+
+    schema = "name string, vendor string, device_type string, parser string, field_mapping map<string,string>"
+    config = spark.createDataFrame(
+        [(f"s{i}", f"V{i}", None if i % 2 else "proxy", "keyvalue-network-v1", {f"a{i}": "source_ip", f"A{i}": "destination_ip"} if i else None) for i in range(5000)], schema)
+    given = [(f"a{i}=10.0.{i // 250}.{i % 250} b=2 c=3", f"s{i}", i) for i in (0, 1, 2, 4999)] + [("src=10.0.0.1 dst=10.0.0.2 action=deny", "unknown", 9), ("no source", None, 10)]
+    lines = spark.createDataFrame(given, "line string, origin string, line_no long")
+    got = {r.line_no: r for r in onboard_sources(lines, config, "origin", "2026-06-01 00:00:00").collect()}
+    assert len(got) == 6 and got[10].outcome == "failed"
+    assert (got[0].source.vendor, got[0].source.device_type, got[0].network.source_ip) == ("V0", "proxy", None)
+    assert [(got[i].source.vendor, got[i].network.source_ip, got[i].network.destination_ip) for i in (1, 4999)] == [
+        ("V1", "10.0.0.1", "10.0.0.1"), ("V4999", "10.0.19.249", "10.0.19.249")]
+    assert (got[9].source.vendor, got[9].network.source_ip, got[9].event.action) == ("Generic", "10.0.0.1", "deny")
+    one = onboard_source(lines.filter("line_no = 4999"), config, "2026-06-01 00:00:00", source="s4999").first()
+    assert (one.source.vendor, one.network.source_ip) == ("V4999", "10.0.19.249")
+    with pytest.raises(ValueError):
+        onboard_source(lines, config)
