@@ -1,6 +1,6 @@
 """Breakdowns, totals, the analytics bundle and batch summaries."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -258,6 +258,15 @@ def batch_summary(e: DataFrame, q: DataFrame, seconds: float) -> DataFrame:
     )
 
 
+def summary_of_counts(spark: SparkSession, counts: dict, seconds: float, batch_id: str) -> DataFrame:
+    """The same row from the counts that a run has observed (event, failed), without reading anything again."""
+    done, failed = int(counts.get("event") or 0), int(counts.get("failed") or 0)
+    rate = round((done + failed) / seconds, 2) if seconds > 0 else 0.0
+    return spark.createDataFrame(
+        [(batch_id, done + failed, done, failed, round(float(seconds), 4), rate)],
+        "batch_id string, total_events long, normalized_count long, failed_count long, processing_time_seconds double, events_per_second double")
+
+
 # ---- time series and reports ------------------------------------------------------------
 
 def event_frequency(t: DataFrame, every: str = "1 hour") -> DataFrame:

@@ -13,7 +13,7 @@ To split events from quarantine in one pass over the lines use ``sources.writers
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logmeld import vocab
@@ -158,11 +158,13 @@ def process(
     nested: bool | None = None,
     labels: dict[str, str | Column] | None = None,
     parsers: Sequence[Parser] = (),
+    observation: Observation | None = None,
 ) -> DataFrame:
     """L -> one row per non-blank line: event columns, ``outcome``, ``reason`` and origin.
 
     ``nested``: members of nested JSON objects can be named, with dots; by default where an extra alias has a dot. ``labels``:
-    the vendor and device_type of all lines, whatever the lines say. ``parsers``: a caller's own (``operators.registry``). ``outcome`` is ``event``, ``failed`` or ``skipped`` (header rows). Applies ``session.tune``.
+    the vendor and device_type of all lines, whatever the lines say. ``parsers``: a caller's own (``operators.registry``).
+    ``observation`` gets the counts of the run that writes the rows (``writers.ingest``). ``outcome`` is ``event``, ``failed`` or ``skipped`` (header rows). Applies ``session.tune``.
     """
     tune(lines.sparkSession)
     clean = prepared(lines)
@@ -177,10 +179,10 @@ def process(
         given = value if isinstance(value, Column) else F.lit(value)
         extracted = extracted.withColumn(name, F.coalesce(given, F.col(name)))
     events = normalize(extracted, ingest_ts, ref_year, extra_aliases, cef_severity_scale, universal=mapping is not None)
-    return _with_outcome(validate(events, EVENT, "invalid"), _ingest(ingest_ts))
+    return _with_outcome(validate(events, EVENT, "invalid"), _ingest(ingest_ts), observation)
 
 
-def _with_outcome(df: DataFrame, ingest: Column) -> DataFrame:
+def _with_outcome(df: DataFrame, ingest: Column, observation: Observation | None = None) -> DataFrame:
     c = F.col
     undetected = undetected_reason(c("line"), c("format"), c("parser"), c("confidence"))
     failed_parse = F.concat(
@@ -204,7 +206,7 @@ def _with_outcome(df: DataFrame, ingest: Column) -> DataFrame:
         ingest.alias("ingested_at"),
     )
     return rows.observe(
-        f"outcomes-{uuid.uuid4().hex}",
+        observation or f"outcomes-{uuid.uuid4().hex}",
         *[F.count_if(c("outcome") == o).alias(o) for o in ("event", "failed", "skipped")],
     )
 

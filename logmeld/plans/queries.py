@@ -194,6 +194,16 @@ def _(spark, sf):
     return spark.read.parquet(path).select("total_events", "normalized_count")
 
 
+@query("k4c_ingest_batch", over("select count(*) as total_events, count(*) filter (outcome = 'event') as normalized_count, count(*) filter (outcome = 'failed') as failed_count, count(*) as n_rows, 'b' as batch_id from exp"))
+def _(spark, sf):
+    """A batch that runs twice: its row holds what the writing run has counted."""
+    path, batches = scratch_path(spark, "ingested"), scratch_path(spark, "batches")
+    for _ in range(2):
+        writers.ingest(src.lines(spark, sf), path, batches, "b", mode="overwrite", ingest_ts=fx.INGEST_TS, ref_year=fx.REF_YEAR)
+    n = spark.read.parquet(path).filter("outcome <> 'skipped'").agg(F.count("*").alias("n_rows")).scalar()
+    return spark.read.parquet(batches).select("batch_id", "total_events", "normalized_count", "failed_count", n.alias("n_rows"))
+
+
 _ISO = "strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 _EXPORTED = f"select 'evt_' || cast(line_no as string) as event_id, {_ISO} as timestamp, source_ip, action, type, threat_type from ok"
 

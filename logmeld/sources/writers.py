@@ -1,13 +1,17 @@
 """Sinks: tables, upserts, exports and schema evolution. All writes are distributed."""
 
-from pyspark.sql import Column, DataFrame
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logmeld import vocab
 from logmeld.functions.timestamps import iso_text
+from logmeld.operators.analytics import summary_of_counts
 from logmeld.operators.normalize import EVENT_COLUMNS
 from logmeld.operators.search import latest_events, latest_failed
-from logmeld.plans.process import events_of, quarantine_reason
+from logmeld.plans.process import events_of, process, quarantine_reason
 from logmeld.sources import key_index
 from logmeld.sources.tables import flatten_events
 
@@ -117,6 +121,21 @@ def record_batch(summary: DataFrame, path: str, created_at=None) -> None:
     batch_rows(summary, created_at).write.mode("append").parquet(path)
 
 
+def ingest(lines: DataFrame, path: str, batches: str, batch_id: str | None = None, created_at=None, mode: str = "append", **options) -> dict:
+    """Lines -> the table of outcomes, and a row of ``batches`` with what the writing run has counted: the lines are read once.
+
+    Returns the counts. With a ``batch_id`` of the caller's, a batch that runs again replaces its row.
+    """
+    seen, began = Observation(f"batch-{uuid.uuid4().hex}"), time.monotonic()
+    write_outcomes(process(lines, observation=seen, **options), path, mode)
+    summary = summary_of_counts(lines.sparkSession, seen.get, time.monotonic() - began, batch_id or f"batch_{uuid.uuid4().hex[:16]}")
+    if batch_id is None:
+        record_batch(summary, batches, created_at)
+    else:
+        upsert_batch(summary, batches, created_at)
+    return seen.get
+
+
 # ---- exports ----------------------------------------------------------------------------
 
 def export_rows(e: DataFrame, limit: int | None = None) -> DataFrame:

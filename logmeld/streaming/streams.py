@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logmeld.operators.normalize import EVENT_COLUMNS
 from logmeld.plans.process import process
 from logmeld.sources.text_lines import number_lines
+from logmeld.sources.writers import ingest, write_outcomes
 
 
 def stream_events(lines: DataFrame, ingest_ts=None, **options) -> DataFrame:
@@ -18,19 +19,23 @@ def stream_events(lines: DataFrame, ingest_ts=None, **options) -> DataFrame:
     return process(lines, ingest_ts=ingest_ts, **options)
 
 
-def stream_process(lines: DataFrame, out: str, checkpoint: str, ingest_ts=None, trigger=None, **options):
+def stream_process(lines: DataFrame, out: str, checkpoint: str, ingest_ts=None, trigger=None, batches: str | None = None, **options):
     """Run lines through ``process`` batch by batch into one table by outcome; returns the query.
 
     Every batch overwrites its own folder, so that a batch run again after a failure leaves no
     second copy. A file arrives whole in one batch, so lines of ``stream_log_lines`` get their numbers here,
-    and with them ids of their own and the headers of their file.
+    and with them ids of their own and the headers of their file. ``batches``: a table that gets a row for each batch, with the counts its
+    writing has observed; a batch that runs again replaces its row.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         if "_start" in batch.columns:
             batch = number_lines(batch.drop("line_no"))
-        rows = process(batch, ingest_ts=ingest_ts, **options)
-        rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/batch={number}")
+        folder = f"{out}/batch={number}"
+        if batches is None:
+            write_outcomes(process(batch, ingest_ts=ingest_ts, **options), folder, "overwrite")
+        else:
+            ingest(batch, folder, batches, batch_id=f"stream_{number}", mode="overwrite", ingest_ts=ingest_ts, **options)
 
     return (
         lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

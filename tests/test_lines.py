@@ -168,7 +168,8 @@ def test_stream_numbers_lines_and_carries_headers(spark, tmp_path):
     row = "2026-03-01T12:00:00Z,10.0.0.1,10.0.0.2,allow,low"
     (tmp_path / "in" / "a.csv").write_text(f"timestamp,src_ip,dst_ip,action,severity\n{row}\n{row}\n")
     lines = text_lines.stream_log_lines(spark, str(tmp_path / "in"))
-    stream_process(lines, str(tmp_path / "out"), str(tmp_path / "log"), "2026-06-01 00:00:00").awaitTermination()
+    stream_process(lines, str(tmp_path / "out"), str(tmp_path / "log"), "2026-06-01 00:00:00", batches=str(tmp_path / "batches")).awaitTermination()
+    assert [(r.batch_id, r.total_events, r.normalized_count, r.failed_count) for r in spark.read.parquet(str(tmp_path / "batches")).collect()] == [("stream_0", 2, 2, 0)]
     events = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.outcome == "event"]
     assert [r.network.source_ip for r in events] == ["10.0.0.1"] * 2 and len({r.event_id for r in events}) == 2
     assert sorted(r.line_no for r in events) == [2, 3]
