@@ -3,7 +3,8 @@
 The lattice of a text has a node between any two characters and an edge for each vocabulary piece between its ends. An
 edge weighs ``(2 - score) ** -theta``: scores of a BPE model are negative ranks, so frequent pieces weigh more. The forward
 pass sums the weights of all paths to each node; the backward pass draws pieces from the end by those sums. Draws come from
-a hash of seed, row key, unit and step: the same row gives the same pieces in every run, batch and partition.
+a hash of seed, row key, unit and step: the same row gives the same pieces in every run, batch and partition. Draws and cumulated
+chances are whole numbers, compared within a node, so that nothing which a worker has seen before can move them.
 
 No piece of the vocabulary has a space after another character, or a line feed, so every path passes there and the lattice falls
 into units; each distinct unit is prepared once in a task, and all units of a batch are drawn side by side.
@@ -21,13 +22,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from logmeld.llm.common import fresh
 
@@ -122,7 +123,7 @@ def lattice(unit: str, v: Vocabulary) -> tuple[list[list[int]], list[list[int]],
 def many_lattices(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The lattices of many short units at once; characters of all units, one after the other, are the nodes.
 
-    Returns for each edge, sorted by node: node, length, piece, chance; and for each unit whether all its characters are pieces.
+    Returns for each edge, sorted by node, long pieces first: node, length, piece, chance; and for each unit whether all its characters are pieces.
     Products of weights do for short units; they stay far above the smallest number.
     """
     sizes = np.fromiter(map(len, units), np.int64, len(units))
@@ -155,7 +156,7 @@ def many_lattices(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
         before = np.where(length[a:b] > inside[node[a:b]], 1.0, sums[node[a:b] - length[a:b]])
         paths[a:b] = before * weight[a:b]
         np.add.at(sums, node[a:b], paths[a:b])
-    order = np.argsort(node, kind="stable")
+    order = np.argsort(node * (v.longest + 1) - length)
     node, length, piece, paths = node[order], length[order], piece[order], paths[order]
     return node, length, piece, paths / np.maximum(sums[node], 1e-300), whole
 
@@ -163,17 +164,33 @@ def many_lattices(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
 _G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Chances and draws are whole numbers of this many parts of 1, so that a draw means the same edge whatever was prepared before.
+PARTS = 1 << 53
+
+
 def draws(key: np.ndarray, unit: np.ndarray, step: int) -> np.ndarray:
-    """Numbers from 0 to below 1, of row key, place of the unit in the row, and step."""
+    """Whole numbers from 0 to below PARTS, of row key, place of the unit in the row, and step."""
     x = key + unit.astype(np.uint64) * _G + np.uint64(step * 0xD1342543DE82EF95 & 2**64 - 1)
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     x ^= x >> np.uint64(31)
-    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return (x >> np.uint64(11)).astype(np.int64)
+
+
+def bounds_of(chance: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each edge the sum of chances up to it within its node, in PARTS; ``first`` are the places where nodes begin. The last has PARTS.
+
+    Sums are of whole numbers: what stands before a node cancels exactly, wrapped around or not.
+    """
+    sums = np.cumsum(np.floor(chance * float(PARTS)).astype(np.int64))
+    before = np.concatenate([np.zeros(1, np.int64), sums])[first]
+    bounds = np.minimum(sums - np.repeat(before, np.diff(np.append(first, len(sums)))), PARTS)
+    bounds[np.append(first[1:], len(sums)) - 1] = PARTS
+    return bounds
 
 
 class Sampler:
-    """Draws segmentations of many units at once. Nodes of all units share one numbering; an edge's mark is node + cumulated chance."""
+    """Draws segmentations of many units at once. Nodes of all units share one numbering; a node's edges follow each other."""
 
     def __init__(self, vocabulary: Vocabulary, edges: int = EDGES):
         self.v, self.limit = vocabulary, edges
@@ -181,7 +198,8 @@ class Sampler:
         self.passing: list[str] = []
         self.kept: tuple[int, int] | None = None
         self.nodes, self.size = 0, 0
-        self.marks, self.back, self.piece = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.first = np.zeros(1024, np.int64)  # of each node
+        self.bounds, self.back, self.piece = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
 
     def _learn(self, units: list[str]):
         """Numbers the nodes of new units; -1 as an earlier node stands for the start."""
@@ -190,45 +208,35 @@ class Sampler:
             node, length, piece, chance, whole = many_lattices(simple, self.v)
             sizes = np.fromiter(map(len, simple), np.int64, len(simple))
             start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-            first = np.flatnonzero(np.diff(node, prepend=-1))
-            sums = np.cumsum(chance)
-            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))
-            marks = self.nodes + node + (sums - np.concatenate([[0.0], sums])[first][group])
-            last = np.append(first[1:], len(node)) - 1
-            marks[last] = self.nodes + node[last] + 1.0
-            marks = np.minimum(marks, self.nodes + node + 1.0)
             back = np.where(node - length < start[node], -1, self.nodes + node - length)
             ends = self.nodes + np.cumsum(sizes) - 1
-            self._store(marks, back, piece)
+            first = np.searchsorted(node, np.arange(int(sizes.sum())))
+            self._store(first, bounds_of(chance, np.flatnonzero(np.diff(node, prepend=-1))), back, piece)
             for unit, end, good in zip(simple, ends.tolist(), whole.tolist()):
                 if good:
                     self.end[unit] = end
                 else:
                     rest.append(unit)
-            self.nodes += int(sizes.sum())
         for unit in rest:
-            prev, pieces, chance = lattice(unit, self.v)
-            base, marks, back = self.nodes, [], []
-            for row, before in zip(chance, prev):
-                mark = float(self.nodes)
-                for x in row[:-1]:
-                    mark += x
-                    marks.append(mark)
-                self.nodes += 1
-                marks.append(float(self.nodes))
-                back.extend([base + a - 1 if a else -1 for a in before])
-            self._store(np.array(marks), np.array(back, np.int64), np.array([p for row in pieces for p in row], np.int32))
+            base, rows = self.nodes, [list(zip(*row)) for row in zip(*lattice(unit, self.v))]
+            first = np.cumsum([0, *map(len, rows[:-1])])
+            edges = list(chain.from_iterable(rows))
+            back = np.array([base + a - 1 if a else -1 for a, _, _ in edges], np.int64)
+            self._store(first, bounds_of(np.array([c for _, _, c in edges]), first), back, np.array([p for _, p, _ in edges], np.int32))
             self.end[unit] = self.nodes - 1
 
-    def _store(self, *values: np.ndarray):
+    def _store(self, first: np.ndarray, *values: np.ndarray):
         n = len(values[0])
-        if self.size + n > len(self.marks):
+        if self.nodes + len(first) > len(self.first):
+            self.first = np.concatenate([self.first[: self.nodes], np.zeros((self.nodes + len(first)) // 4 + len(first), np.int64)])
+        self.first[self.nodes : self.nodes + len(first)] = self.size + first
+        if self.size + n > len(self.bounds):
             more = (self.size + n) // 4 + n
-            self.marks, self.back, self.piece = (
-                np.concatenate([x[: self.size], np.zeros(more, x.dtype)]) for x in (self.marks, self.back, self.piece))
-        for store, value in zip((self.marks, self.back, self.piece), values):
+            self.bounds, self.back, self.piece = (
+                np.concatenate([x[: self.size], np.zeros(more, x.dtype)]) for x in (self.bounds, self.back, self.piece))
+        for store, value in zip((self.bounds, self.back, self.piece), values):
             store[self.size : self.size + n] = value
-        self.size += n
+        self.nodes, self.size = self.nodes + len(first), self.size + n
 
     def _prepare(self, units: list[str]):
         """Units beyond the limit are dropped after the batch, from the end of the store; the rest stays."""
@@ -249,48 +257,42 @@ class Sampler:
 
     def _long(self, unit: str, key: np.uint64, place: int) -> list[int]:
         prev, pieces, chance = lattice(unit, self.v)
-        out, at, step, one = [], len(prev), 0, np.array([key], np.uint64)
+        out, at, step, one, places = [], len(prev), 0, np.array([key], np.uint64), np.array([place])
         while at:
-            u, row = float(draws(one, np.array([place]), step)[0]), chance[at - 1]
-            k = 0
-            while k < len(row) - 1 and u >= row[k]:
-                u -= row[k]
+            u, k = int(draws(one, places, step)[0]), 0
+            row = bounds_of(np.array(chance[at - 1]), np.zeros(1, np.int64)).tolist()
+            while u >= row[k]:
                 k += 1
             out.append(pieces[at - 1][k])
             at, step = prev[at - 1][k], step + 1
         return out[::-1]
 
-    def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
+    def encode_flat(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the places where each text's begin and end."""
         cut = [self.v.unit.findall(" " + text) if text else [] for text in texts]
-        self._prepare([u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in self.end and len(u) <= SHORT])
-        ends, long = [], {}
-        for r, units in enumerate(cut):
-            for k, unit in enumerate(units):
-                if len(unit) > SHORT:
-                    long[len(ends)] = self._long(unit, np.uint64(keys[r]), k)
-                    ends.append(-1)
-                else:
-                    ends.append(self.end[unit])
-        row_of = [len(units) for units in cut]
-        place_of = [np.arange(n, dtype=np.int64) for n in row_of]
-        sizes = np.array(row_of, np.int64)
+        flat = list(chain.from_iterable(cut))
+        self._prepare([u for u in dict.fromkeys(flat) if u not in self.end and len(u) <= SHORT])
+        at = np.fromiter(map(self.end.get, flat, repeat(-1)), np.int64, len(flat))
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         key = np.repeat(np.array(keys, np.uint64), sizes)
-        place = np.concatenate(place_of) if place_of else np.zeros(0, np.int64)
-        at = np.array(ends, np.int64)
-        marks, live, steps = self.marks[: self.size], np.flatnonzero(at >= 0), []
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        long = {i: self._long(flat[i], key[i], int(place[i])) for i in np.flatnonzero(at < 0).tolist()}
+        live, steps = np.flatnonzero(at >= 0), []
         count = np.zeros(len(at), np.int64)
         for i, ids in long.items():
             count[i] = len(ids)
-        step, now = 0, at[live]
+        step, now, key, place = 0, at[live], key[live], place[live]
         while len(live):
-            edge = np.searchsorted(marks, now + draws(key[live], place[live], step), side="right")
-            # rounding may lift a draw next to 1 over the node's last mark: the last edge is meant
-            edge = np.minimum(edge, np.searchsorted(marks, now + 1.0, side="left"))
+            edge, u = self.first[now], draws(key, place, step)
+            beyond = np.flatnonzero(u >= self.bounds[edge])
+            while len(beyond):
+                edge[beyond] += 1
+                beyond = beyond[u[beyond] >= self.bounds[edge[beyond]]]
             steps.append((live, self.piece[edge]))
             count[live] += 1
             now = self.back[edge]
-            going = now >= 0
-            live, now, step = live[going], now[going], step + 1
+            going = np.flatnonzero(now >= 0)
+            live, now, key, place, step = live[going], now[going], key[going], place[going], step + 1
         stop = np.cumsum(count)
         out = np.zeros(int(stop[-1]) if len(stop) else 0, np.int32)
         for k, (units, ids) in enumerate(steps):
@@ -298,10 +300,21 @@ class Sampler:
         for i, ids in long.items():
             out[stop[i] - len(ids) : stop[i]] = ids
         self._forget()
-        bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(sizes)])]
+        return out, np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(sizes)])]
+
+    def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
+        out, bounds = self.encode_flat(texts, keys)
         return [None if t is None else out[bounds[r] : bounds[r + 1]] for r, t in enumerate(texts)]
 
 
+def gives_back(ids: np.ndarray, bounds: np.ndarray, texts: list[str | None], table: pa.Array) -> list[bool | None]:
+    """Whether decoding gives each text: bytes of all ids by one look-up in ``table``, compared with the text's own."""
+    joined = table.take(pa.array(ids, pa.int32()))
+    at = np.frombuffer(joined.buffers()[1], np.int64, len(ids) + 1)[bounds].tolist() if len(ids) else [0] * len(bounds)
+    found = memoryview(joined.buffers()[2] or b"").cast("B") if len(ids) else memoryview(b"")  # unsigned, as the text's bytes
+    return [None if t is None else found[a:b] == (b" " + t.encode() if t else b"") for t, a, b in zip(texts, at, at[1:])]
+
+
 def decode(ids, v: Vocabulary) -> str | None:
     if ids is None:
         return None
@@ -328,25 +341,24 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     row, = fresh(docs, "row_key")
     keep = [f for f in docs.schema.fields if not (drop_text and f.name == text)]
-    schema = StructType([*keep, StructField("piece_ids", ArrayType(IntegerType())), StructField("n_pieces", LongType()), StructField("lossless", LongType())])
+    schema = StructType([*keep, StructField("piece_ids", ArrayType(IntegerType())), StructField("n_pieces", LongType()), StructField("lossless", BooleanType())])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = sampler_of(model, theta)
-        v = sampler.v
+        table = pa.array(sampler.v.raw, pa.large_binary())
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)
                 texts = batch.column(text).to_pylist()
                 keys = [xxhash.xxh64_intdigest((k or "").encode(), seed=seed) for k in batch.column(row).to_pylist()]
-                ids = sampler.encode(texts, keys)
-                same = [None if t is None else int(decode(x.tolist(), v) == t) for t, x in zip(texts, ids)]
-                count = [None if x is None else len(x) for x in ids]
+                ids, bounds = sampler.encode_flat(texts, keys)
+                null = np.array([t is None for t in texts])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32(), mask=np.append(null, False)), pa.array(ids, pa.int32()))
+                count, same = pa.array(np.diff(bounds), pa.int64(), mask=null), pa.array(gives_back(ids, bounds, texts, table), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(f.name) for f in keep], pa.array(ids, pa.list_(pa.int32())), pa.array(count, pa.int64()), pa.array(same, pa.int64())],
-                    [*[f.name for f in keep], *new])
+                    [*[batch.column(f.name) for f in keep], lists, count, same], [*[f.name for f in keep], *new])
 
-    out = docs.withColumn(row, F.col(f"`{key}`").cast("string")).mapInArrow(encoded, schema)
-    return out.withColumn("lossless", F.col("lossless") == 1)
+    return docs.withColumn(row, F.col(f"`{key}`").cast("string")).mapInArrow(encoded, schema)
 
 
 def decode_documents(docs: DataFrame, ids: str = "piece_ids", text: str = "text", model: str = MODEL) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,3 +342,33 @@ def test_sampled_paths_follow_the_lattice():
     assert set(seen) <= set(exact)
     for p, w in exact.items():
         assert abs(seen[p] / 4000 - w / whole) < 0.04
+
+
+def test_what_a_worker_has_seen_moves_no_draw():
+    v = piece_lattice.Vocabulary()
+    texts = [t for t in fx.texts() if t] + ["there and ▁ back", "x" * 60, "naïve 日本語 \x00"]
+    keys = list(range(len(texts)))
+    fresh, old = piece_lattice.Sampler(v, edges=10), piece_lattice.Sampler(v)
+    for k in range(40):
+        old.encode([f"before{k} {'history' * (k % 5)} {k * k}"] * 3, [k, k + 1, k + 2])
+    assert [x.tolist() for x in fresh.encode(texts, keys)] == [x.tolist() for x in old.encode(texts, keys)]
+    # draws next to every boundary of a node mean the same edge, wherever the node is stored
+    def edges(sampler):
+        sampler._prepare([w for w in [" there"] if w not in sampler.end])
+        node = sampler.end[" there"]
+        bounds = sampler.bounds[sampler.first[node] :]
+        bounds = bounds[: int(np.flatnonzero(bounds == piece_lattice.PARTS)[0]) + 1]
+        return bounds.tolist(), sampler.piece[sampler.first[node] :][: len(bounds)].tolist()
+
+    assert edges(piece_lattice.Sampler(v)) == edges(old)
+
+
+def test_giving_back_agrees_with_decoding():
+    v = piece_lattice.Vocabulary()
+    table = pa.array(v.raw, pa.large_binary())
+    texts = [*fx.texts(), "été 日本 ▁", " ", "\n", None, ""]
+    ids, bounds = piece_lattice.Sampler(v).encode_flat(texts, list(range(len(texts))))
+    told = piece_lattice.gives_back(ids, bounds, texts, table)
+    assert told == [None if t is None else piece_lattice.decode(ids[a:b].tolist(), v) == t for t, a, b in zip(texts, bounds, bounds[1:])]
+    wrong = [None if t is None else t + "é" for t in texts]
+    assert not any(piece_lattice.gives_back(ids, bounds, wrong, table))
