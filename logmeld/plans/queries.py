@@ -13,7 +13,7 @@ from logmeld.plans import fixture_lines as fx
 from logmeld.plans import inputs as src
 from logmeld.plans import process as pr
 from logmeld.plans.expected import over, over_truth
-from logmeld.sources import tables, text_lines, writers
+from logmeld.sources import page_runs, tables, text_lines, writers
 from logmeld.session import scratch_path, tune
 
 QUERIES: dict = {}
@@ -1022,6 +1022,24 @@ query("f6_non_empty", over(f"{_T} where source_ip is not null"))(_t(lambda t: se
 query("o1_page", over(f"{_T} order by timestamp desc, event_id limit 50 offset 100"))(_t(lambda t: search.page(t, 3, 50)))
 query("o1b_page_after", over(f"select * from ({_T}) where timestamp < timestamp '2024-01-15 00:00:00' order by timestamp desc, event_id limit 50"))(
     _t(lambda t: search.page_after(t, "2024-01-15 00:00:00", "evt_999999999", 50)))
+
+
+def _runs(spark, sf) -> str:
+    """T in runs of pages."""
+    def make():
+        path = scratch_path(spark, "page-runs")
+        page_runs.write_runs(src.flat(spark, sf), path, rows=200)
+        return path
+
+    return src.once(spark, sf, "page-runs", make)
+
+
+_BY_RUNS = f"({_T} order by timestamp desc, event_id limit 50 offset 100)", f"({_T} order by timestamp desc, event_id limit 50 offset 700)"
+query("o1c_page_of_runs", over(f"select * from {_BY_RUNS[0]} union all select * from {_BY_RUNS[1]}"))(
+    lambda spark, sf: page_runs.page_of_runs(spark, _runs(spark, sf), 3, 50).unionByName(
+        page_runs.page_of_runs(spark, _runs(spark, sf), 15, 50)).select(*T_COLUMNS))
+query("o2b_page_info_of_runs", over("select count(*) as total, cast(ceil(count(*) / 50.0) as bigint) as total_pages from ok"))(
+    lambda spark, sf: page_runs.page_info_of_runs(spark, _runs(spark, sf), 50))
 query("o2_page_info", over("select count(*) as total, cast(ceil(count(*) / 50.0) as bigint) as total_pages from ok where action = 'deny'"))(
     lambda spark, sf: search.page_info(search.filter_events(src.flat(spark, sf), action="deny"), 50))
 
@@ -1276,6 +1294,14 @@ def _(spark, sf):
     return _finished(spark, stream_sessions(_ground_stream(spark, sf)), "sessions")
 
 
+@query("x10c_sessions", _SESSIONS[: _SESSIONS.index("having")])
+def _(spark, sf):
+    from logmeld.operators.sessions import sessions
+
+    rows = src.table(spark, sf, "events").select(c("ts").cast("timestamp").alias("timestamp"), F.concat(F.lit("u"), "user_id").alias("source_ip"))
+    return sessions(rows, 1800, "source_ip")
+
+
 @query("x11_stream_dedup", "select cast(event_id as string) as event_id, event_type as kind from events")
 def _(spark, sf):
     from logmeld.streaming.streams import stream_dedup
