@@ -105,6 +105,34 @@ def analytics(t: DataFrame, q: DataFrame) -> DataFrame:
     The scan expands to three rows per event instead of one per metric. The mean risk is carried
     as two counts (``risk_total`` over ``threats``).
     """
+    return ranked(_counted(t, [])).unionByName(_failed(q, []))
+
+
+def daily_figures(t: DataFrame, q: DataFrame) -> DataFrame:
+    """The counts behind ``analytics`` as (day, metric, key, count): all of them, unranked, so that days and batches add up.
+
+    Rows without a time have no day. Addresses are counted exactly, one row per day and address.
+    """
+    day = F.to_date("timestamp").alias("day")
+    return _counted(t.withColumn("day", day), ["day"]).unionByName(_failed(q.withColumn("day", day), ["day"]))
+
+
+def analytics_of(figures: DataFrame) -> DataFrame:
+    """``analytics`` from daily figures of any days and batches."""
+    summed = figures.groupBy("metric", "key").agg(F.sum("count").alias("count"))
+    # ranked for themselves: failed lines are a figure even where there are none
+    failed = summed.filter(F.col("metric") == "failed_events").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
+    return ranked(summed.filter(F.col("metric") != "failed_events")).unionByName(failed.select(
+        F.lit("failed_events").alias("metric"), F.lit(None).cast("string").alias("key"), "count"))
+
+
+def _failed(q: DataFrame, by: list[str]) -> DataFrame:
+    counts = q.groupBy(*by).agg(F.count("*").alias("count")) if by else q.agg(F.count("*").alias("count"))
+    return counts.select(*by, F.lit("failed_events").alias("metric"), F.lit(None).cast("string").alias("key"), "count")
+
+
+def _counted(t: DataFrame, by: list[str]) -> DataFrame:
+    """(metric, key, count) for each value of the columns ``by``."""
     labels = {
         "protocol": protocol_key(), "action": action_key(), "severity": severity_key(),
         "device_type": device_key(), "category": category_key(), "vendor": vendor_key(),
@@ -113,13 +141,14 @@ def analytics(t: DataFrame, q: DataFrame) -> DataFrame:
     }
     ips = ["source_ip", "destination_ip"]
     base = t.select(
-        *[c.alias(n) for n, c in labels.items()],
+        *by, *[c.alias(n) for n, c in labels.items()],
         *[F.nullif(c, F.lit("")).alias(c) for c in ips],
         F.coalesce("risk_score", F.lit(0)).alias("risk"),
     )
     names = list(labels)
     c = F.col
-    cube = base.groupingSets([[c(n) for n in names], [c(ips[0])], [c(ips[1])]], *[c(n) for n in [*names, *ips]]).agg(
+    sets = [[c(n) for n in [*by, *some]] for some in (names, ips[:1], ips[1:])]
+    cube = base.groupingSets(sets, *[c(n) for n in [*by, *names, *ips]]).agg(
         F.count("*").alias("n"),
         F.sum(F.when(c("threat"), c("risk")).otherwise(0)).alias("risk"),
         F.grouping(ips[0]).alias("not_source"),
@@ -135,14 +164,19 @@ def analytics(t: DataFrame, q: DataFrame) -> DataFrame:
         row("threats", none, F.when(c("threat"), c("n")).otherwise(0)),
         row("risk_total", none, c("risk")),
     )
-    rows = cube.select(F.inline(
+    rows = cube.select(*by, F.inline(
         F.when(c("not_source") == 0, F.array(row("source_ip", c("source_ip"), c("n"))))
         .when(c("not_destination") == 0, F.array(row("destination_ip", c("destination_ip"), c("n"))))
         .otherwise(of_labels)
     ))
     figures = ["total_events", "threats", "risk_total"]
     named = rows.filter(c("key").isNotNull() | c("metric").isin(figures))
-    counted = named.groupBy("metric", "key").agg(F.sum("count").alias("count"))
+    return named.groupBy(*by, "metric", "key").agg(F.sum("count").alias("count"))
+
+
+def ranked(counted: DataFrame) -> DataFrame:
+    """The first rows of each metric that has a ``TOP``, and all of the others."""
+    c = F.col
     # Metrics kept whole get one partition per key, so their rank is always 1; the literal bound
     # lets every task drop all but its own first rows before the shuffle.
     whole = F.when(~c("metric").isin(list(TOP)), c("key"))
@@ -150,19 +184,21 @@ def analytics(t: DataFrame, q: DataFrame) -> DataFrame:
     limit = F.coalesce(
         *[F.when(c("metric") == m, F.lit(k)) for m, k in TOP.items()], F.lit(max(TOP.values()))
     )
-    ranked = counted.withColumn("rank", rank).filter(
+    kept = counted.withColumn("rank", rank).filter(
         (c("rank") <= max(TOP.values())) & (c("rank") <= limit)
     )
-    failed = q.agg(F.count("*").alias("count")).select(
-        F.lit("failed_events").alias("metric"), none.alias("key"), "count"
-    )
-    return ranked.select("metric", "key", "count").unionByName(failed)
+    return kept.select("metric", "key", "count")
 
 
 def dashboard(t: DataFrame, q: DataFrame, batches: DataFrame | None = None, recent: int = 5) -> DataFrame:
     """The whole answer as (metric, key, value): ``analytics``, active sources, mean threat risk, and the latest batches."""
+    return dashboard_of(analytics(t, q), batches, recent)
+
+
+def dashboard_of(answer: DataFrame, batches: DataFrame | None = None, recent: int = 5) -> DataFrame:
+    """The same from what ``analytics`` or ``analytics_of`` has answered."""
     none = F.lit(None).cast("string")
-    rows = analytics(t, q).select("metric", "key", F.col("count").cast("double").alias("value"))
+    rows = answer.select("metric", "key", F.col("count").cast("double").alias("value"))
     counts = rows.filter(F.col("metric").isin("threats", "risk_total", "device_type"))
     of = lambda m: F.sum(F.when(F.col("metric") == m, F.col("value")))
     risk = F.coalesce(F.try_divide(of("risk_total"), of("threats")), F.lit(0.0))

@@ -13,7 +13,7 @@ from logmeld.plans import fixture_lines as fx
 from logmeld.plans import inputs as src
 from logmeld.plans import process as pr
 from logmeld.plans.expected import over, over_truth
-from logmeld.sources import page_runs, tables, text_lines, writers
+from logmeld.sources import page_runs, rollups, tables, text_lines, writers
 from logmeld.session import scratch_path, tune
 
 QUERIES: dict = {}
@@ -1118,6 +1118,22 @@ query("a14b_dashboard", over(" union all ".join([
 ])))(lambda spark, sf: an.dashboard(src.flat(spark, sf), src.quarantine(spark, sf), src.batches(spark, sf)))
 
 
+def _rolled_up(spark, sf) -> DataFrame:
+    """T and Q in three batches, one of them run twice, as daily figures."""
+    def make():
+        path = scratch_path(spark, "rollup")
+        t, q, part = src.flat(spark, sf), src.quarantine(spark, sf), F.pmod(F.xxhash64("event_id"), F.lit(3))
+        for number in (0, 1, 2, 1):
+            rollups.write_batch(t.filter(part == number), q.filter(part == number), path, f"b{number}")
+        return path
+
+    return rollups.read_figures(spark, src.once(spark, sf, "rollup", make))
+
+
+query("a14c_dashboard_of_rollups", ORACLES["a14b_dashboard"])(
+    lambda spark, sf: an.dashboard_of(an.analytics_of(_rolled_up(spark, sf)), src.batches(spark, sf)))
+
+
 @query("a15_batch_summary", over("select count(*) as total_events, count(*) filter (outcome = 'event') as normalized_count, count(*) filter (outcome = 'failed') as failed_count from exp"))
 def _(spark, sf):
     return an.batch_summary(src.events(spark, sf), src.quarantine(spark, sf), 1.0).select(
