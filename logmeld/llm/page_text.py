@@ -8,6 +8,7 @@ it is raised to the common ancestor of all paragraphs with points and few links;
 Left out first: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
 element, role, or a word of class or id. A header inside an article stays: it holds its title. Words of class and id alone do not drop
 the article, nor the greater part of the page's points, unless they mark remarks, teasers or adverts; where nothing is left they do not count.
+A form around the article, or without an article around the greater part of the points, is the page's and stays; its fields go.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one
 space. Line breaks are white space. No paragraph long enough for points: the first article, else the body, is kept.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ BLOCK = frozenset(
     "h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p pre blockquote td dd li div section article main figcaption".split())
 DROPPED = frozenset(
-    "head nav footer aside form script style noscript template iframe button select textarea input svg canvas object menu dialog title "
+    "head nav footer aside script style noscript template iframe button select textarea input svg canvas object menu dialog title "
     "noembed noframes audio video label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 #: Words of class and id values that mark what is no article text.
@@ -67,6 +68,8 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SHORT, NEAR, LINKED = 25, 0.2, 0.25
+#: From so many levels above a paragraph on its points are passed up together with those of others, so that deep pages take linear time.
+FAR = 32
 
 
 class Page:
@@ -78,7 +81,8 @@ class Page:
         self.first, self.last = [0], [0]
         self.events: list[tuple[int, str | None]] = []
         self.article = [False]
-        self.open = Counter()
+        self.open: dict[str, list[int]] = defaultdict(list)  # places in the stack of the open elements of each tag
+        self.open["#page"].append(0)
         stack, at, n = [0], 0, len(html)
         for found in iter(lambda: _TAG.search(html, at), None):
             if found.start() > at:
@@ -118,7 +122,7 @@ class Page:
             self.marks[len(self.out) - 1] = words
         self.linked.append(self.linked[up] or name == "a")
         self.article.append(inside)
-        self.open[name] += 1
+        self.open[name].append(len(stack))
         stack.append(len(self.tag) - 1)
         if name in BLOCK:
             self.events.append((stack[-1], None))
@@ -129,20 +133,19 @@ class Page:
 
     def _pop(self, stack):
         node = stack.pop()
-        self.open[self.tag[node]] -= 1
+        self.open[self.tag[node]].pop()
         self.last[node] = len(self.events)
         if self.tag[node] in BLOCK:
             self.events.append((node, None))
 
     def _end(self, stack, names, stops):
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in names:
-                while len(stack) > k:
-                    self._pop(stack)
-                return True
-            if self.tag[stack[k]] in stops:
-                return False
-        return False
+        """Ends the nearest open element of ``names``, unless one of ``stops`` is nearer."""
+        k = max((self.open[t][-1] for t in names if self.open[t]), default=0)
+        if not k or any(self.open[t] and self.open[t][-1] > k for t in stops):
+            return False
+        while len(stack) > k:
+            self._pop(stack)
+        return True
 
     def _end_all(self, stack, names, stops):
         while self._end(stack, names, stops):
@@ -153,6 +156,9 @@ class Page:
         """Whether element, role or style drop it, and the words of class and id that speak against it."""
         if name in DROPPED or name == "header" and not in_article:
             return True, None
+        if name == "form":  # some hold the whole page: told by what is in them
+            out, words = Page._unlikely("div", attributes, in_article)
+            return out, None if out else (words or set()) | {"form"}
         if not attributes.strip() or name in ("html", "body", "article", "main", "br", "hr", "img"):
             return False, None
         values = {}
@@ -256,13 +262,19 @@ def _paragraphs(page: Page) -> tuple[dict[int, float], list[float]]:
 
 def _points(page: Page, paragraph: dict[int, float]) -> list[float]:
     """Points of each element."""
-    points = [0.0] * len(page.tag)
+    points, far = [0.0] * len(page.tag), [0.0] * len(page.tag)
     for k, score in paragraph.items():
         up = page.parent[k] if page.tag[k] in ("p", "pre", "blockquote", "td", "dd", "li", "figcaption") else k
         level = 0
         while up > 0:
             points[up] += score if level == 0 else score / 2 if level == 1 else score / (3 * level)
             up, level = page.parent[up], level + 1
+            if level == FAR:
+                far[up] += score / (3 * FAR)
+                break
+    for k in range(len(far) - 1, 0, -1):
+        points[k] += far[k]
+        far[page.parent[k]] += far[k] * FAR / (FAR + 1)
     return points
 
 
@@ -294,12 +306,13 @@ def main_text(html: str | None) -> str:
     page = Page(html)
     if page.marks:
         before = list(page.out)
-        _spread(page, _doubtful(page))
+        doubtful = _doubtful(page)
+        _spread(page, doubtful)
         text = _main(page)
         if len(text) >= SHORT or text and any(t in ("article", "main") and not out for t, out in zip(page.tag, page.out)):
             return text
         page.out = before
-        _spread(page, {k for k, words in page.marks.items() if text and words & APART})
+        _spread(page, {k for k, words in page.marks.items() if text and words & APART or k in doubtful and "form" in words})
         again = _main(page)
         return again if len(again) >= SHORT else text or again
     return _main(page)

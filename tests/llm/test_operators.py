@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -372,3 +373,28 @@ def test_giving_back_agrees_with_decoding():
     assert told == [None if t is None else piece_lattice.decode(ids[a:b].tolist(), v) == t for t, a, b in zip(texts, bounds, bounds[1:])]
     wrong = [None if t is None else t + "é" for t in texts]
     assert not any(piece_lattice.gives_back(ids, bounds, wrong, table))
+
+
+PARAGRAPH = "A long paragraph, with commas, and more words than a menu has, so that it gets points. "
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><form id=aspnetForm><div><article><p>{PARAGRAPH * 3}</p></article></div></form>", (PARAGRAPH * 3).strip()),
+    (f"<body><form id=aspnetForm><div><p>{PARAGRAPH * 3}</p><p>{PARAGRAPH}</p></div></form>", f"{PARAGRAPH * 4}".strip()),
+    (f"<body><article><p>{PARAGRAPH * 3}</p><form><p>{PARAGRAPH * 9}</p></form></article>", (PARAGRAPH * 3).strip()),
+    (f"<body><div><p>{PARAGRAPH * 3}</p></div><form class=login><p>{PARAGRAPH}</p></form>", (PARAGRAPH * 3).strip()),
+    (f"<body><form class='comment-form'><p>{PARAGRAPH * 3}</p></form>", ""),
+    ("<body><form>Name <input> <button>Send</button></form>", ""),
+])
+def test_forms_around_and_beside_the_article(page, text):
+    assert page_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 100_000 + "<hr>" * 100_000, "<p><button>" + "<b>" * 50_000 + "<hr>" * 50_000, "".join(f"<div>{PARAGRAPH}" for _ in range(20_000)),
+    "<form>" * 50_000 + PARAGRAPH, "<ul><li>" * 50_000,
+])
+def test_deep_and_wide_pages_take_linear_time(page):
+    began = time.process_time()
+    page_text.main_text(page)
+    assert time.process_time() - began < 8
