@@ -1,7 +1,9 @@
 """A table kept in page order, so that any page opens only the runs it lies in.
 
-``<path>/rows`` holds the rows dealt by ranges of (order column, event_id) into runs; ``<path>/runs`` has one row per run: how many rows it
-holds and how many stand before it; ``<path>/columns`` has none, but tells the columns where there are no rows either. A page finds its runs by those counts and sorts no more than them. The order is the one of ``search.page``.
+``<path>/rows`` holds the rows dealt by ranges of (order column, event_id) into parts, a file each, and cut there into runs by their place; ``<path>/runs``
+has one row per run: how many rows it holds and how many stand before it; ``<path>/columns`` has none, but tells the columns where there are no rows either.
+A page finds its runs by those counts, and sorts and reads no more than them: the number of the run is kept with each row, and a data page of the file ends
+where a run does. Runs may be as short as wanted: tasks and files follow the parts. The order is the one of ``search.page``.
 
 Defined cases: rows without an order value come last where it descends and first where it ascends. Equal ids keep together, in any
 order among themselves. An empty table has no runs; pages beyond the last are empty.
@@ -11,8 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RUN = "page_run"
+RUN, PART = "page_run", "page_part"
 RUN_ROWS = 1_000_000
+#: Rows of a part, where runs are shorter.
+PART_ROWS = 100_000
+#: Rows of a data page, where runs are longer.
+PAGE_ROWS = 20_000
+_PLACES = 33  # bits of a row's place in monotonically_increasing_id
 
 
 def _order(order_by: str, descending: bool) -> list[Column]:
@@ -24,17 +31,23 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_runs(t: DataFrame, path: str, rows: int = RUN_ROWS, order_by: str = "timestamp", descending: bool = True) -> None:
-    """Writes ``t`` in runs of about ``rows`` rows; their bounds are drawn by Spark's range partitioning."""
-    runs = max(1, -(-t.count() // rows))
-    dealt = t.repartitionByRange(runs, *_order(order_by, descending)).withColumn(RUN, F.spark_partition_id())
-    dealt.sortWithinPartitions(RUN, *_order(order_by, descending)).write.mode("overwrite").partitionBy(RUN).parquet(f"{path}/rows")
+    """Writes ``t`` in runs of ``rows`` rows, the last one of a part shorter; the parts' bounds are drawn by Spark's range partitioning."""
+    parts = max(1, -(-t.count() // max(rows, PART_ROWS)))
+    order = _order(order_by, descending)
+    dealt = t.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id()).sortWithinPartitions(PART, *order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACES) - 1))
+    dealt = dealt.withColumn(RUN, F.shiftleft(F.col(PART).cast("bigint"), _PLACES) + F.floor(place / rows))
+    dealt.write.mode("overwrite").option("parquet.page.row.count.limit", min(rows, PAGE_ROWS)).partitionBy(PART).parquet(f"{path}/rows")
     dealt.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
-    counts = _rows(t.sparkSession, path).groupBy(RUN).agg(F.count("*").alias("n"))
-    # one row for each million of the table's
-    before = F.coalesce(F.sum("n").over(W.orderBy(RUN).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts.select(
-        RUN, "n", before.alias("before"), F.lit(order_by).alias("order_by"), F.lit(descending).alias("descending"),
-    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/runs")
+    counts = _rows(t.sparkSession, path).groupBy(PART, RUN).agg(F.count("*").alias("n"))
+    # one row a part
+    whole = counts.groupBy(PART).agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(whole.select(PART, before.alias("start")))
+    inside = F.col(RUN).bitwiseAND(F.lit((1 << _PLACES) - 1)) * rows
+    counts.join(starts, PART).select(
+        RUN, "n", (F.col("start") + inside).alias("before"), F.lit(order_by).alias("order_by"), F.lit(descending).alias("descending"),
+    ).write.mode("overwrite").parquet(f"{path}/runs")
 
 
 def page_of_runs(spark: SparkSession, path: str, page: int = 1, page_size: int = 50) -> DataFrame:
@@ -44,9 +57,10 @@ def page_of_runs(spark: SparkSession, path: str, page: int = 1, page_size: int =
     named = spark.read.parquet(f"{path}/runs").filter(touches).orderBy("before").collect()  # no more runs than a page has rows
     rows = _rows(spark, path)
     if not named:
-        return rows.drop(RUN).filter(F.lit(False))
-    opened = rows.filter(F.col(RUN).isin([r[RUN] for r in named]))
-    return opened.orderBy(*_order(named[0]["order_by"], named[0]["descending"])).offset(skip - named[0]["before"]).limit(page_size).drop(RUN)
+        return rows.drop(RUN, PART).filter(F.lit(False))
+    first, last = named[0], named[-1]
+    opened = rows.filter(F.col(PART).between(first[RUN] >> _PLACES, last[RUN] >> _PLACES) & F.col(RUN).between(first[RUN], last[RUN]))
+    return opened.orderBy(*_order(first["order_by"], first["descending"])).offset(skip - first["before"]).limit(page_size).drop(RUN, PART)
 
 
 def page_info_of_runs(spark: SparkSession, path: str, page_size: int = 50) -> DataFrame:

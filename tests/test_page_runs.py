@@ -42,3 +42,20 @@ def test_empty(spark, t, tmp_path):
     page_runs.write_runs(t.limit(0), path)
     assert page_runs.page_info_of_runs(spark, path).first() == (0, 0)
     assert page_runs.page_of_runs(spark, path, 1, 50).collect() == [] and page_runs.page_of_runs(spark, path).columns == t.columns
+
+
+def test_short_runs_make_no_tasks_of_their_own(spark, t, tmp_path):
+    path = str(tmp_path / "runs")
+    page_runs.write_runs(t, path, rows=5)
+    assert len([*(tmp_path / "runs" / "rows").rglob("*.parquet")]) <= 2
+    assert spark.read.parquet(f"{path}/runs").count() == 201
+    assert [r.event_id for r in page_runs.page_of_runs(spark, path, 7, 20).collect()] == [r.event_id for r in search.page(t, 7, 20).collect()]
+
+
+def test_pages_across_parts(spark, t, tmp_path, monkeypatch):
+    monkeypatch.setattr(page_runs, "PART_ROWS", 200)
+    path = str(tmp_path / "runs")
+    page_runs.write_runs(t, path, rows=30)
+    assert len([*(tmp_path / "runs" / "rows").glob("page_part=*")]) > 3
+    for number, size in ((1, 50), (5, 50), (21, 50), (2, 300), (1, 2000), (40, 50)):
+        assert [r.event_id for r in page_runs.page_of_runs(spark, path, number, size).collect()] == [r.event_id for r in search.page(t, number, size).collect()]
