@@ -1,18 +1,19 @@
 """Language-model scores by online logistic context mixing, beside an add-one unigram base.
 
 A text is cut into segments: a word and the white-space byte after it, the last one with byte 0xFF, which no UTF-8 text holds, for the end.
-Segments end themselves, so the text's probability is the product of theirs. Contexts reach back to the segment's start; equal
-segments are therefore scored once, over the table of distinct segments, which Spark counts over all training documents.
+Segments end themselves, so the text's probability is the product of theirs, each given what stands before it: the three bytes and the last
+word. Equal segments after equal ones are scored once, over the table of distinct units (what stands before, segment), which Spark counts
+over all training documents.
 
-A segment's bytes are coded bit by bit. Predictors look the bit up under hashed contexts: the last byte, two, three, and the whole
-segment so far. Each keeps counts of zeros and ones in slots of a table; their logits are added up under weights that a gate picks (bit of
+A segment's bytes are coded bit by bit. Predictors look the bit up under hashed contexts: the last byte, two, three (of the text, also
+across words), the segment so far, and the segment so far after the word before it. Each keeps counts of zeros and ones in slots of a table; their logits are added up under weights that a gate picks (bit of
 the byte, longest context met before), and a last table, by gate and probability, refines the sum.
 
-Learning is online: each task runs over its part of the segments, predicts before it counts, and moves weights along the
-error. Counts are summed up over all tasks block by block, in a tree of bounded groups; weights are averaged. What reaches the driver
+Learning is online: each task runs over its part of the units, predicts before it counts, and moves weights along the
+error, once for an occurrence. Counts are summed up over all tasks block by block, in a tree of bounded groups; weights are averaged. What reaches the driver
 and the tasks is the finished table, of a size fixed by TABLES; collisions, not dropped contexts, are what its bound costs.
 
-Segments met most are scored from a broadcast table of HOT rows; the rest are joined with all scores by hash.
+Units met most are scored from a broadcast table of HOT rows; the rest are joined with all scores by hash.
 
 Base: words in lower case (A-Z), then one end; sum of log10((c + 1) / (N + V + 1)).
 
@@ -36,8 +37,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from logmeld.llm.common import written
 
-#: log2 of the slots of each predictor: one byte, two, three, the segment so far.
-TABLES = (16, 20, 21, 22)
+#: log2 of the slots of each predictor: one byte, two, three, the segment so far, the same after the word before.
+TABLES = (16, 20, 21, 22, 22)
 ORDERS = len(TABLES)
 BASES = np.concatenate([[0], np.cumsum([1 << b for b in TABLES])])
 SLOTS = int(BASES[-1])
@@ -52,11 +53,16 @@ RATE = 0.5
 BATCH = 2048
 HOT = 100_000
 FOLDS, HELD_OUT = 7, 2
-#: Distinct segments that a task holds before it hands them on.
+#: Distinct units that a task holds before it hands them on.
 FLUSH = 400_000
 #: Partial tables that one task of the tree adds up.
 FAN = 32
 END = b"\xff"
+#: Bytes before a segment that its first bits see; a text begins after bytes that no UTF-8 text holds.
+TAIL = 3
+START = b"\xff" * TAIL
+#: What stands before a segment: a hash of the last word, and the last bytes.
+BEFORE = 8 + TAIL
 
 _SEGMENT = re.compile(rb"[^\x20\x09-\x0d]*[\x20\x09-\x0d]|[^\x20\x09-\x0d]+\Z")
 _WHITE = b" \t\n\x0b\x0c\r\xff"
@@ -72,6 +78,17 @@ def segments(text: bytes | None) -> list[bytes]:
     return out
 
 
+def units(text: bytes | None) -> list[bytes]:
+    """Each segment of the text after BEFORE bytes on what stands before it."""
+    out, word, tail = [], bytes(8), START
+    for segment in segments(text):
+        out.append(word + tail + segment)
+        if len(segment) > 1:
+            word = xxhash.xxh64_digest(segment[:-1])
+        tail = segment[-TAIL:] if len(segment) >= TAIL else (tail + segment)[-TAIL:]
+    return out
+
+
 def _signed(h: int) -> int:
     return h - 2**64 if h >= 2**63 else h
 
@@ -81,21 +98,22 @@ def _word(segment: bytes) -> bytes | None:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct segments of a task with their training occurrences and all."""
+    """Distinct units of a task with their training occurrences and all."""
     train, every = Counter(), Counter()
 
     def out():
         keys = list(every)
+        before, keys = [k[:BEFORE] for k in keys], [k[BEFORE:] for k in keys]
         words = [_word(k) for k in keys]
         return pa.RecordBatch.from_arrays([
-            pa.array([_signed(xxhash.xxh64_intdigest(k)) for k in keys], pa.int64()), pa.array(keys, pa.binary()),
+            pa.array([_signed(xxhash.xxh64_intdigest(k)) for k in every], pa.int64()), pa.array(before, pa.binary()), pa.array(keys, pa.binary()),
             pa.array([None if w is None else _signed(xxhash.xxh64_intdigest(w)) for w in words], pa.int64()),
-            pa.array([train[k] for k in keys], pa.int64()), pa.array([every[k] for k in keys], pa.int64()),
-        ], ["h", "segment", "w", "n_train", "n_all"])
+            pa.array([train[k] for k in every], pa.int64()), pa.array([*every.values()], pa.int64()),
+        ], ["h", "before", "segment", "w", "n_train", "n_all"])
 
     for batch in batches:
         for text, held in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("held_out").to_pylist()):
-            found = segments(text)
+            found = units(text)
             every.update(found)
             if not held:
                 train.update(found)
@@ -106,13 +124,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _bits(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit of the segments: slots (bits x ORDERS), the bit, and the segment's number."""
+def _bits(parts: list[bytes], before: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each bit of the segments: slots (bits x ORDERS), the bit, and the segment's number. Without ``before`` they begin a text."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
     start = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
     at = np.arange(len(data))
-    back = [np.where(at - k >= start, data[np.maximum(at - k, 0)] + np.uint64(1), np.uint64(0)) for k in (1, 2, 3)]
+    known = np.frombuffer(b"".join(before or [bytes(8) + START] * len(parts)), np.uint8).reshape(-1, BEFORE)
+    tail = known[:, 8:].astype(np.uint64)
+    of = np.repeat(np.arange(len(parts)), sizes)
+    back = [np.where(at - k >= start, data[np.maximum(at - k, 0)], tail[of, np.clip(TAIL + at - start - k, 0, TAIL - 1)]) + np.uint64(1) for k in (1, 2, 3)]
     # a hash of the segment up to here: sums of mixed bytes, less the sum before the segment
     turn = (at - start + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     mixed = (data + np.uint64(1)) * ((turn ^ (turn >> np.uint64(32))) | np.uint64(1))
@@ -120,7 +141,8 @@ def _bits(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
     prefix = sums[at] - sums[start] + (at - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     two = back[0] + back[1] * np.uint64(257)
-    contexts = [back[0], two, two + back[2] * np.uint64(66049), prefix]
+    last = np.ascontiguousarray(known[:, :8]).view("<u8").reshape(-1).astype(np.uint64)[of]
+    contexts = [back[0], two, two + back[2] * np.uint64(66049), prefix, (prefix ^ (last * _MUL)) * np.uint64(0x94D049BB133111EB)]
     shifts = np.arange(8, dtype=np.uint64)
     node = (data[:, None] | np.uint64(256)) >> (np.uint64(8) - shifts)  # 1, then the bits before this one
     bit = ((data[:, None] >> (np.uint64(7) - shifts)) & np.uint64(1)).astype(np.float32).reshape(-1)
@@ -130,7 +152,7 @@ def _bits(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         slots[:, k] = (x >> np.uint64(64 - size)).reshape(-1).astype(np.int64) + BASES[k]
-    return slots, bit, np.repeat(np.arange(len(parts)), sizes * 8)
+    return slots, bit, np.repeat(of, 8)
 
 
 def _stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -183,10 +205,10 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             maps[b] += np.bincount(place, share * (bit == b), GATES * BUCKETS).reshape(GATES, BUCKETS)
 
     for batch in batches:
-        parts, times = batch.column("segment").to_pylist(), batch.column("n_train").to_numpy()
+        parts, before, times = batch.column("segment").to_pylist(), batch.column("before").to_pylist(), batch.column("n_train").to_numpy()
         for a in range(0, len(parts), BATCH):
             some, n = parts[a : a + BATCH], times[a : a + BATCH].astype(np.float64)
-            slots, bit, of = _bits(some)
+            slots, bit, of = _bits(some, before[a : a + BATCH])
             step(slots, bit, np.ones(len(bit), np.float32))
             for b in (0, 1):
                 here = bit == b
@@ -194,7 +216,7 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again = n[of] > 1
             if again.any():  # what later occurrences meet
                 keep = np.flatnonzero(again)
-                step(slots[keep], bit[keep], np.log2(n[of[keep]]))
+                step(slots[keep], bit[keep], (n[of[keep]] - 1))
             weight += float(n.sum())
     if not weight:
         return
@@ -255,9 +277,9 @@ class Model:
     def __init__(self, logits: np.ndarray, levels: np.ndarray, weights: np.ndarray, maps: np.ndarray):
         self.logits, self.levels, self.weights, self.maps = logits, levels, weights.astype(np.float32), maps
 
-    def log10(self, parts: list[bytes]) -> np.ndarray:
-        """log10 of each segment's probability."""
-        slots, bit, of = _bits(parts)
+    def log10(self, parts: list[bytes], before: list[bytes] | None = None) -> np.ndarray:
+        """log10 of each segment's probability after what stands before it."""
+        slots, bit, of = _bits(parts, before)
         inputs = self.logits[slots].astype(np.float32)
         gate = _gate(self.levels[slots])
         x = (inputs * self.weights[gate]).sum(1)
@@ -266,8 +288,9 @@ class Model:
 
 
 def train(table: DataFrame) -> Model:
-    """From (segment, n_train) with n_train > 0."""
-    parts = written(table.filter("n_train > 0").select("segment", "n_train").mapInArrow(_learned, _PART), "lm-parts")
+    """From (segment, n_train), and what stands ``before`` where it is known, with n_train > 0."""
+    before = "before" if "before" in table.columns else F.lit(bytearray(bytes(8) + START)).alias("before")
+    parts = written(table.filter("n_train > 0").select(before, "segment", "n_train").mapInArrow(_learned, _PART), "lm-parts")
     most = parts.agg(F.max("part")).first()[0]
     while most:
         parts = parts.withColumn("part", F.expr(f"part div {FAN}"))
@@ -297,29 +320,29 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     fold = F.pmod(F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     held = fold == HELD_OUT
 
-    # distinct segments, words and their counts
+    # distinct units, words and their counts
     cut = docs.select(F.col(f"`{text}`").alias("text"), held.alias("held_out")).mapInArrow(
-        _counted, "h long, segment binary, w long, n_train long, n_all long")
+        _counted, "h long, before binary, segment binary, w long, n_train long, n_all long")
     table = written(cut.groupBy("h").agg(
-        F.first("segment").alias("segment"), F.first("w").alias("w"), F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")), "lm-segments")
+        F.first("before").alias("before"), F.first("segment").alias("segment"), F.first("w").alias("w"), F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")), "lm-segments")
     words = written(table.filter("w is not null").groupBy("w").agg(F.sum("n_train").alias("c")), "lm-words")
     n, v = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = docs.filter(~held).count()
     n, v = n + ends, v + (ends > 0)
 
-    # every distinct segment scored once
+    # every distinct unit scored once
     model = spark.sparkContext.broadcast(train(table))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, values = batch.column("segment").to_pylist(), []
+            parts, before, values = batch.column("segment").to_pylist(), batch.column("before").to_pylist(), []
             for a in range(0, len(parts), 4096):
-                values.append(model.value.log10(parts[a : a + 4096]))
+                values.append(model.value.log10(parts[a : a + 4096], before[a : a + 4096]))
             ls = np.concatenate(values) if values else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("h", "w", "n_all")], pa.array(ls, pa.float64())], ["h", "w", "n_all", "ls"])
 
-    by_segment = table.select("h", "segment", "w", "n_all").mapInArrow(scored, "h long, w long, n_all long, ls double")
+    by_segment = table.select("h", "before", "segment", "w", "n_all").mapInArrow(scored, "h long, w long, n_all long, ls double")
     by_segment = by_segment.join(words, "w", "left").select(
         "h", "n_all", "ls", F.log10(F.coalesce("c", F.lit(0)) + 1).alias("lc"), (F.coalesce("c", F.lit(0)) > 0).cast("int").alias("known"))
     by_segment = written(by_segment, "lm-scores")
@@ -332,7 +355,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for batch in batches:
             rows = []
             for t in batch.column("text").cast(pa.binary()).to_pylist():
-                found = Counter(segments(t))
+                found = Counter(units(t))
                 keys = []
                 for s in found:
                     k = hashes.get(s)
@@ -345,7 +368,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 at = np.minimum(np.searchsorted(h, keys), max(len(h) - 1, 0))
                 there = h[at] == keys if len(h) else np.zeros(len(keys), bool)
                 at, n_here = at[there], times[there]
-                worded = sum(n for s, n in found.items() if len(s) > 1)
+                worded = sum(n for s, n in found.items() if len(s) > BEFORE + 1)
                 rows.append((len(t or b""), worded + 1, int((known[at] * n_here).sum()), float((lc[at] * n_here).sum()), float((ls[at] * n_here).sum()),
                              keys[~there], times[~there]))
             columns = list(zip(*rows)) if rows else [()] * 7

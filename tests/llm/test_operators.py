@@ -306,6 +306,30 @@ def test_lm_is_a_distribution_and_learns(spark):
     assert model.log10([b"the "])[0] > model.log10([b"xqz "])[0]
 
 
+def test_lm_sees_the_words_before(spark):
+    words = ["red", "green", "blue", "black", "white", "brown", "grey", "pink"]
+    texts = [" ".join(words[(i + k) % 8] for k in range(40)) for i in range(60)]
+    mixed = " ".join(sorted(texts[0].split(), key=lambda w: hash_of(w)))
+    rows = spark.createDataFrame([*enumerate(texts), (1000, texts[3]), (1001, mixed)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in mix_lm.score_documents(rows).collect()}
+    assert got[1000] > got[1001] + 10 and got[1000] == pytest.approx(got[3])
+
+
+def hash_of(word):
+    return sum(ord(x) * 31 ** i for i, x in enumerate(word)) % 101
+
+
+def test_units_know_what_stands_before():
+    found = mix_lm.units(b"ab  cde f")
+    tails, parts = [u[8:mix_lm.BEFORE] for u in found], [u[mix_lm.BEFORE:] for u in found]
+    assert parts == mix_lm.segments(b"ab  cde f") and tails == [b"\xff" * 3, b"ab ", b"b  ", b"de "]
+    assert found[0][:8] == bytes(8) and found[1][:8] == found[2][:8] != found[3][:8]
+    # a byte's contexts are the same wherever the text is cut into segments
+    slots = mix_lm._bits(parts, [u[: mix_lm.BEFORE] for u in found])[0][:, :3]
+    whole = mix_lm._bits([b"".join(parts)])[0][:, :3]
+    assert (slots == whole).all()
+
+
 def test_segments_rebuild_the_text():
     for t in fx.texts():
         raw = (t or "").encode()
