@@ -41,8 +41,8 @@ WORDS = -(-MINIMA // 64)
 PAD = 64 * WORDS - MINIMA
 #: Estimates are this far off, or more, once in a thousand million pairs.
 SLACK = 0.25
-#: Members of a bucket in one block of step 4, on either side.
-BLOCK = 256
+#: Members of a bucket in one block of step 4, on either side, and the shingles they hold (8 bytes each).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Ids that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -185,14 +185,14 @@ def _one_of_each(rows: DataFrame) -> DataFrame:
 
 def class_links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between classes: enough to connect each component."""
-    rows = signed.filter("n > 0").select("cid", F.explode("bands").alias("bkey"))
+    rows = signed.filter("n > 0").select("cid", "n", F.explode("bands").alias("bkey"))
     shared = rows.groupBy("bkey").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo <> hi").select("bkey")
     shared = written(shared, "near-shared")
     rows = written(rows.join(shared, "bkey", "left_semi").distinct(), "near-rows")
     rows = written(_one_of_each(rows), "near-rows")
 
     # full sets of the classes in these buckets, each from one of its documents
-    met = written(rows.groupBy("cid").agg(F.sum("size").alias("met")), "near-met")
+    met = written(rows.groupBy("cid").agg(F.sum("size").alias("met"), F.first("n").alias("n"), F.collect_list("bkey").alias("bkeys")), "near-met")  # BANDS keys at most
     few = met.count() <= BROADCAST_IDS
     bound = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     chosen = signed.join(bound(met.select("cid")), "cid", "left_semi").groupBy("cid").agg(
@@ -203,9 +203,9 @@ def class_links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     sets = written(sets.dropDuplicates(["cid"]), "near-sets")
 
     # the pivot of each bucket with the others
-    rows = written(rows.join(met, "cid"), "near-rows")
+    rows = met.select("cid", "n", "met", F.explode("bkeys").alias("bkey"))
     pivots = written(rows.groupBy("bkey").agg(F.max_by("cid", F.struct("met", "cid")).alias("pivot")), "near-pivots")
-    rows = rows.join(pivots, "bkey").filter("cid <> pivot").select("bkey", "cid", "pivot")
+    rows = rows.join(pivots, "bkey").filter("cid <> pivot").select("bkey", "cid", "n", "pivot")
     pairs = rows.select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
     side = lambda c: chosen.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("planes").alias(f"p_{c}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(
@@ -218,23 +218,24 @@ def class_links(signed: DataFrame, docs: DataFrame) -> DataFrame:
 
     # what is left in buckets of several components
     roots = written(components(edges), "near-roots")
-    rows = rows.join(roots, F.col("cid") == F.col("node"), "left").select("bkey", "cid", F.coalesce("root", "cid").alias("root"))
+    rows = rows.join(roots, F.col("cid") == F.col("node"), "left").select("bkey", "cid", "n", F.coalesce("root", "cid").alias("root"))
     rows = written(rows, "near-open")
-    tally = rows.groupBy("bkey", "root").agg(F.count(F.lit(1)).alias("k"))
-    still = tally.groupBy("bkey").agg(
-        F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("others"), F.count(F.lit(1)).alias("roots"))
-    still = written(still.filter("roots > 1").select("bkey", "main", "others"), "near-open")
+    tally = rows.groupBy("bkey", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    most = F.max_by(F.struct("root", "k", "n"), F.struct("k", "root"))
+    still = tally.groupBy("bkey").agg(most.alias("most"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"))
+    parts = lambda k, n: F.greatest(F.ceil(k / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    still = written(still.filter("roots > 1").select(
+        "bkey", F.col("most.root").alias("main"), parts(F.col("k"), F.col("n")).alias("i_parts"),
+        parts(F.col("k") - F.col("most.k"), F.col("n") - F.col("most.n")).alias("j_parts")), "near-open")
     rows = written(rows.join(still, "bkey"), "near-open")
     # each member once for each block of the smaller components' members, these once for each block of all
     opened = _one_of_each(rows.select("bkey", "cid")).join(rows, ["bkey", "cid"])
-    opened = opened.withColumn("i_parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn(
-        "j_parts", F.ceil(F.col("others") / BLOCK).cast("int"))
     own = lambda parts: F.pmod(F.xxhash64("cid", "bkey"), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     whole = opened.select("bkey", "cid", "root", F.lit(False).alias("rest"), own("i_parts").alias("i"), every("j_parts").alias("j"))
     smaller = opened.filter("root <> main").select(
         "bkey", "cid", "root", F.lit(True).alias("rest"), own("j_parts").alias("j"), every("i_parts").alias("i"))
-    opened = whole.unionByName(smaller).join(chosen.select("cid", "n", "planes"), "cid").join(sets, "cid")
+    opened = whole.unionByName(smaller).join(written(chosen.select("cid", "n", "planes").join(sets, "cid"), "near-members"), "cid")
     more = opened.groupBy("bkey", "i", "j").applyInPandas(_block_links, "a long, b long")
     return edges.unionByName(written(more, "near-more"))
 

@@ -218,6 +218,25 @@ def test_block_search_links_what_pivots_leave(monkeypatch, spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == fx.groups(pairs, sets)
 
 
+def test_blocks_are_bounded_by_shingles_too(monkeypatch, spark):
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
+    block_links = near_dup._block_links
+
+    def bounded(group):
+        if group.drop_duplicates(["cid", "rest"]).groupby("rest")["n"].sum().max() > 1200:  # some 2,200 in the whole bucket
+            raise ValueError("a block holds most of the bucket")
+        return block_links(group)
+
+    monkeypatch.setattr(near_dup, "_block_links", bounded)
+    base, rows = [f"t{k}" for k in range(100)], []
+    for k in range(30):
+        rows.append((k, " ".join(f"c{k + j}" if j % 10 == 0 else base[j] for j in range(100 - k))))
+    sets = {i: fx.shingles(t) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == fx.groups(pairs, sets)
+
+
 def test_quality_counts_and_verdicts(docs, none):
     got = line_quality.quality(docs).collect()
     for r in got:
