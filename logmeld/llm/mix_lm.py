@@ -53,8 +53,8 @@ RATE = 0.5
 BATCH = 2048
 HOT = 100_000
 FOLDS, HELD_OUT = 7, 2
-#: Distinct units that a task holds before it hands them on.
-FLUSH = 400_000
+#: Distinct units that a task holds before it hands them on, some 400 bytes each, and how many of them make a batch.
+FLUSH, HANDED = 200_000, 20_000
 #: Partial tables that one task of the tree adds up.
 FAN = 32
 END = b"\xff"
@@ -101,27 +101,33 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct units of a task with their training occurrences and all."""
     train, every = Counter(), Counter()
 
-    def out():
-        keys = list(every)
-        before, keys = [k[:BEFORE] for k in keys], [k[BEFORE:] for k in keys]
+    def out(found):
+        before, keys = [k[:BEFORE] for k in found], [k[BEFORE:] for k in found]
         words = [_word(k) for k in keys]
         return pa.RecordBatch.from_arrays([
-            pa.array([_signed(xxhash.xxh64_intdigest(k)) for k in every], pa.int64()), pa.array(before, pa.binary()), pa.array(keys, pa.binary()),
+            pa.array([_signed(xxhash.xxh64_intdigest(k)) for k in found], pa.int64()), pa.array(before, pa.binary()), pa.array(keys, pa.binary()),
             pa.array([None if w is None else _signed(xxhash.xxh64_intdigest(w)) for w in words], pa.int64()),
-            pa.array([train[k] for k in every], pa.int64()), pa.array([*every.values()], pa.int64()),
+            pa.array([train[k] for k in found], pa.int64()), pa.array([every[k] for k in found], pa.int64()),
         ], ["h", "before", "segment", "w", "n_train", "n_all"])
 
+    def handed():
+        keys = list(every)
+        for a in range(0, len(keys), HANDED):
+            yield out(keys[a : a + HANDED])
+        train.clear()
+        every.clear()
+
     for batch in batches:
         for text, held in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("held_out").to_pylist()):
-            found = units(text)
-            every.update(found)
-            if not held:
-                train.update(found)
-        if len(every) >= FLUSH:
-            yield out()
-            train, every = Counter(), Counter()
-    if every:
-        yield out()
+            whole = units(text)
+            for a in range(0, len(whole), FLUSH):
+                found = whole[a : a + FLUSH]
+                every.update(found)
+                if not held:
+                    train.update(found)
+                if len(every) >= FLUSH:
+                    yield from handed()
+    yield from handed()
 
 
 def _bits(parts: list[bytes], before: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -346,7 +352,14 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     by_segment = by_segment.join(words, "w", "left").select(
         "h", "n_all", "ls", F.log10(F.coalesce("c", F.lit(0)) + 1).alias("lc"), (F.coalesce("c", F.lit(0)) > 0).cast("int").alias("known"))
     by_segment = written(by_segment, "lm-scores")
-    top = by_segment.orderBy(F.desc("n_all"), "h").limit(HOT).select("h", "ls", "lc", "known").toPandas().sort_values("h")
+    # the most frequent, by steps of n_all: the HOT first of each task would meet in the driver
+    step, cut, sizes = F.floor(F.log2("n_all") * 8), 8 * 64, 0
+    for at, size in sorted(by_segment.groupBy(step).count().collect(), reverse=True):
+        sizes += size
+        if sizes > HOT:
+            break
+        cut = at
+    top = by_segment.filter(step >= cut).select("h", "ls", "lc", "known").toPandas().sort_values("h")
     hot = spark.sparkContext.broadcast({c: top[c].to_numpy() for c in top.columns})
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

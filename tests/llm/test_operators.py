@@ -349,6 +349,33 @@ def test_units_know_what_stands_before():
     assert (slots == whole).all()
 
 
+def test_units_are_handed_on_within_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(mix_lm, "FLUSH", 50)
+    monkeypatch.setattr(mix_lm, "HANDED", 20, raising=False)
+    texts = [" ".join(f"w{k * 9 + j}" for j in range(10)) for k in range(60)] + [" ".join(f"x{j}" for j in range(400))] + ["", None, "a a a"]
+    held = [k % 3 == 0 for k in range(len(texts))]
+    found = [*mix_lm._counted(iter([pa.RecordBatch.from_pydict({"text": texts, "held_out": held})]))]
+    assert len(found) > 30 and max(b.num_rows for b in found) <= 20
+    want = [Counter(), Counter()]
+    for text, out in zip(texts, held):
+        for k in (0, 1)[: 1 if out else 2]:
+            want[k].update(mix_lm.units((text or "").encode()))
+    got = [Counter(), Counter()]
+    for row in (r for b in found for r in b.to_pylist()):
+        for k, name in enumerate(("n_all", "n_train")):
+            got[k][row["before"] + row["segment"]] += row[name]
+    assert got[0] == want[0] and +got[1] == want[1]
+
+
+def test_lm_scores_do_not_depend_on_what_is_broadcast(monkeypatch, docs):
+    want = {r["doc_id"]: (r["n_known"], r["score"]) for r in mix_lm.score_documents(docs).collect() if r["doc_id"] is not None}
+    monkeypatch.setattr(mix_lm, "HOT", 3)
+    got = {r["doc_id"]: (r["n_known"], r["score"]) for r in mix_lm.score_documents(docs).collect() if r["doc_id"] is not None}
+    assert got == {i: (n, pytest.approx(x)) for i, (n, x) in want.items()}
+
+
 def test_segments_rebuild_the_text():
     for t in fx.texts():
         raw = (t or "").encode()
