@@ -41,3 +41,10 @@ def test_a_present_value_reads_its_row_groups(table):
     assert rows_read(found) < n / 2 and found.count() == 1
     address = table.filter("source_ip is not null").first().source_ip
     assert search.by_ip(table, source_ip=address).count() == table.filter(table.source_ip == address).count() > 0
+
+
+def test_filters_are_as_large_as_their_values_need(spark, tmp_path):
+    path = tmp_path / "t"
+    writers.write_lookup(inputs.events(spark, SF), str(path))  # some hundred rows a file; filters for 500,000 take 0.5 MB a column
+    files = [f.stat().st_size for f in path.rglob("*.parquet")]
+    assert files and max(files) < 400_000
