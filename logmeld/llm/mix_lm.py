@@ -2,20 +2,19 @@
 
 A text is cut into segments: a word and the white-space byte after it, the last one with byte 0xFF, which no UTF-8 text holds, for the end.
 Segments end themselves, so the text's probability is the product of theirs, each given what stands before it: the three bytes and the last
-word. Equal segments after equal ones are scored once, over the table of distinct units (what stands before, segment), which Spark counts
-over all training documents.
+word. Equal segments after equal ones (units) are learned and scored once within FLUSH bytes of texts: most units of a corpus are rare, and
+tables of them, counted and joined by Spark, were larger than the texts. Tasks learn from texts and score texts; only finished sums leave them.
 
 A segment's bytes are coded bit by bit. Predictors look the bit up under hashed contexts: the last byte, two, three (of the text, also
 across words), the segment so far, and the segment so far after the word before it. Each keeps counts of zeros and ones in slots of a table; their logits are added up under weights that a gate picks (bit of
 the byte, longest context met before), and a last table, by gate and probability, refines the sum.
 
-Learning is online: each task runs over its part of the units, predicts before it counts, and moves weights along the
+Learning is online: each task runs over its part of the texts, predicts before it counts, and moves weights along the
 error, once for an occurrence. Counts are summed up over all tasks block by block, in a tree of bounded groups; weights are averaged. What reaches the driver
 and the tasks is the finished table, of a size fixed by TABLES; collisions, not dropped contexts, are what its bound costs.
 
-Units met most are scored from a broadcast table of HOT rows; the rest are joined with all scores by hash.
-
-Base: words in lower case (A-Z), then one end; sum of log10((c + 1) / (N + V + 1)).
+Base: words in lower case (A-Z), then one end; sum of log10((c + 1) / (N + V + 1)). Words met most are looked up in a broadcast table of HOT
+rows; the rest are joined with all words by hash.
 
 Defined cases: null texts are empty: an end alone. A null id counts as the empty string. Equal rows are rows of their own.
 Without training documents all counts are 0. Empty tables give empty tables. Extra columns pass through ``score_documents``.
@@ -23,19 +22,17 @@ Without training documents all counts are 0. Empty tables give empty tables. Ext
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from logmeld.llm.common import written
+from logmeld.llm.packed_ids import slices
 
 #: log2 of the slots of each predictor: one byte, two, three, the segment so far, the same after the word before.
 TABLES = (16, 20, 21, 22, 22)
@@ -43,18 +40,17 @@ ORDERS = len(TABLES)
 BASES = np.concatenate([[0], np.cumsum([1 << b for b in TABLES])])
 SLOTS = int(BASES[-1])
 BLOCK = 1 << 16
-#: Steps of how often a context was met (finer ones scored held-out texts worse), and gates: bit of the byte, longest known
-#: context, its step.
-MET = (1,)
-LEVELS = len(MET)
-GATES = 8 * (ORDERS * LEVELS + 1)
+#: Gates: bit of the byte, longest context met.
+LONGEST = ORDERS + 1
+GATES = 8 * LONGEST
 BUCKETS = 33
 RATE = 0.5
-BATCH = 2048
+#: Units between two steps of the weights, and between two of the counts at most: the first block has BATCH, each next one twice as many.
+BATCH, BLOCKED = 2048, 16_384
 HOT = 100_000
 FOLDS, HELD_OUT = 7, 2
-#: Distinct units that a task holds before it hands them on, some 400 bytes each, and how many of them make a batch.
-FLUSH, HANDED = 200_000, 20_000
+#: Bytes of texts that a task cuts at once, or one text, and how many distinct units of them make a batch.
+FLUSH, HANDED = 2_000_000, 8_192
 #: Partial tables that one task of the tree adds up.
 FAN = 32
 END = b"\xff"
@@ -64,118 +60,219 @@ START = b"\xff" * TAIL
 #: What stands before a segment: a hash of the last word, and the last bytes.
 BEFORE = 8 + TAIL
 
-_SEGMENT = re.compile(rb"[^\x20\x09-\x0d]*[\x20\x09-\x0d]|[^\x20\x09-\x0d]+\Z")
-_WHITE = b" \t\n\x0b\x0c\r\xff"
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+#: A logit of 1 as the model keeps it; 0 is a context never met.
+SCALE = 1000
+
+_WHITE, _LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_WHITE[list(b" \t\n\x0b\x0c\r")] = True
+_LOWER[65:91] += 32
+_BYTE = np.arange(256)
+#: For each bit of each byte: 1, then the bits before this one; and the bit.
+_NODE = (_BYTE[:, None] | 256) >> (8 - np.arange(8))
+_BIT = ((_BYTE[:, None] >> (7 - np.arange(8))) & 1).astype(np.int32)
+_ZERO = 1.0 - _BIT
+_GATE = (np.arange(8) * LONGEST).astype(np.uint8)
+_MUL, _STEP, _SIZE, _LAST = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB))
+_29, _32 = np.uint64(29), np.uint64(32)
+
+
+def _sums(data: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Running sums of hashed bytes, each by its place in its segment: a difference of two is the hash of what lies between them."""
+    turn = np.arange(1, int(within.max(initial=0)) + 2).astype(np.uint64) * _STEP
+    x = ((turn ^ (turn >> _32)) | np.uint64(1))[within]
+    x *= data.astype(np.uint64) + np.uint64(1)
+    x ^= x >> _32
+    x *= _MUL
+    x ^= x >> _29
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(x, out=out[1:])
+    return out
 
 
-def segments(text: bytes | None) -> list[bytes]:
-    out = _SEGMENT.findall(text or b"")
-    if out and out[-1][-1:] not in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"):
-        out[-1] += END
-    else:
-        out.append(END)
-    return out
+def _hashed(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    x = (sums + sizes.astype(np.uint64) * _SIZE) * _STEP
+    x ^= x >> _32
+    x *= _MUL
+    return x ^ (x >> _29)
+
+
+class Cut:
+    """Units of some texts: ``data`` from ``starts`` on, ``sizes`` bytes each, the text they are ``of``, and what is ``known`` before them."""
+
+    def __init__(self, texts: list[bytes | None]):
+        texts = [t or b"" for t in texts]
+        self.data = data = np.frombuffer(END.join([*texts, b""]), np.uint8)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        begin = np.cumsum(lengths) - lengths
+        cut = _WHITE[data]
+        cut[begin + lengths - 1] = True
+        ends = np.flatnonzero(cut) + 1
+        self.starts = starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+        self.sizes = sizes = ends - starts
+        first = np.searchsorted(starts, begin)
+        self.of = of = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(starts))))
+        self.within = np.arange(len(data)) - np.repeat(starts, sizes)
+        sums = _sums(data, self.within)
+        word = _hashed(sums[ends - 1] - sums[starts], sizes - 1)
+        met = np.maximum.accumulate(np.where(sizes > 1, np.arange(len(starts)), -1))
+        met = np.concatenate([[-1], met[:-1]])[: len(starts)]
+        last = np.where(met >= first[of], word[np.maximum(met, 0)], np.uint64(0)) if len(starts) else word
+        self.known = np.full((len(starts), BEFORE), 0xFF, np.uint8)
+        self.known[:, :8] = np.ascontiguousarray(last, "<u8").view(np.uint8).reshape(-1, 8)
+        for k in range(1, TAIL + 1):
+            here = np.flatnonzero(starts - k >= begin[of])
+            self.known[here, BEFORE - k] = data[starts[here] - k]
+        tail = self.known[:, 8:].astype(np.uint64) @ np.array([1, 256, 65536], np.uint64)
+        self.keys = _hashed(_hashed(sums[ends] - sums[starts], sizes) ^ (last * _LAST), tail)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """(units with a word, hash of the word in lower case)."""
+        here = np.flatnonzero(self.sizes > 1)
+        sums = _sums(_LOWER[self.data], self.within)
+        begin, sizes = self.starts[here], self.sizes[here] - 1
+        return here, _hashed(sums[begin + sizes] - sums[begin], sizes).view(np.int64)
+
+    def bytes_of(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of some units, their sizes)."""
+        sizes = self.sizes[some]
+        return self.data[np.repeat(self.starts[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
 
 
 def units(text: bytes | None) -> list[bytes]:
     """Each segment of the text after BEFORE bytes on what stands before it."""
-    out, word, tail = [], bytes(8), START
-    for segment in segments(text):
-        out.append(word + tail + segment)
-        if len(segment) > 1:
-            word = xxhash.xxh64_digest(segment[:-1])
-        tail = segment[-TAIL:] if len(segment) >= TAIL else (tail + segment)[-TAIL:]
-    return out
+    cut = Cut([text])
+    raw = cut.data.tobytes()
+    return [k.tobytes() + raw[a : a + n] for k, a, n in zip(cut.known, cut.starts.tolist(), cut.sizes.tolist())]
 
 
-def _signed(h: int) -> int:
-    return h - 2**64 if h >= 2**63 else h
+def segments(text: bytes | None) -> list[bytes]:
+    return [u[BEFORE:] for u in units(text)]
 
 
-def _word(segment: bytes) -> bytes | None:
-    return segment[:-1].lower() or None
+def _binary(raw: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct units of a task with their training occurrences and all."""
-    train, every = Counter(), Counter()
-
-    def out(found):
-        before, keys = [k[:BEFORE] for k in found], [k[BEFORE:] for k in found]
-        words = [_word(k) for k in keys]
-        return pa.RecordBatch.from_arrays([
-            pa.array([_signed(xxhash.xxh64_intdigest(k)) for k in found], pa.int64()), pa.array(before, pa.binary()), pa.array(keys, pa.binary()),
-            pa.array([None if w is None else _signed(xxhash.xxh64_intdigest(w)) for w in words], pa.int64()),
-            pa.array([train[k] for k in found], pa.int64()), pa.array([every[k] for k in found], pa.int64()),
-        ], ["h", "before", "segment", "w", "n_train", "n_all"])
-
-    def handed():
-        keys = list(every)
-        for a in range(0, len(keys), HANDED):
-            yield out(keys[a : a + HANDED])
-        train.clear()
-        every.clear()
+def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, sizes) of a column without nulls."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], np.diff(at)
 
+
+def _cuts(column: pa.Array) -> Iterator[tuple[int, int, Cut]]:
+    """Texts from, to, and their units."""
+    column = column.cast(pa.binary())
+    for a, b in slices(column, FLUSH):
+        yield a, b, Cut(column.slice(a, b - a).to_pylist())
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct units of each FLUSH bytes of texts, with their training occurrences and all."""
     for batch in batches:
-        for text, held in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("held_out").to_pylist()):
-            whole = units(text)
-            for a in range(0, len(whole), FLUSH):
-                found = whole[a : a + FLUSH]
-                every.update(found)
-                if not held:
-                    train.update(found)
-                if len(every) >= FLUSH:
-                    yield from handed()
-    yield from handed()
+        held = np.array(batch.column("held_out").to_pylist(), bool)
+        for a, b, cut in _cuts(batch.column("text")):
+            _, one, which = np.unique(cut.keys, return_index=True, return_inverse=True)
+            every = np.bincount(which, minlength=len(one))
+            train = np.bincount(which[~held[a:b][cut.of]], minlength=len(one))
+            for k in range(0, len(one), HANDED):
+                some = one[k : k + HANDED]
+                yield pa.RecordBatch.from_arrays([
+                    _binary(cut.known[some], np.full(len(some), BEFORE)), _binary(*cut.bytes_of(some)),
+                    pa.array(train[k : k + HANDED], pa.int64()), pa.array(every[k : k + HANDED], pa.int64())], ["before", "segment", "n_train", "n_all"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each FLUSH bytes of texts, by the hash of their lower case, and their occurrences."""
+    for batch in batches:
+        for _, _, cut in _cuts(batch.column("text")):
+            w, times = np.unique(cut.words()[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(times, pa.int64())], ["w", "c"])
+
+
+class Bits:
+    """Slots of the bits of some segments' bytes. What several bytes share is looked up once: ``slots`` and ``own`` (a byte) of the last bytes with the
+    byte (three predictors), of the segment so far with it, and of all before with it; ``place`` finds them for each byte, None where they are the bytes."""
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, known: np.ndarray):
+        self.data = data
+        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        within = np.arange(len(data)) - start
+        self.of = of = np.repeat(np.arange(len(sizes)), sizes)
+        near = data.astype(np.uint32)
+        for k in range(1, TAIL + 1):
+            x = np.zeros(len(data), np.uint8)
+            x[k:] = data[:-k]
+            early = np.flatnonzero(within < k)
+            x[early] = known[of[early], BEFORE + within[early] - k]
+            near |= x.astype(np.uint32) << np.uint32(8 * k)
+        sums = _sums(data, within)
+        prefix = sums[:-1] - sums[start] + within.astype(np.uint64) * _SIZE
+        last = np.ascontiguousarray(known[:, :8]).view("<u8").reshape(-1).astype(np.uint64)[of]
+        near, at_near = np.unique(near, return_inverse=True)
+        so_far, at_far = np.unique((prefix + data.astype(np.uint64) * _LAST) * _MUL, return_inverse=True)
+        one = np.zeros(len(so_far), np.int64)
+        one[at_far] = np.arange(len(data))
+        self.place = [at_near, at_far, None]
+        self.own = [(near & np.uint32(255)).astype(np.uint8), data[one], data]
+        before = (near >> np.uint32(8)).astype(np.uint64)
+        self.slots = [
+            [self._of(0, before & np.uint64(0xFF)), self._of(1, before & np.uint64(0xFFFF)), self._of(2, before)], [self._of(3, prefix[one])],
+            [self._of(4, (prefix ^ (last * _MUL)) * _LAST)]]
+        for group, own in zip(self.slots, self.own):
+            node = _NODE[own]
+            for k, x in enumerate(group):
+                order = k if len(group) > 1 else 3 + (own is data)
+                group[k] = ((node + x[:, None]) & ((1 << TABLES[order]) - 1)) + BASES[order]
+
+    @staticmethod
+    def _of(order: int, context: np.ndarray) -> np.ndarray:
+        """Where the nodes of a context begin; the shortest contexts fill their table without collisions."""
+        if order == 0:
+            return (context << np.uint64(8)).astype(np.int64)
+        x = (context + np.uint64(1)) * _MUL
+        x ^= x >> _32
+        x *= _STEP
+        return (x >> np.uint64(64 - TABLES[order])).astype(np.int64)
+
+    def looked_up(self, logits) -> tuple[list[np.ndarray], np.ndarray]:
+        """(logits of each predictor, gates) of all bits; ``logits`` gives those of slots, and which of them were met."""
+        inputs, longest, order = [], np.zeros((len(self.data), 8), np.uint8), 0
+        for group, place in zip(self.slots, self.place):
+            most = None
+            for slots in group:
+                order += 1
+                x, met = logits(slots)
+                inputs.append(x if place is None else x.take(place, 0))
+                here = met.view(np.uint8) * np.uint8(order)
+                most = here if most is None else np.maximum(most, here)
+            np.maximum(longest, most if place is None else most.take(place, 0), out=longest)
+        longest += _GATE
+        return inputs, longest.astype(np.intp)
 
 
 def _bits(parts: list[bytes], before: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each bit of the segments: slots (bits x ORDERS), the bit, and the segment's number. Without ``before`` they begin a text."""
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    start = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    at = np.arange(len(data))
+    bits = Bits(*_listed(parts, before))
+    slots = [x if place is None else x[place] for group, place in zip(bits.slots, bits.place) for x in group]
+    return np.stack(slots, -1).reshape(-1, ORDERS), _BIT[bits.data].reshape(-1), np.repeat(bits.of, 8)
+
+
+def _listed(parts: list[bytes], before: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     known = np.frombuffer(b"".join(before or [bytes(8) + START] * len(parts)), np.uint8).reshape(-1, BEFORE)
-    tail = known[:, 8:].astype(np.uint64)
-    of = np.repeat(np.arange(len(parts)), sizes)
-    back = [np.where(at - k >= start, data[np.maximum(at - k, 0)], tail[of, np.clip(TAIL + at - start - k, 0, TAIL - 1)]) + np.uint64(1) for k in (1, 2, 3)]
-    # a hash of the segment up to here: sums of mixed bytes, less the sum before the segment
-    turn = (at - start + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    mixed = (data + np.uint64(1)) * ((turn ^ (turn >> np.uint64(32))) | np.uint64(1))
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * _MUL
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
-    prefix = sums[at] - sums[start] + (at - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    two = back[0] + back[1] * np.uint64(257)
-    last = np.ascontiguousarray(known[:, :8]).view("<u8").reshape(-1).astype(np.uint64)[of]
-    contexts = [back[0], two, two + back[2] * np.uint64(66049), prefix, (prefix ^ (last * _MUL)) * np.uint64(0x94D049BB133111EB)]
-    shifts = np.arange(8, dtype=np.uint64)
-    node = (data[:, None] | np.uint64(256)) >> (np.uint64(8) - shifts)  # 1, then the bits before this one
-    bit = ((data[:, None] >> (np.uint64(7) - shifts)) & np.uint64(1)).astype(np.float32).reshape(-1)
-    slots = np.empty((len(data) * 8, ORDERS), np.int64)
-    for k, (context, size) in enumerate(zip(contexts, TABLES)):
-        x = (context[:, None] * _MUL + node) * _MUL
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        slots[:, k] = (x >> np.uint64(64 - size)).reshape(-1).astype(np.int64) + BASES[k]
-    return slots, bit, np.repeat(of, 8)
+    return np.frombuffer(b"".join(parts), np.uint8), np.fromiter(map(len, parts), np.int64, len(parts)), known
 
 
 def _stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Logit of a slot's next bit being one."""
-    return np.log((ones + 0.1) / (zeros + 0.1)).astype(np.float32)
-
+    tenth = np.float32(0.1)
+    return np.log((ones.astype(np.float32) + tenth) / (zeros.astype(np.float32) + tenth))
 
-def _level(n: np.ndarray) -> np.ndarray:
-    return np.searchsorted(MET, n, side="right").astype(np.uint8)
 
-
-def _gate(levels: np.ndarray) -> np.ndarray:
-    """Bit of the byte, how many of the predictors, from the shortest context on, knew theirs, and how well the last of them did."""
-    seen = levels > 0
-    longest = np.where(seen.any(1), ORDERS - np.argmax(seen[:, ::-1], axis=1), 0)
-    level = levels[np.arange(len(levels)), np.maximum(longest - 1, 0)].astype(np.int64)
-    return (np.arange(len(levels)) % 8) * (ORDERS * LEVELS + 1) + np.where(longest > 0, (longest - 1) * LEVELS + level, 0)
+def _mixed(inputs: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return sum(x * w.take(gate) for x, w in zip(inputs, weights))
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -183,7 +280,7 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 def _bucket(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(x * 2) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int64)
+    return np.clip(x * 2 + (BUCKETS // 2 + 0.5), 0, BUCKETS - 1).astype(np.int64)
 
 
 _PART = "part long, block int, zeros binary, ones binary, weights array<double>, maps array<double>"
@@ -193,42 +290,56 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Online over a part of the segments: counts by block, and once the weights and the sums of the last table."""
     from pyspark import TaskContext
 
-    counts = np.zeros((2, SLOTS))
-    weights = np.full((GATES, ORDERS), 0.3)
-    maps, weight = np.zeros((2, GATES, BUCKETS)), 0.0
-
-    def step(slots, bit, share):
-        zeros, ones = counts[0][slots], counts[1][slots]
-        inputs, gate = _stretch(zeros, ones), _gate(_level(zeros + ones))
-        x = (inputs * weights[gate]).sum(1)
-        p = _squash(x)
-        error = (bit - p) * share
+    counts = np.zeros((SLOTS, 2), np.int32)
+    both, single = counts.reshape(-1).view(np.int64), counts.reshape(-1)
+    weights = np.full((ORDERS, GATES), 0.3)
+    maps, weight = np.zeros((GATES, BUCKETS, 2)), 0.0
+
+    def logits(slots):
+        pairs = both.take(slots)
+        each = pairs.view(np.int32).reshape(*slots.shape, 2)
+        return _stretch(each[..., 0], each[..., 1]), pairs != 0
+
+    def step(inputs, gate, bit, share=None):
+        x = _mixed(inputs, gate, weights.astype(np.float32))
+        error, flat, shares = bit - _squash(x), gate.reshape(-1), None
+        if share is not None:
+            error, shares = error * share[:, None], np.repeat(share, 8).astype(np.float64)
+        among = np.maximum(1.0, np.bincount(flat, shares, GATES))
         for k in range(ORDERS):
-            moved = np.bincount(gate, error * inputs[:, k], GATES) / np.maximum(1.0, np.bincount(gate, share, GATES))
-            weights[:, k] += RATE * moved
-        place = gate * BUCKETS + _bucket(x)
-        for b in (0, 1):
-            maps[b] += np.bincount(place, share * (bit == b), GATES * BUCKETS).reshape(GATES, BUCKETS)
+            weights[k] += RATE * np.bincount(flat, (error * inputs[k]).reshape(-1), GATES) / among
+        place = (gate * BUCKETS + _bucket(x)) * 2 + bit
+        maps.reshape(-1)[:] += np.bincount(place.reshape(-1), shares, maps.size)
 
+    size = BATCH
     for batch in batches:
-        parts, before, times = batch.column("segment").to_pylist(), batch.column("before").to_pylist(), batch.column("n_train").to_numpy()
-        for a in range(0, len(parts), BATCH):
-            some, n = parts[a : a + BATCH], times[a : a + BATCH].astype(np.float64)
-            slots, bit, of = _bits(some, before[a : a + BATCH])
-            step(slots, bit, np.ones(len(bit), np.float32))
-            for b in (0, 1):
-                here = bit == b
-                np.add.at(counts[b], slots[here].reshape(-1), np.repeat(n[of[here]], ORDERS))
-            again = n[of] > 1
-            if again.any():  # what later occurrences meet
-                keep = np.flatnonzero(again)
-                step(slots[keep], bit[keep], (n[of[keep]] - 1))
+        data, sizes = _raw(batch.column("segment"))
+        known, times = _raw(batch.column("before"))[0].reshape(-1, BEFORE), batch.column("n_train").to_numpy()
+        ends, a = np.cumsum(sizes), 0
+        while a < len(sizes):
+            own, n = sizes[a : a + size], times[a : a + size]
+            bits = Bits(data[ends[a] - sizes[a] : ends[a] - sizes[a] + own.sum()], own, known[a : a + size])
+            each, bit, until = np.repeat(n, own), _BIT[bits.data], np.append(0, np.cumsum(own))
+            inputs, gate = bits.looked_up(logits)
+            for k in range(0, len(own), BATCH):
+                some = slice(until[k], until[min(k + BATCH, len(own))])
+                step([x[some] for x in inputs], gate[some], bit[some])
+            for group, place, byte in zip(bits.slots, bits.place, bits.own):
+                met = each if place is None else np.bincount(place, each, len(byte))
+                met = np.repeat(met.astype(np.int32), 8)
+                for slots in group:
+                    np.add.at(single, (slots * 2 + _BIT[byte]).reshape(-1), met)
+            again = np.flatnonzero(n > 1)
+            if len(again):  # what later occurrences meet
+                more = Bits(bits.data[np.repeat(n > 1, own)], own[again], known[a : a + size][again])
+                step(*more.looked_up(logits), _BIT[more.data], np.repeat(n[again] - 1, own[again]).astype(np.float32))
             weight += float(n.sum())
+            a, size = a + size, min(2 * size, BLOCKED)
     if not weight:
         return
     part = TaskContext.get().partitionId()
     for k in range(0, SLOTS, BLOCK):
-        zeros, ones = counts[0][k : k + BLOCK], counts[1][k : k + BLOCK]
+        zeros, ones = counts[k : k + BLOCK, 0], counts[k : k + BLOCK, 1]
         if zeros.any() or ones.any():
             yield _part(part, k // BLOCK, zeros, ones)
     yield pa.RecordBatch.from_pylist(
@@ -238,15 +349,20 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _part(part, block, zeros, ones) -> pa.RecordBatch:
-    pack = lambda x: zlib.compress(x.astype("<f4").tobytes(), 1)
     return pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int64()), pa.array([block], pa.int32()), pa.array([pack(zeros)], pa.binary()), pa.array([pack(ones)], pa.binary()),
+        [pa.array([part], pa.int64()), pa.array([block], pa.int32()), pa.array([_pack(zeros)], pa.binary()), pa.array([_pack(ones)], pa.binary()),
          pa.array([None], pa.list_(pa.float64())), pa.array([None], pa.list_(pa.float64()))],
         ["part", "block", "zeros", "ones", "weights", "maps"])
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs: 1, 2, 4 or 8, which the first byte tells."""
+    kind = np.min_scalar_type(int(x.max()))
+    return bytes([kind.itemsize]) + zlib.compress(x.astype(kind.newbyteorder("<")).tobytes(), 1)
+
+
 def _unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), "<f4").astype(np.float64)
+    return np.frombuffer(zlib.decompress(x[1:]), f"<u{x[0]}").astype(np.int64)
 
 
 def _added(group: pd.DataFrame) -> pd.DataFrame:
@@ -255,66 +371,85 @@ def _added(group: pd.DataFrame) -> pd.DataFrame:
     if block < 0:
         row = [part, block, None, None, sum(np.asarray(x) for x in group["weights"]), sum(np.asarray(x) for x in group["maps"])]
     else:
-        zeros, ones = (zlib.compress(sum(map(_unpack, group[c])).astype("<f4").tobytes(), 1) for c in ("zeros", "ones"))
+        zeros, ones = (_pack(sum(map(_unpack, group[c]))) for c in ("zeros", "ones"))
         row = [part, block, zeros, ones, None, None]
     return pd.DataFrame([row], columns=["part", "block", "zeros", "ones", "weights", "maps"])
 
 
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a block as the logits and levels that a model keeps."""
+    """Counts of a block as the logits that a model keeps."""
     for batch in batches:
-        logits, levels = [], []
+        logits = []
         for zeros, ones in zip(batch.column("zeros").to_pylist(), batch.column("ones").to_pylist()):
             if zeros is None:
                 logits.append(None)
-                levels.append(None)
                 continue
             zeros, ones = _unpack(zeros), _unpack(ones)
-            logits.append(zlib.compress(_stretch(zeros, ones).astype("<f2").tobytes(), 1))
-            levels.append(zlib.compress(_level(zeros + ones).tobytes(), 1))
+            kept = np.clip(np.rint(_stretch(zeros, ones) * SCALE), -32767, 32767).astype("<i2")
+            kept[(kept == 0) & (zeros + ones > 0)] = 1
+            logits.append(zlib.compress(kept.tobytes(), 1))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("block"), pa.array(logits, pa.binary()), pa.array(levels, pa.binary()), batch.column("weights"), batch.column("maps")],
-            ["block", "logits", "levels", "weights", "maps"])
+            [batch.column("block"), pa.array(logits, pa.binary()), batch.column("weights"), batch.column("maps")], ["block", "logits", "weights", "maps"])
 
 
 class Model:
-    """A finished model: logits and levels by slot, weights by gate, and the last table."""
+    """A finished model: logits by slot in 1/SCALE, weights by gate, and the last table."""
 
-    def __init__(self, logits: np.ndarray, levels: np.ndarray, weights: np.ndarray, maps: np.ndarray):
-        self.logits, self.levels, self.weights, self.maps = logits, levels, weights.astype(np.float32), maps
+    def __init__(self, logits: np.ndarray, weights: np.ndarray, maps: np.ndarray):
+        self.logits, self.weights, self.maps = logits, (weights / SCALE).astype(np.float32), maps.astype(np.float32)
 
-    def log10(self, parts: list[bytes], before: list[bytes] | None = None) -> np.ndarray:
+    def scores(self, data: np.ndarray, sizes: np.ndarray, known: np.ndarray) -> np.ndarray:
         """log10 of each segment's probability after what stands before it."""
-        slots, bit, of = _bits(parts, before)
-        inputs = self.logits[slots].astype(np.float32)
-        gate = _gate(self.levels[slots])
-        x = (inputs * self.weights[gate]).sum(1)
-        p = np.clip((_squash(x) + self.maps[gate, _bucket(x)]) / 2, 1e-6, 1 - 1e-6)
-        return np.bincount(of, np.log10(np.where(bit == 1, p, 1 - p)), len(parts))
+        bits = Bits(data, sizes, known)
+
+        def logits(slots):
+            x = self.logits.take(slots)
+            return x.astype(np.float32), x != 0
+
+        inputs, gate = bits.looked_up(logits)
+        x = _mixed(inputs, gate, self.weights)
+        p = np.clip((_squash(x) + self.maps.take(gate * BUCKETS + _bucket(x))) / 2, np.float32(1e-6), np.float32(1 - 1e-6))
+        each = np.abs(_ZERO[data] - p)  # in doubles: both chances of a bit add up to 1
+        for k in (4, 2, 1):
+            each = each[:, :k] * each[:, k:]
+        each = np.log10(each[:, 0])
+        return np.bincount(bits.of, each, len(sizes))
+
+    def log10(self, parts: list[bytes], before: list[bytes] | None = None) -> np.ndarray:
+        return self.scores(*_listed(parts, before))
 
 
 def train(table: DataFrame) -> Model:
     """From (segment, n_train), and what stands ``before`` where it is known, with n_train > 0."""
     before = "before" if "before" in table.columns else F.lit(bytearray(bytes(8) + START)).alias("before")
-    parts = written(table.filter("n_train > 0").select(before, "segment", "n_train").mapInArrow(_learned, _PART), "lm-parts")
+    return _model(table.filter("n_train > 0").select(before, "segment", "n_train").mapInArrow(_learned, _PART))
+
+
+def train_texts(texts: DataFrame) -> Model:
+    """From the rows of (text, held_out) that are not held out. What a task counts it learns from itself."""
+    return _model(texts.filter("not held_out").mapInArrow(lambda batches: _learned(_counted(batches)), _PART))
+
+
+def _model(parts: DataFrame) -> Model:
+    parts = written(parts, "lm-parts")
     most = parts.agg(F.max("part")).first()[0]
     while most:
         parts = parts.withColumn("part", F.expr(f"part div {FAN}"))
         parts = written(parts.groupBy("block", "part").applyInPandas(_added, _PART), "lm-parts")
         most //= FAN
-    logits, levels = np.zeros(SLOTS, np.float16), np.zeros(SLOTS, np.uint8)
-    weights, maps = np.full((GATES, ORDERS), 0.3), np.zeros((2, GATES, BUCKETS))
-    finished = parts.mapInArrow(_finished, "block int, logits binary, levels binary, weights array<double>, maps array<double>")
+    logits = np.zeros(SLOTS, np.int16)
+    weights, maps = np.full((ORDERS, GATES), 0.3), np.zeros((GATES, BUCKETS, 2))
+    finished = parts.mapInArrow(_finished, "block int, logits binary, weights array<double>, maps array<double>")
     for row in finished.toLocalIterator():  # one row a block: SLOTS bounds it
         if row["block"] < 0:
-            weights = np.array(row["weights"][1:]).reshape(GATES, ORDERS) / row["weights"][0]
-            maps = np.array(row["maps"]).reshape(2, GATES, BUCKETS)
+            weights = np.array(row["weights"][1:]).reshape(weights.shape) / row["weights"][0]
+            maps = np.array(row["maps"]).reshape(maps.shape)
         else:
-            some = np.frombuffer(zlib.decompress(row["logits"]), "<f2")
+            some = np.frombuffer(zlib.decompress(row["logits"]), "<i2")
             a = row["block"] * BLOCK
-            logits[a : a + len(some)], levels[a : a + len(some)] = some, np.frombuffer(zlib.decompress(row["levels"]), np.uint8)
+            logits[a : a + len(some)] = some
     middle = _squash((np.arange(BUCKETS) - BUCKETS // 2) / 2)
-    return Model(logits, levels, weights, (maps[1] + 20 * middle) / (maps.sum(0) + 20))
+    return Model(logits, weights, (maps[..., 1] + 20 * middle) / (maps.sum(-1) + 20))
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -326,68 +461,50 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     fold = F.pmod(F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     held = fold == HELD_OUT
 
-    # distinct units, words and their counts
-    cut = docs.select(F.col(f"`{text}`").alias("text"), held.alias("held_out")).mapInArrow(
-        _counted, "h long, before binary, segment binary, w long, n_train long, n_all long")
-    table = written(cut.groupBy("h").agg(
-        F.first("before").alias("before"), F.first("segment").alias("segment"), F.first("w").alias("w"), F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")), "lm-segments")
-    words = written(table.filter("w is not null").groupBy("w").agg(F.sum("n_train").alias("c")), "lm-words")
-    n, v = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    # words and their counts
+    texts = docs.select(F.col(f"`{text}`").alias("text"), held.alias("held_out"))
+    words = texts.filter("not held_out").mapInArrow(_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    words = written(words.select("w", "c", F.log10(F.col("c") + 1).alias("lc")), "lm-words")
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = docs.filter(~held).count()
     n, v = n + ends, v + (ends > 0)
-
-    # every distinct unit scored once
-    model = spark.sparkContext.broadcast(train(table))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, before, values = batch.column("segment").to_pylist(), batch.column("before").to_pylist(), []
-            for a in range(0, len(parts), 4096):
-                values.append(model.value.log10(parts[a : a + 4096], before[a : a + 4096]))
-            ls = np.concatenate(values) if values else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("h", "w", "n_all")], pa.array(ls, pa.float64())], ["h", "w", "n_all", "ls"])
-
-    by_segment = table.select("h", "before", "segment", "w", "n_all").mapInArrow(scored, "h long, w long, n_all long, ls double")
-    by_segment = by_segment.join(words, "w", "left").select(
-        "h", "n_all", "ls", F.log10(F.coalesce("c", F.lit(0)) + 1).alias("lc"), (F.coalesce("c", F.lit(0)) > 0).cast("int").alias("known"))
-    by_segment = written(by_segment, "lm-scores")
-    # the most frequent, by steps of n_all: the HOT first of each task would meet in the driver
-    step, cut, sizes = F.floor(F.log2("n_all") * 8), 8 * 64, 0
-    for at, size in sorted(by_segment.groupBy(step).count().collect(), reverse=True):
+    # the most frequent, by steps of c: the HOT first of each task would meet in the driver
+    step, cut, sizes = F.floor(F.log2("c") * 8), 8 * 64, 0
+    for at, size in sorted(words.groupBy(step).count().collect(), reverse=True):
         sizes += size
         if sizes > HOT:
             break
         cut = at
-    top = by_segment.filter(step >= cut).select("h", "ls", "lc", "known").toPandas().sort_values("h")
+    top = words.filter(step >= cut).select("w", "lc").toPandas().sort_values("w")
     hot = spark.sparkContext.broadcast({c: top[c].to_numpy() for c in top.columns})
+    model = spark.sparkContext.broadcast(train_texts(texts))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = {}
-        h, ls, lc, known = (hot.value[c] for c in ("h", "ls", "lc", "known"))
+        hot_w, hot_lc = hot.value["w"], hot.value["lc"]
         for batch in batches:
-            rows = []
-            for t in batch.column("text").cast(pa.binary()).to_pylist():
-                found = Counter(units(t))
-                keys = []
-                for s in found:
-                    k = hashes.get(s)
-                    if k is None:
-                        if len(hashes) >= FLUSH:
-                            hashes.clear()
-                        k = hashes[s] = _signed(xxhash.xxh64_intdigest(s))
-                    keys.append(k)
-                keys, times = np.array(keys, np.int64), np.fromiter(found.values(), np.int64, len(found))
-                at = np.minimum(np.searchsorted(h, keys), max(len(h) - 1, 0))
-                there = h[at] == keys if len(h) else np.zeros(len(keys), bool)
-                at, n_here = at[there], times[there]
-                worded = sum(n for s, n in found.items() if len(s) > BEFORE + 1)
-                rows.append((len(t or b""), worded + 1, int((known[at] * n_here).sum()), float((lc[at] * n_here).sum()), float((ls[at] * n_here).sum()),
-                             keys[~there], times[~there]))
-            columns = list(zip(*rows)) if rows else [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(list(c), k) for c, k in zip(columns, kinds)]],
-                                             ["row", "n_bytes", "n_tokens", "known", "lc", "ls", "rest", "times"])
+            for a, b, cut in _cuts(batch.column("text")):
+                size = b - a
+                _, one, which = np.unique(cut.keys, return_index=True, return_inverse=True)
+                scores = [model.value.scores(*cut.bytes_of(one[k : k + HANDED]), cut.known[one[k : k + HANDED]]) for k in range(0, len(one), HANDED)]
+                ls = np.bincount(cut.of, np.concatenate(scores)[which], size)
+                here, w = cut.words()
+                of = cut.of[here]
+                at = np.minimum(np.searchsorted(hot_w, w), max(len(hot_w) - 1, 0))
+                there = hot_w[at] == w if len(hot_w) else np.zeros(len(w), bool)
+                known = np.bincount(of[there], minlength=size)
+                lc = np.bincount(of[there], hot_lc[at[there]], size).astype(np.float64)  # without words they are whole
+                # the rest, once for a text
+                of_rest, w = of[~there], w[~there]
+                order = np.lexsort((w, of_rest))
+                of_rest, w = of_rest[order], w[order]
+                new = np.flatnonzero(np.append(True, (of_rest[1:] != of_rest[:-1]) | (w[1:] != w[:-1]))[: len(w)])
+                times, offsets = np.diff(np.append(new, len(w))), np.concatenate([[0], np.cumsum(np.bincount(of_rest[new], minlength=size))])
+                offsets = pa.array(offsets, pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("row").slice(a, size), pa.array(np.bincount(cut.of, cut.sizes, size).astype(np.int64) - 1),
+                    pa.array(np.bincount(of, minlength=size) + 1), pa.array(known), pa.array(lc, pa.float64()), pa.array(ls, pa.float64()),
+                    pa.ListArray.from_arrays(offsets, pa.array(w[new])), pa.ListArray.from_arrays(offsets, pa.array(times))],
+                    ["row", "n_bytes", "n_tokens", "known", "lc", "ls", "rest", "times"])
 
     # rows are numbered once, as they are written: numbers and the rest stay the same afterwards
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept], held.alias("held_out")).alias("row"), F.col(f"`{text}`").alias("text"))
@@ -396,13 +513,13 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                          *[StructField(c, ArrayType(LongType())) for c in lists]])
     parts = numbered.mapInArrow(summed, schema)
     parts = written(parts.withColumn("uid", F.monotonically_increasing_id()), "lm-rows")
-    rest = parts.select("uid", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("uid", F.col("r.rest").alias("h"), F.col("r.times").alias("n"))
-    sums = rest.join(by_segment.select("h", "ls", "lc", "known"), "h").groupBy("uid").agg(
-        F.sum(F.col("n") * F.col("known")).alias("k2"), F.sum(F.col("n") * F.col("lc")).alias("c2"), F.sum(F.col("n") * F.col("ls")).alias("s2"))
+    rest = parts.select("uid", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("uid", F.col("r.rest").alias("w"), F.col("r.times").alias("n"))
+    sums = rest.join(words.select("w", "lc"), "w").groupBy("uid").agg(
+        F.sum("n").alias("k2"), F.sum(F.col("n") * F.col("lc")).alias("c2"))
     out = parts.drop("rest", "times").join(sums, "uid", "left")
     zero = F.lit(0.0)
     end_known, end_log = int(ends > 0), float(np.log10(ends + 1))
-    score = F.col("ls") + F.coalesce("s2", zero)
+    score = F.col("ls")
     return out.select(
         *[F.col("row").getField(c).alias(c) for c in kept], F.col("row.held_out").alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("k2", F.lit(0)) + end_known).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

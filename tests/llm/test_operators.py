@@ -376,6 +376,16 @@ def test_lm_scores_do_not_depend_on_what_is_broadcast(monkeypatch, docs):
     assert got == {i: (n, pytest.approx(x)) for i, (n, x) in want.items()}
 
 
+def test_lm_tables_do_not_grow_with_units(spark, monkeypatch):
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words[(i * j + k) % 40] for k in range(40) for j in (1, 7)) for i in range(60)]
+    seen, plain = [], mix_lm.written
+    monkeypatch.setattr(mix_lm, "written", lambda df, name: seen.append((name, plain(df, name))) or seen[-1][1])
+    got = mix_lm.score_documents(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(got) == 60 and len({u for t in texts for u in mix_lm.units(t.encode())}) > 300
+    assert sum(df.count() for name, df in seen if name != "lm-parts") <= len(words) + len(texts)
+
+
 def test_segments_rebuild_the_text():
     for t in fx.texts():
         raw = (t or "").encode()
