@@ -40,8 +40,10 @@ WORDS = "/opt/tokenizers/word_bpe_49k.json"
 END = 2
 BLOCK = 1 << 16
 RUN = 1 << 20
-#: Texts that are encoded at once hold so many characters, or are one text.
-SLICE = 4_000_000
+#: Runs that a task reads, one after the other.
+RUNS = 8
+#: Texts that are encoded at once hold so many bytes, or are one text: each distinct word of them is looked up once.
+SLICE = 12_000_000
 #: Words, and parts of words, that a worker remembers, and the longest of them.
 KNOWN, LONGEST = 700_000, 64
 
@@ -101,8 +103,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for selector in np.unique(selectors):
         if 0 < selector < ESCAPE:
             mine = np.flatnonzero(selectors == selector)
+            first, packed = starts[mine], words[mine]
             for k in range(COUNTS[selector]):
-                words[mine] |= padded[starts[mine] + k] << np.uint64(k * BITS[selector])
+                packed |= padded[first + k] << np.uint64(k * BITS[selector])
+            words[mine] = packed
     return words, ids[starts[selectors == ESCAPE]]
 
 
@@ -393,7 +397,7 @@ def read_ids(runs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
                     pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()),
                     pa.array([x[2] for x in found], pa.binary())], names=ddl.names)
 
-    tasks = max(1, min(runs.count(), 20_000))
+    tasks = max(1, min(runs.count() // RUNS, 20_000))
     # one row a file: as many as tasks have written
     ends = runs.groupBy("file").agg(F.max(F.struct("run", "path")).alias("last")).select("file", "last.path")
     sizes = ends.mapInArrow(_sizes, "file long, size long")

@@ -107,6 +107,20 @@ def test_id_files_against_the_tokenizer(spark, monkeypatch):
     assert packed_ids.pack_documents(fx.documents(spark, [])).count() == 0
 
 
+def test_tasks_read_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(packed_ids, "RUN", 2)
+    rows = spark.createDataFrame([(k, f"word {k}") for k in range(200)], "doc_id long, text string").coalesce(1)
+    runs = packed_ids.write_ids(rows, packed_ids.scratch_path(spark, "packed-ids"))
+    got = packed_ids.read_ids(runs)
+    assert runs.count() > 50 and got.rdd.getNumPartitions() <= runs.count() // 4
+    assert [r.doc_id for r in got.orderBy("start").collect()] == list(range(200))
+
+
+def test_words_of_a_batch_are_looked_up_once():
+    texts = pa.array([" ".join(f"w{k}" for k in range(40_000))] * 40, pa.string())  # 9 MB
+    assert len([*packed_ids.slices(texts)]) == 1
+
+
 def test_string_names_and_remote_ids(spark):
     rows = spark.createDataFrame([("b", "one two"), ("a", "three"), (None, None)], "doc_id string, text string")
     got = packed_ids.pack_documents(rows).orderBy("start").collect()
