@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,8 @@ HOT = 100_000
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of texts that a task cuts at once, or one text, and how many distinct units of them make a batch.
 FLUSH, HANDED = 2_000_000, 8_192
+#: Bytes whose bits are mixed at once: what they need stays in a core's cache.
+ROWS = 4_096
 #: Partial tables that one task of the tree adds up.
 FAN = 32
 END = b"\xff"
@@ -66,16 +69,18 @@ SCALE = 1000
 _WHITE, _LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 _WHITE[list(b" \t\n\x0b\x0c\r")] = True
 _LOWER[65:91] += 32
-_BYTE = np.arange(256)
-#: For each bit of each byte: 1, then the bits before this one; and the bit.
-_NODE = (_BYTE[:, None] | 256) >> (8 - np.arange(8))
-_BIT = ((_BYTE[:, None] >> (7 - np.arange(8))) & 1).astype(np.int32)
-_ZERO = 1.0 - _BIT
-_GATE = (np.arange(8) * LONGEST).astype(np.uint8)
+#: Arrays of bits have a row for each of a byte's eight, which numpy runs along.
+_SHIFT = np.arange(7, -1, -1)[:, None]
+#: Gates of the eight bits after the longest context.
+_FULL = np.arange(8) * LONGEST + ORDERS
 _MUL, _STEP, _SIZE, _LAST = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB))
 _29, _32 = np.uint64(29), np.uint64(32)
 
 
+def _bit(data: np.ndarray) -> np.ndarray:
+    return (data >> _SHIFT.astype(np.uint8)) & np.uint8(1)
+
+
 def _sums(data: np.ndarray, within: np.ndarray) -> np.ndarray:
     """Running sums of hashed bytes, each by its place in its segment: a difference of two is the hash of what lies between them."""
     turn = np.arange(1, int(within.max(initial=0)) + 2).astype(np.uint64) * _STEP
@@ -109,21 +114,34 @@ class Cut:
         ends = np.flatnonzero(cut) + 1
         self.starts = starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
         self.sizes = sizes = ends - starts
-        first = np.searchsorted(starts, begin)
-        self.of = of = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(starts))))
+        self.begin, self.first = begin, np.searchsorted(starts, begin)
+        self.of = np.repeat(np.arange(len(texts)), np.diff(np.append(self.first, len(starts))))
         self.within = np.arange(len(data)) - np.repeat(starts, sizes)
+
+    @cached_property
+    def _before(self) -> tuple[np.ndarray, np.ndarray]:
+        data, starts, sizes, of, begin, first = self.data, self.starts, self.sizes, self.of, self.begin, self.first
+        ends = starts + sizes
         sums = _sums(data, self.within)
         word = _hashed(sums[ends - 1] - sums[starts], sizes - 1)
         met = np.maximum.accumulate(np.where(sizes > 1, np.arange(len(starts)), -1))
         met = np.concatenate([[-1], met[:-1]])[: len(starts)]
         last = np.where(met >= first[of], word[np.maximum(met, 0)], np.uint64(0)) if len(starts) else word
-        self.known = np.full((len(starts), BEFORE), 0xFF, np.uint8)
-        self.known[:, :8] = np.ascontiguousarray(last, "<u8").view(np.uint8).reshape(-1, 8)
+        known = np.full((len(starts), BEFORE), 0xFF, np.uint8)
+        known[:, :8] = np.ascontiguousarray(last, "<u8").view(np.uint8).reshape(-1, 8)
         for k in range(1, TAIL + 1):
             here = np.flatnonzero(starts - k >= begin[of])
-            self.known[here, BEFORE - k] = data[starts[here] - k]
-        tail = self.known[:, 8:].astype(np.uint64) @ np.array([1, 256, 65536], np.uint64)
-        self.keys = _hashed(_hashed(sums[ends] - sums[starts], sizes) ^ (last * _LAST), tail)
+            known[here, BEFORE - k] = data[starts[here] - k]
+        tail = known[:, 8:].astype(np.uint64) @ np.array([1, 256, 65536], np.uint64)
+        return known, _hashed(_hashed(sums[ends] - sums[starts], sizes) ^ (last * _LAST), tail)
+
+    @property
+    def known(self) -> np.ndarray:
+        return self._before[0]
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self._before[1]
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """(units with a word, hash of the word in lower case)."""
@@ -193,8 +211,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Bits:
-    """Slots of the bits of some segments' bytes. What several bytes share is looked up once: ``slots`` and ``own`` (a byte) of the last bytes with the
-    byte (three predictors), of the segment so far with it, and of all before with it; ``place`` finds them for each byte, None where they are the bytes."""
+    """Slots of the bits of some segments' bytes. What several bytes share is looked up once: orders 0 to 2 for distinct last bytes with the byte, order 3
+    for distinct segments so far with it; ``place`` finds them for each byte, and ``own`` is the byte. Order 4 is looked up for each byte."""
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, known: np.ndarray):
         self.data = data
@@ -211,21 +229,29 @@ class Bits:
         sums = _sums(data, within)
         prefix = sums[:-1] - sums[start] + within.astype(np.uint64) * _SIZE
         last = np.ascontiguousarray(known[:, :8]).view("<u8").reshape(-1).astype(np.uint64)[of]
-        near, at_near = np.unique(near, return_inverse=True)
-        so_far, at_far = np.unique((prefix + data.astype(np.uint64) * _LAST) * _MUL, return_inverse=True)
-        one = np.zeros(len(so_far), np.int64)
+        at_near, near = pd.factorize(near)
+        at_far, far = pd.factorize((prefix + data.astype(np.uint64) * _LAST) * _MUL)
+        one = np.zeros(len(far), np.int64)
         one[at_far] = np.arange(len(data))
-        self.place = [at_near, at_far, None]
-        self.own = [(near & np.uint32(255)).astype(np.uint8), data[one], data]
+        self.place = [at_near, at_far]
+        self.own = [(near & np.uint32(255)).astype(np.uint8)] * 3 + [data[one], data]
         before = (near >> np.uint32(8)).astype(np.uint64)
-        self.slots = [
-            [self._of(0, before & np.uint64(0xFF)), self._of(1, before & np.uint64(0xFFFF)), self._of(2, before)], [self._of(3, prefix[one])],
-            [self._of(4, (prefix ^ (last * _MUL)) * _LAST)]]
-        for group, own in zip(self.slots, self.own):
-            node = _NODE[own]
-            for k, x in enumerate(group):
-                order = k if len(group) > 1 else 3 + (own is data)
-                group[k] = ((node + x[:, None]) & ((1 << TABLES[order]) - 1)) + BASES[order]
+        self.begins = [
+            self._of(0, before & np.uint64(0xFF)), self._of(1, before & np.uint64(0xFFFF)), self._of(2, before), self._of(3, prefix[one]),
+            self._of(4, (prefix ^ (last * _MUL)) * _LAST)]
+
+    def slots(self, order: int, a: int = 0, b: int | None = None) -> np.ndarray:
+        x = (self.own[order][a:b].astype(np.int64) | 256) >> (_SHIFT + 1)  # 1, then the bits before each
+        x += self.begins[order][a:b]
+        x &= (1 << TABLES[order]) - 1
+        x += BASES[order]
+        return x
+
+    def times(self, order: int, each: np.ndarray) -> np.ndarray:
+        """How often each of ``own`` comes, from the times of each byte."""
+        if order == ORDERS - 1:
+            return each
+        return np.bincount(self.place[order == 3], each, len(self.own[order]))
 
     @staticmethod
     def _of(order: int, context: np.ndarray) -> np.ndarray:
@@ -237,27 +263,28 @@ class Bits:
         x *= _STEP
         return (x >> np.uint64(64 - TABLES[order])).astype(np.int64)
 
-    def looked_up(self, logits) -> tuple[list[np.ndarray], np.ndarray]:
-        """(logits of each predictor, gates) of all bits; ``logits`` gives those of slots, and which of them were met."""
-        inputs, longest, order = [], np.zeros((len(self.data), 8), np.uint8), 0
-        for group, place in zip(self.slots, self.place):
-            most = None
-            for slots in group:
-                order += 1
-                x, met = logits(slots)
-                inputs.append(x if place is None else x.take(place, 0))
-                here = met.view(np.uint8) * np.uint8(order)
-                most = here if most is None else np.maximum(most, here)
-            np.maximum(longest, most if place is None else most.take(place, 0), out=longest)
-        longest += _GATE
-        return inputs, longest.astype(np.intp)
+    def shared(self, logits) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Logits of the first four orders, and the longest of them met by ``place``; ``logits`` gives those of slots, and which of them were met."""
+        inputs, met = zip(*[logits(self.slots(k)) for k in range(ORDERS - 1)])
+        most = [m.view(np.uint8) * np.uint8(k + 1) for k, m in enumerate(met)]
+        return list(inputs), [np.maximum(np.maximum(most[0], most[1]), most[2]), most[3]]
+
+    def looked_up(self, a: int, b: int, most: list[np.ndarray], logits) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """For bytes a to b: their places, logits of the last order, the bits where that was not met (counted through), and these bits' gates."""
+        at = [p[a:b] for p in self.place]
+        x, met = logits(self.slots(ORDERS - 1, a, b))
+        rare = np.flatnonzero(~met.reshape(-1))
+        col, row = np.divmod(rare, b - a)
+        longest = np.maximum(*[m[col, p[row]] for m, p in zip(most, at)])
+        return at, x, rare, col * LONGEST + longest
 
 
 def _bits(parts: list[bytes], before: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each bit of the segments: slots (bits x ORDERS), the bit, and the segment's number. Without ``before`` they begin a text."""
     bits = Bits(*_listed(parts, before))
-    slots = [x if place is None else x[place] for group, place in zip(bits.slots, bits.place) for x in group]
-    return np.stack(slots, -1).reshape(-1, ORDERS), _BIT[bits.data].reshape(-1), np.repeat(bits.of, 8)
+    near, far = bits.place
+    slots = [bits.slots(k).T[near if k < 3 else far if k == 3 else slice(None)] for k in range(ORDERS)]
+    return np.stack(slots, -1).reshape(-1, ORDERS), _bit(bits.data).T.reshape(-1), np.repeat(bits.of, 8)
 
 
 def _listed(parts: list[bytes], before: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,16 +298,24 @@ def _stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones.astype(np.float32) + tenth) / (zeros.astype(np.float32) + tenth))
 
 
-def _mixed(inputs: list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return sum(x * w.take(gate) for x, w in zip(inputs, weights))
-
-
 def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+    x = np.clip(x, -20, 20)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
-def _bucket(x: np.ndarray) -> np.ndarray:
-    return np.clip(x * 2 + (BUCKETS // 2 + 0.5), 0, BUCKETS - 1).astype(np.int64)
+def _cells(x: np.ndarray, rare: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Where the last table has the bits of logits ``x``; the ``rare`` ones have a ``gate`` of their own."""
+    x = x * 2
+    x += BUCKETS // 2 + 0.5
+    place = np.clip(x, 0, BUCKETS - 1, out=x).astype(np.int64)
+    flat = place.reshape(-1)
+    of_rare = flat[rare]
+    place += _FULL[:, None] * BUCKETS
+    flat[rare] = gate * BUCKETS + of_rare
+    return place
 
 
 _PART = "part long, block int, zeros binary, ones binary, weights array<double>, maps array<double>"
@@ -300,16 +335,42 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = pairs.view(np.int32).reshape(*slots.shape, 2)
         return _stretch(each[..., 0], each[..., 1]), pairs != 0
 
-    def step(inputs, gate, bit, share=None):
-        x = _mixed(inputs, gate, weights.astype(np.float32))
-        error, flat, shares = bit - _squash(x), gate.reshape(-1), None
-        if share is not None:
-            error, shares = error * share[:, None], np.repeat(share, 8).astype(np.float64)
-        among = np.maximum(1.0, np.bincount(flat, shares, GATES))
-        for k in range(ORDERS):
-            weights[k] += RATE * np.bincount(flat, (error * inputs[k]).reshape(-1), GATES) / among
-        place = (gate * BUCKETS + _bucket(x)) * 2 + bit
-        maps.reshape(-1)[:] += np.bincount(place.reshape(-1), shares, maps.size)
+    def step(bits, begin, end, shared, share=None):
+        """Weights and the last table by some bytes, each ``share`` times."""
+        w = weights.astype(np.float32)
+        full = w[:, _FULL, None]
+        moved, among = np.zeros(weights.shape), np.zeros(GATES)
+        for a in range(begin, end, ROWS):
+            b = min(a + ROWS, end)
+            at, last, rare, gate = bits.looked_up(a, b, shared[1], logits)
+            inputs = [*[x.take(at[k == 3], 1) for k, x in enumerate(shared[0])], last]
+            x = inputs[0] * full[0]
+            for k in range(1, ORDERS):
+                x += inputs[k] * full[k]
+            bit, each, shares, few = _bit(bits.data[a:b]), float(b - a), None, None
+            seldom = [y.reshape(-1)[rare] for y in inputs]
+            x.reshape(-1)[rare] = sum(y * w[k, gate] for k, y in enumerate(seldom))
+            error = bit.astype(float)
+            error -= _squash(x)
+            if share is not None:
+                some = share[a - begin : b - begin].astype(float)
+                error *= some
+                each, shares = some.sum(), np.tile(some, 8)
+                few = shares[rare]
+            among[_FULL] += each - np.bincount(rare // (b - a), few, 8)
+            errors = error.reshape(-1)[rare]
+            error.reshape(-1)[rare] = 0
+            for k in range(ORDERS):
+                moved[k, _FULL] += (error * inputs[k]).sum(1)
+            if len(rare):
+                among += np.bincount(gate, few, GATES)
+                for k in range(ORDERS):
+                    moved[k] += np.bincount(gate, errors * seldom[k], GATES)
+            place = _cells(x, rare, gate)
+            place *= 2
+            place += bit
+            maps.reshape(-1)[:] += np.bincount(place.reshape(-1), shares, maps.size)
+        weights[:] += RATE * moved / np.maximum(1.0, among)
 
     size = BATCH
     for batch in batches:
@@ -319,20 +380,20 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while a < len(sizes):
             own, n = sizes[a : a + size], times[a : a + size]
             bits = Bits(data[ends[a] - sizes[a] : ends[a] - sizes[a] + own.sum()], own, known[a : a + size])
-            each, bit, until = np.repeat(n, own), _BIT[bits.data], np.append(0, np.cumsum(own))
-            inputs, gate = bits.looked_up(logits)
+            each, until = np.repeat(n, own), np.append(0, np.cumsum(own))
+            shared = bits.shared(logits)
             for k in range(0, len(own), BATCH):
-                some = slice(until[k], until[min(k + BATCH, len(own))])
-                step([x[some] for x in inputs], gate[some], bit[some])
-            for group, place, byte in zip(bits.slots, bits.place, bits.own):
-                met = each if place is None else np.bincount(place, each, len(byte))
-                met = np.repeat(met.astype(np.int32), 8)
-                for slots in group:
-                    np.add.at(single, (slots * 2 + _BIT[byte]).reshape(-1), met)
+                step(bits, until[k], until[min(k + BATCH, len(own))], shared)
+            for order in range(ORDERS):
+                met = np.tile(bits.times(order, each).astype(np.int32), 8)
+                place = bits.slots(order)
+                place *= 2
+                place += _bit(bits.own[order])
+                np.add.at(single, place.reshape(-1), met)
             again = np.flatnonzero(n > 1)
             if len(again):  # what later occurrences meet
                 more = Bits(bits.data[np.repeat(n > 1, own)], own[again], known[a : a + size][again])
-                step(*more.looked_up(logits), _BIT[more.data], np.repeat(n[again] - 1, own[again]).astype(np.float32))
+                step(more, 0, len(more.data), more.shared(logits), np.repeat(n[again] - 1, own[again]).astype(np.float32))
             weight += float(n.sum())
             a, size = a + size, min(2 * size, BLOCKED)
     if not weight:
@@ -406,13 +467,30 @@ class Model:
             x = self.logits.take(slots)
             return x.astype(np.float32), x != 0
 
-        inputs, gate = bits.looked_up(logits)
-        x = _mixed(inputs, gate, self.weights)
-        p = np.clip((_squash(x) + self.maps.take(gate * BUCKETS + _bucket(x))) / 2, np.float32(1e-6), np.float32(1 - 1e-6))
-        each = np.abs(_ZERO[data] - p)  # in doubles: both chances of a bit add up to 1
-        for k in (4, 2, 1):
-            each = each[:, :k] * each[:, k:]
-        each = np.log10(each[:, 0])
+        inputs, most = bits.shared(logits)
+        w, full, maps = self.weights, self.weights[:, _FULL, None], self.maps.reshape(-1)
+        near = inputs[0] * full[0]
+        for k in (1, 2):
+            near += inputs[k] * full[k]
+        far, each = inputs[3] * full[3], np.empty(len(data))
+        for a in range(0, len(data), ROWS):
+            some = data[a : a + ROWS]
+            at, last, rare, gate = bits.looked_up(a, a + len(some), most, logits)
+            x = near.take(at[0], 1)
+            x += far.take(at[1], 1)
+            x += last * full[4]
+            if len(rare):
+                col, row = np.divmod(rare, len(some))
+                seldom = [*[y[col, at[k == 3][row]] for k, y in enumerate(inputs)], last.reshape(-1)[rare]]
+                x.reshape(-1)[rare] = sum(y * w[k, gate] for k, y in enumerate(seldom))
+            p = maps.take(_cells(x, rare, gate))
+            p += _squash(x)
+            p /= 2
+            p = (1.0 - _bit(some)) - np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)  # in doubles: both chances of a bit add up to 1
+            np.abs(p, out=p)
+            for k in (4, 2, 1):
+                p = p[:k] * p[k:]
+            np.log10(p[0], out=each[a : a + len(some)])
         return np.bincount(bits.of, each, len(sizes))
 
     def log10(self, parts: list[bytes], before: list[bytes] | None = None) -> np.ndarray:

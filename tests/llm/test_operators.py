@@ -369,6 +369,39 @@ def test_units_are_handed_on_within_a_batch(monkeypatch):
     assert got[0] == want[0] and +got[1] == want[1]
 
 
+def test_lm_mixes_runs_of_bytes_as_bit_by_bit(spark, monkeypatch):
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(k * j) % 23}" for j in range(30)) for k in range(40)]
+    batch = lambda: iter([pa.RecordBatch.from_pydict({"text": texts, "held_out": [False] * len(texts)})])
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    learned = []
+    for rows in (4_096, 7):
+        monkeypatch.setattr(mix_lm, "ROWS", rows)
+        learned.append([p.to_pylist()[0] for p in mix_lm._learned(mix_lm._counted(batch()))])
+    assert [(p["block"], p["zeros"], p["ones"]) for p in learned[0]] == [(p["block"], p["zeros"], p["ones"]) for p in learned[1]]
+    assert learned[0][-1]["weights"] == pytest.approx(learned[1][-1]["weights"]) and learned[0][-1]["maps"] == pytest.approx(learned[1][-1]["maps"])
+    model = mix_lm.train(spark.createDataFrame([(bytearray(b"w%d " % k), k + 1) for k in range(23)], "segment binary, n_train long"))
+    found = mix_lm.units(f"{texts[3]} xyz w5 w5".encode())
+    parts, before = [u[mix_lm.BEFORE:] for u in found], [u[: mix_lm.BEFORE] for u in found]
+    slots, bit, of = mix_lm._bits(parts, before)
+    x = model.logits[slots].astype(np.float32)
+    gate = np.arange(len(bit)) % 8 * mix_lm.LONGEST + ((x != 0) * np.arange(1, mix_lm.ORDERS + 1)).max(1)
+    mixed = sum(x[:, k] * model.weights[k, gate] for k in range(mix_lm.ORDERS))
+    p = np.clip((1 / (1 + np.exp(-mixed)) + model.maps[gate, mix_lm.np.clip(mixed * 2 + 16.5, 0, 32).astype(int)]) / 2, 1e-6, 1 - 1e-6)
+    want = np.bincount(of, np.log10(np.where(bit, p, 1 - p)))
+    assert len(set(gate % mix_lm.LONGEST)) > 2 and model.log10(parts, before) == pytest.approx(want, rel=1e-5)
+
+
+def test_words_are_counted_without_what_stands_before():
+    cut = mix_lm.Cut([b"a B b", None])
+    assert len(cut.words()[0]) == 3 and "_before" not in vars(cut)
+    assert len(cut.keys) == 4 and "_before" in vars(cut)
+
+
 def test_lm_scores_do_not_depend_on_what_is_broadcast(monkeypatch, docs):
     want = {r["doc_id"]: (r["n_known"], r["score"]) for r in mix_lm.score_documents(docs).collect() if r["doc_id"] is not None}
     monkeypatch.setattr(mix_lm, "HOT", 3)
